@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import p03_survivor, p04_split, p07_lines, p08_tokens
+from millrace.llm import p03_survivor, p04_split, p05_canonical, p07_lines, p08_tokens
 from millrace.sources import table
 
 
@@ -24,6 +24,22 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p04_split.split_inputs(table(spark, sf_dir, "extraction_inputs"), table(spark, sf_dir, "chunking_configurations"))
 
 
+def _typed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return (
+        table(spark, sf_dir, "signals", "record_id", "role", "location"),
+        table(spark, sf_dir, "canonical_roles", "role_id", "role_name", "aliases"),
+        table(spark, sf_dir, "canonical_locations", "location_id", "city", "province", "country", "aliases"),
+    )
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p05_canonical.map_values(*_typed(spark, sf_dir))
+
+
+def p5_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p05_canonical.unmatched_values(*_typed(spark, sf_dir))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p07_lines.repeated_lines(table(spark, sf_dir, "source_documents"))
 
@@ -41,6 +57,8 @@ QUERIES = {
     "p3_survivors": p3_survivors,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
+    "p5_found": p5_found,
+    "p5_unmatched": p5_unmatched,
     "p7_found": p7_found,
     "p7_cleaned": p7_cleaned,
     "p8_ids": p8_ids,
