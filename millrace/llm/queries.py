@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import p03_survivor, p04_split, p05_canonical, p07_lines, p08_tokens
+from millrace.llm import p03_survivor, p04_split, p05_canonical, p07_lines, p08_tokens, p09_leaks
 from millrace.sources import table
 
 
@@ -52,6 +52,14 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p08_tokens.encode_documents(table(spark, sf_dir, "documents"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p09_leaks.leaked_items(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+def p9_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p09_leaks.leak_counts(p9_found(spark, sf_dir))
+
+
 QUERIES = {
     "p3_found": p3_found,
     "p3_survivors": p3_survivors,
@@ -62,6 +70,8 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_cleaned": p7_cleaned,
     "p8_ids": p8_ids,
+    "p9_found": p9_found,
+    "p9_items": p9_items,
 }
 
 SQL = {
