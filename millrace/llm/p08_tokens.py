@@ -60,37 +60,35 @@ def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
         a, b = tree[2 * node], tree[2 * node + 1]
         tree[node] = a if a < b else b
     following = list(range(1, n + 1))  # start of the next live piece
-    previous = list(range(-1, n - 1))
-
-    def put(position: int, value: int) -> None:
-        node = size + position
-        tree[node] = value
-        node >>= 1
-        while node:
-            a, b = tree[2 * node], tree[2 * node + 1]
-            least = a if a < b else b
-            if tree[node] == least:
-                break
-            tree[node] = least
-            node >>= 1
-
-    def pair(position: int) -> int:
-        middle = following[position]
-        if middle >= n:
-            return NONE
-        rank = ranks.get(word[position : following[middle]])
-        return NONE if rank is None else rank * size + position
-
-    while tree[1] < NONE:
-        left = tree[1] % size
+    previous = list(range(-1, n))
+    get, mask = ranks.get, size - 1
+    while (top := tree[1]) < NONE:
+        left = top & mask
         gone = following[left]
-        following[left] = following[gone]
-        if following[gone] < n:
-            previous[following[gone]] = left
-        put(gone, NONE)
-        put(left, pair(left))
-        if previous[left] >= 0:
-            put(previous[left], pair(previous[left]))
+        after = following[left] = following[gone]
+        previous[after] = left
+        before = previous[left]
+        changes = [(gone, NONE)]
+        if after < n and (rank := get(word[left : following[after]])) is not None:
+            changes.append((left, rank * size + left))
+        else:
+            changes.append((left, NONE))
+        if before >= 0:
+            rank = get(word[before:after])
+            changes.append((before, NONE if rank is None else rank * size + before))
+        for position, value in changes:
+            node = size + position
+            if tree[node] == value:
+                continue
+            tree[node] = value
+            node >>= 1
+            while node:
+                x, y = tree[2 * node], tree[2 * node + 1]
+                least = x if x < y else y
+                if tree[node] == least:
+                    break
+                tree[node] = least
+                node >>= 1
     ids, at = [], 0
     while at < n:
         ids.append(ranks[word[at : following[at]]])
@@ -114,14 +112,27 @@ class Encoder:
         self.words = regex.compile(PATTERN).findall
         self.parts = re.compile(r"(?<=\S) (?=\S)").split
         self.cache: dict[str, bytes] = {}
+        self.word_cache: dict[str, bytes] = {}
+
+    def keep(self, cache: dict[str, bytes], key: str, value: bytes) -> None:
+        if len(key) <= CACHE_CHARS:
+            if len(cache) >= CACHE_PIECES:
+                for old in list(cache)[: CACHE_PIECES // 2]:
+                    del cache[old]
+            cache[key] = value
 
     def piece(self, text: str) -> bytes:
         import struct
 
-        out: list[int] = []
+        out = []
         for word in self.words(text):
-            out += merge_word(word.encode("utf-8", "replace"), self.ranks)
-        return struct.pack(f"<{len(out)}i", *out)
+            found = self.word_cache.get(word)
+            if found is None:
+                ids = merge_word(word.encode("utf-8", "replace"), self.ranks)
+                found = struct.pack(f"<{len(ids)}i", *ids)
+                self.keep(self.word_cache, word, found)
+            out.append(found)
+        return b"".join(out)
 
     def encode(self, text: str | None) -> bytes:
         if not text:
@@ -132,11 +143,7 @@ class Encoder:
             found = cache.get(part)
             if found is None:
                 found = self.piece(" " + part)
-                if len(part) <= CACHE_CHARS:
-                    if len(cache) >= CACHE_PIECES:
-                        for key in list(cache)[: CACHE_PIECES // 2]:
-                            del cache[key]
-                    cache[part] = found
+                self.keep(cache, part, found)
             out.append(found)
         return b"".join(out)
 
