@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import p03_survivor, p04_split, p05_canonical, p07_lines, p08_tokens, p09_leaks
+from millrace.llm import p03_survivor, p04_split, p05_canonical, p07_lines, p08_tokens, p09_leaks, p10_toxic
 from millrace.sources import table
 
 
@@ -60,6 +60,23 @@ def p9_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p09_leaks.leak_counts(p9_found(spark, sf_dir))
 
 
+def _labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, sf_dir, "documents", "doc_id", "source", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_toxic.toxic_documents(*_labelled(spark, sf_dir))
+
+
+def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = _labelled(spark, sf_dir)
+    return p10_toxic.score_documents(documents, p10_toxic.train(documents, labels))
+
+
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_toxic.source_rates(*_labelled(spark, sf_dir))
+
+
 QUERIES = {
     "p3_found": p3_found,
     "p3_survivors": p3_survivors,
@@ -72,6 +89,9 @@ QUERIES = {
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p9_items": p9_items,
+    "p10_found": p10_found,
+    "p10_scores": p10_scores,
+    "p10_rates": p10_rates,
 }
 
 SQL = {
