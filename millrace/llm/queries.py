@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import p03_survivor, p04_split, p05_canonical, p07_lines, p08_tokens, p09_leaks, p10_toxic
+from millrace.llm import p03_survivor, p04_split, p05_canonical, p06_boilerplate, p07_lines, p08_tokens, p09_leaks, p10_toxic
 from millrace.sources import table
 
 
@@ -40,6 +40,14 @@ def p5_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p05_canonical.unmatched_values(*_typed(spark, sf_dir))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p06_boilerplate.boilerplate_lines(table(spark, sf_dir, "source_documents"), table(spark, sf_dir, "extraction_results"))
+
+
+def p6_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p06_boilerplate.main_bodies(table(spark, sf_dir, "source_documents"), table(spark, sf_dir, "extraction_results"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p07_lines.repeated_lines(table(spark, sf_dir, "source_documents"))
 
@@ -84,6 +92,8 @@ QUERIES = {
     "p4_pieces": p4_pieces,
     "p5_found": p5_found,
     "p5_unmatched": p5_unmatched,
+    "p6_found": p6_found,
+    "p6_bodies": p6_bodies,
     "p7_found": p7_found,
     "p7_cleaned": p7_cleaned,
     "p8_ids": p8_ids,
