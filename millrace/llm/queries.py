@@ -4,10 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import p03_survivor, p04_split, p05_canonical, p06_boilerplate, p07_lines, p08_tokens, p09_leaks, p10_toxic
+from millrace.llm import p02_residue, p03_survivor, p04_split, p05_canonical, p06_boilerplate, p07_lines, p08_tokens, p09_leaks, p10_toxic
 from millrace.sources import table
 
 
+RESULTS = ("result_id", "final_url", "title", "text")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p02_residue.residual_results(table(spark, sf_dir, "extraction_results", *RESULTS))
+
+
+def p2_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p02_residue.residue(table(spark, sf_dir, "extraction_results", *RESULTS))
+
+
+def p2_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p02_residue.clean_results(table(spark, sf_dir, "extraction_results", *RESULTS)).select("result_id", "title", "text")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p03_survivor.dominant_records(table(spark, sf_dir, "signals"))
 
@@ -86,6 +101,9 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_reasons": p2_reasons,
+    "p2_clean": p2_clean,
     "p3_found": p3_found,
     "p3_survivors": p3_survivors,
     "p4_found": p4_found,
