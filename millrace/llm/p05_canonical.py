@@ -21,6 +21,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from millrace.llm.common import durable
+
 #: Letters with accents and look-alikes, and what they stand for.
 ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüñçýаеорсухіѕ"
 PLAIN = "aaaaaaeeeeiiiiooooouuuuncyaeopcyxis"
@@ -124,6 +126,11 @@ def place_forms(places: DataFrame) -> DataFrame:
     )
 
 
+def reference_forms(roles: DataFrame, places: DataFrame) -> DataFrame:
+    """All forms of both lists, written once: their number follows the lists, not the records."""
+    return durable(role_forms(roles).unionByName(place_forms(places)))
+
+
 def typed_values(records: DataFrame) -> DataFrame:
     """(record_id, field, value) of the values that are neither null nor blank."""
     return records.sparkSession.sql(
@@ -151,6 +158,8 @@ def mapped_values(values: DataFrame, all_forms: DataFrame) -> DataFrame:
         """,
         values=values,
     )
+    # each of these is read several times below; written once, they keep the plan small
+    glued = durable(glued)
     return spark.sql(
         f"""
         WITH forms AS (SELECT field, ref_id, plain, form, length(form) AS l, {edits_sql("length(form)")} AS k FROM {{all_forms}}),
@@ -184,8 +193,7 @@ def mapped_values(values: DataFrame, all_forms: DataFrame) -> DataFrame:
 def map_values(records: DataFrame, roles: DataFrame, places: DataFrame) -> DataFrame:
     """(record_id, field, ref_id): the entry meant by each typed role and location, -1 where none is."""
     values = typed_values(records)
-    all_forms = role_forms(roles).unionByName(place_forms(places))
-    mapped = mapped_values(values, all_forms)
+    mapped = durable(mapped_values(values, reference_forms(roles, places)))
     return records.sparkSession.sql(
         """SELECT DISTINCT v.record_id, v.field, m.ref_id FROM {values} v JOIN {mapped} m ON v.field = m.field AND v.value = m.value
            UNION ALL
@@ -198,7 +206,7 @@ def map_values(records: DataFrame, roles: DataFrame, places: DataFrame) -> DataF
 def unmatched_values(records: DataFrame, roles: DataFrame, places: DataFrame) -> DataFrame:
     """(field, value, n): the typed values without an entry, with their number of records."""
     values = typed_values(records)
-    mapped = mapped_values(values, role_forms(roles).unionByName(place_forms(places)))
+    mapped = mapped_values(values, reference_forms(roles, places))
     return records.sparkSession.sql(
         """SELECT v.field, v.value, count(*) AS n FROM {values} v LEFT ANTI JOIN {mapped} m ON v.field = m.field AND v.value = m.value
            GROUP BY v.field, v.value""",
