@@ -37,6 +37,9 @@ WINDOW, STEP, ITEM_STEP = 16, 8, 4
 RANK = 64
 LEAST_RUN, ONE_EDIT_IN = 15, 10
 COSINE = 0.35
+#: Words of a run that one of its windows holds at least, less those an edit may cost.
+LEAST_SHARED = 8
+UNCHANGED = 6
 #: Part of an average item passage's squared norm that a corpus passage must hold to be compared.
 MASS = 0.3
 WORD = re.compile(r"[^\W_]+").findall
@@ -51,15 +54,28 @@ def starts(n: int, step: int) -> range:
     return range(0, max(1, n - WINDOW + step), step) if n else range(0)
 
 
+def bit_places(item: list[int]) -> dict[int, int]:
+    """For each word of an item the places where it stands, as bits."""
+    out: dict[int, int] = {}
+    for i, w in enumerate(item):
+        out[w] = out.get(w, 0) | 1 << i
+    return out
+
+
 class Items:
     """Vocabulary and words of the items."""
 
     def __init__(self, rows: list[tuple[int, str]]):
-        self.ids = [i for i, _ in rows]
-        texts = [words(t) for _, t in rows]
+        read = [(i, words(t)) for i, t in rows]
+        read = [(i, w) for i, w in read if w]
+        self.ids = [i for i, _ in read]
+        texts = [w for _, w in read]
         self.vocabulary = {w: k for k, w in enumerate(sorted({w for t in texts for w in t}))}
         self.words = [[self.vocabulary[w] for w in t] for t in texts]
         self.sets = [frozenset(t) for t in self.words]
+        # 15 words with one edit, or 20 with two, hold six in a row unchanged, and so does any longer run
+        self.grams = [frozenset(zip(*(t[k:] for k in range(UNCHANGED)), strict=False)) for t in self.words]
+        self.places = [bit_places(t) for t in self.words]
 
     def passages(self) -> tuple[list[list[int]], list[int]]:
         out, owner = [], []
@@ -70,14 +86,14 @@ class Items:
         return out, owner
 
 
-def common_subsequence(a: list[int], b: list[int]) -> int:
-    """Length of the longest common subsequence."""
-    row = [0] * (len(b) + 1)
+def common_subsequence(a: list[int], places: dict[int, int], length: int) -> int:
+    """Length of the longest common subsequence of ``a`` and an item, with one bit for each item word."""
+    full = (1 << length) - 1
+    row = full
     for x in a:
-        diagonal = 0
-        for j, y in enumerate(b, 1):
-            diagonal, row[j] = row[j], diagonal + 1 if x == y else (row[j] if row[j] >= row[j - 1] else row[j - 1])
-    return row[-1]
+        matched = row & places.get(x, 0)
+        row = ((row + matched) | (row - matched)) & full
+    return length - row.bit_count()
 
 
 def shared_run(item: list[int], text: list[int]) -> bool:
@@ -229,7 +245,11 @@ def leaked_items(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     basis = latent_basis(texts, items, idf, least)
     item_vectors = vectors(passages, idf, basis)
     weighted = np.vstack([(idf[:, None] * basis).astype(np.float32), np.zeros((1, basis.shape[1]), np.float32)])
-    item_of, vocabulary = np.array(owner), items.vocabulary
+    vocabulary = items.vocabulary
+    first_passage = np.searchsorted(np.array(owner), np.arange(len(items.words)))
+    member = np.zeros((len(idf) + 1, len(items.words)), np.int8)  # the last row is the place of unknown words
+    for k, members in enumerate(items.sets):
+        member[list(members), k] = 1
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,22 +263,24 @@ def leaked_items(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_
                     continue
                 latent = np.stack([weighted[ids[s : s + WINDOW]].sum(axis=0) for s in begins])
                 latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-                near = latent @ item_vectors.T >= COSINE
-                found: set[int] = set()
+                near = np.logical_or.reduceat(latent @ item_vectors.T >= COSINE, first_passage, axis=1)
+                # of a run's 15 words a window of 16 at every 8th word holds 11 or more
+                shared = np.stack([member[ids[s : s + WINDOW]].sum(axis=0) for s in begins])
                 whole = ids.tolist()
-                for s, row in zip(begins, near, strict=True):
-                    window = whole[s : s + WINDOW]
-                    for k in set(item_of[row].tolist()) - found:
-                        item, members = items.words[k], items.sets[k]
-                        if len(item) < LEAST_RUN or sum(w in members for w in window) < 9:
-                            continue
-                        if common_subsequence(window, item) < 8:
-                            continue
-                        reach = len(item) + WINDOW
-                        if shared_run(item, whole[max(0, s - reach) : s + WINDOW + reach]):
-                            found.add(k)
+                low, high = begins[0], begins[-1] + WINDOW
+                near_grams = set(zip(*(whole[max(0, low - WINDOW) + k : high + WINDOW] for k in range(UNCHANGED)), strict=False))
+                found: list[int] = []
+                for k in np.flatnonzero((near & (shared >= LEAST_SHARED)).any(axis=0)).tolist():
+                    item = items.words[k]
+                    if len(item) < LEAST_RUN or items.grams[k].isdisjoint(near_grams):
+                        continue
+                    if max(common_subsequence(whole[s : s + WINDOW], items.places[k], len(item)) for s in begins) < LEAST_SHARED:
+                        continue
+                    reach = len(item) + WINDOW
+                    if shared_run(item, whole[max(0, low - reach) : high + reach]):
+                        found.append(k)
                 out_doc += [doc] * len(found)
-                out_item += [items.ids[k] for k in sorted(found)]
+                out_item += [items.ids[k] for k in found]
             yield pa.RecordBatch.from_arrays([pa.array(out_doc, batch.column(0).type), pa.array(out_item, pa.int64())], ["id", "item_id"])
 
     id_type = source.schema["id"].dataType.simpleString()
