@@ -4,10 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import p02_residue, p03_survivor, p04_split, p05_canonical, p06_boilerplate, p07_lines, p08_tokens, p09_leaks, p10_toxic
+from millrace.llm import p01_names, p02_residue, p03_survivor, p04_split, p05_canonical, p06_boilerplate, p07_lines, p08_tokens, p09_leaks, p10_toxic
 from millrace.sources import table
 
 
+NAMES = ("record_id", "job_id", "company", "website")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p01_names.variant_pairs(table(spark, sf_dir, "signals", *NAMES))
+
+
+def p1_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p01_names.clusters(table(spark, sf_dir, "signals", *NAMES))
+
+
 RESULTS = ("result_id", "final_url", "title", "text")
 
 
@@ -101,6 +112,8 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_clusters": p1_clusters,
     "p2_found": p2_found,
     "p2_reasons": p2_reasons,
     "p2_clean": p2_clean,
