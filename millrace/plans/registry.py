@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from millrace.plans import signal_queries
+
+QUERIES: dict = {**signal_queries.QUERIES}
+SQL: dict = {**signal_queries.SQL}
