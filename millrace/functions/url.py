@@ -70,7 +70,7 @@ def bare_host(column: Column) -> Column:
 
 
 def _octets(name: Column) -> Column:
-    return F.transform(F.split(name, r"\."), lambda o: o.cast("int"))
+    return F.transform(F.split(name, r"\."), lambda o: o.try_cast("int"))
 
 
 def is_ipv4(name: Column) -> Column:

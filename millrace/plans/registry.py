@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.plans import signal_queries
+from millrace.plans import job_queries, page_queries, signal_queries
 
-QUERIES: dict = {**signal_queries.QUERIES}
-SQL: dict = {**signal_queries.SQL}
+QUERIES: dict = {**signal_queries.QUERIES, **page_queries.QUERIES, **job_queries.QUERIES}
+SQL: dict = {**signal_queries.SQL, **page_queries.SQL, **job_queries.SQL}
