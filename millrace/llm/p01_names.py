@@ -21,10 +21,11 @@ from __future__ import annotations
 import heapq
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import blank, durable, narrow
@@ -107,6 +108,7 @@ class Reader:
             if len(word) >= 5:
                 for d in deletions(word, 1 if len(word) < 7 else 2):
                     self.near.setdefault(d, []).append(word)
+        self.ends = {(w[0], w[-1]) for w in [*SECTORS, *NICKNAMES] if len(w) >= 7}
         self.known: dict[str, tuple[str, str]] = {}
 
     def kind(self, token: str) -> tuple[str, str]:
@@ -117,7 +119,9 @@ class Reader:
             if len(token) >= 4:
                 most = 1 if len(token) < 7 else 2
                 best = most + 1
-                for d in deletions(token, 1 if len(token) < 6 else 2):
+                # two letters off on either side are looked for only where an end of the token is a word's
+                ends = (token[0], token[-1]) in self.ends and len(token) >= 7
+                for d in deletions(token, 2 if ends else 1):
                     for word in self.near.get(d, ()):
                         e = distance(token, word, most)
                         if e < best:
@@ -296,7 +300,9 @@ def read_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = list(zip(*read, strict=True)) or [()] * 5
         types = [texts, pa.list_(texts), texts, texts, texts]
         arrays = [batch.column(0), batch.column(1), batch.column(2), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]]
-        yield pa.RecordBatch.from_arrays(arrays, ["job_id", "company", "sites", "own", "sectors", "first", "initials", "kind"])
+        # the lines of business as bits, so that a join can tell which exclude each other
+        arrays.append(pa.array([sum(1 << (SECTORS.index(w) % 63) for w in sectors) for _, sectors, *_ in read], pa.int64()))
+        yield pa.RecordBatch.from_arrays(arrays, ["job_id", "company", "sites", "own", "sectors", "first", "initials", "kind", "business"])
 
 
 def site_of(website):
@@ -306,57 +312,65 @@ def site_of(website):
 
 
 def named(df: DataFrame) -> DataFrame:
-    """(job_id, company, sites, own, sectors, first, initials, kind) of each distinct name of a job."""
+    """(job_id, company, sites, own, sectors, first, initials, kind, business) of each distinct name of a job.
+
+    A site is a board, and counts for nothing, when the names that use it begin in many ways.
+    """
     base = narrow(df, job_id="job_id", company="company", website="website").where("job_id IS NOT NULL").where(~blank(F.col("company")))
-    typed = base.select("job_id", "company", F.when(~blank(F.col("website")), site_of(F.col("website"))).alias("site"))
-    sites = F.collect_set(F.when(F.col("site") != "", F.col("site"))).alias("sites")
-    distinct = typed.groupBy("job_id", "company").agg(sites)
-    read = durable(distinct.mapInArrow(read_names, "job_id bigint, company string, sites array<string>, own string, sectors array<string>, first string, initials string, kind string"))
-    used = read.where("own NOT LIKE '#%' AND own <> ''").select(F.explode("sites").alias("site"), F.substring("own", 1, 3).alias("beginning")).distinct()
-    boards = used.groupBy("site").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= BOARD_BEGINNINGS).select("site", F.lit(True).alias("board"))
-    kept = read.select("job_id", "company", F.explode("sites").alias("site")).join(boards, "site", "left_anti").groupBy("job_id", "company").agg(F.sort_array(F.collect_set("site")).alias("sites"))
-    return read.drop("sites").join(kept, ["job_id", "company"], "left").withColumn("sites", F.coalesce("sites", F.array().cast("array<string>")))
+    typed = base.select("job_id", "company", F.when(~blank(F.col("website")), F.nullif(site_of(F.col("website")), F.lit(""))).alias("site"))
+    used = typed.where("site IS NOT NULL")
+    beginning = F.substring(F.lower(F.regexp_replace("company", r"[^\p{L}]", "")), 1, 3)
+    boards = used.select("site", beginning.alias("beginning")).distinct().groupBy("site").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= BOARD_BEGINNINGS).select("site")
+    own = used.distinct().join(boards, "site", "left_anti").select("job_id", "company", "site")
+    every = typed.select("job_id", "company", F.lit(None).cast("string").alias("site")).distinct().unionByName(own)
+    return every.groupBy("job_id", "company").agg(F.sort_array(F.collect_set("site")).alias("sites")).mapInArrow(
+        read_names, "job_id bigint, company string, sites array<string>, own string, sectors array<string>, first string, initials string, kind string, business bigint"
+    )
 
 
-def near_pairs(nodes: DataFrame) -> DataFrame:
-    """(a, b) of the nodes (node, job_id, own, sectors) that may be one organisation of a job.
+def near_pairs(nodes: DataFrame, total: int) -> DataFrame:
+    """(a, b) of the nodes (node, job_id, own, business, sited) that may be one organisation of a job.
 
-    The cosine of their 4-gram vectors reaches the threshold, and either the distinctive parts
+    ``total`` is the number of names, for the weights. The cosine of their 4-gram vectors reaches the threshold, and either the distinctive parts
     differ by a few edits or the shorter one, without a line of business, begins the longer one;
     their lines of business do not exclude each other.
     """
     grams = nodes.where(F.length("own") >= 3).select(
-        "node", "job_id", F.explode(F.array_distinct(F.expr(f"transform(sequence(1, greatest(1, length(own) + 3 - {GRAM})), i -> substring(concat('^', own, '$'), i, {GRAM}))"))).alias("gram")
-    )
+        "node", "job_id", "business",
+        F.explode(F.array_distinct(F.expr(f"transform(sequence(1, greatest(1, length(own) + 3 - {GRAM})), i -> xxhash64(substring(concat('^', own, '$'), i, {GRAM})))"))).alias("gram"),
+    )
     frequency = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    total = F.lit(float(max(1, nodes.count())))
-    weighted = grams.join(frequency, "gram").select("node", "job_id", F.struct((F.log(total / F.col("n")) + 0.5).alias("w"), "gram").alias("g"))
-    vectors = weighted.groupBy("node", "job_id").agg(F.sort_array(F.collect_list("g"), asc=False).alias("gs"))
+    weight = (F.log(F.lit(float(max(1, total))) / F.col("n")) + 0.5).cast("float")
+    weighted = grams.join(frequency, "gram").select("node", "job_id", "business", F.struct(weight.alias("w"), "gram").alias("g"))
+    vectors = weighted.groupBy("node", "job_id", "business").agg(F.sort_array(F.collect_list("g"), asc=False).alias("gs"))
     norm = F.sqrt(F.aggregate("gs", F.lit(0.0), lambda acc, g: acc + g["w"] * g["w"]))
-    scaled = vectors.select("node", "job_id", F.transform("gs", lambda g: F.struct((g["w"] / norm).alias("w"), g["gram"].alias("gram"))).alias("gs"))
+    scaled = vectors.select("node", "job_id", "business", F.transform("gs", lambda g: F.struct((g["w"] / norm).cast("float").alias("w"), g["gram"].alias("gram"))).alias("gs"))
     # grams in falling weight; what follows once the rest's norm is below the threshold is left out
-    rest = F.expr(f"filter(gs, (g, i) -> aggregate(slice(gs, i + 1, size(gs)), CAST(0 AS DOUBLE), (s, x) -> s + x.w * x.w) >= {COSINE * COSINE})")
-    entries = scaled.select("node", "job_id", F.explode(rest).alias("g")).select("node", "job_id", F.col("g.gram").alias("gram"), F.col("g.w").alias("w"))
+    rest = F.expr(
+        f"slice(gs, 1, aggregate(gs, named_struct('rest', CAST(1 AS DOUBLE), 'n', 0), (s, g) -> IF(s.rest >= {COSINE * COSINE}, named_struct('rest', s.rest - g.w * g.w, 'n', s.n + 1), s)).n)"
+    )
+    entries = scaled.select("node", "job_id", "business", F.explode(rest).alias("g")).select("node", "job_id", "business", F.col("g.gram").alias("gram"), F.col("g.w").alias("w"))
     left, right = entries.alias("l"), entries.alias("r")
-    joined = left.join(right, (F.col("l.job_id") == F.col("r.job_id")) & (F.col("l.gram") == F.col("r.gram")) & (F.col("l.node") < F.col("r.node")))
+    shared = F.col("l.business").bitwiseAND(F.col("r.business"))
+    on = (F.col("l.job_id") == F.col("r.job_id")) & (F.col("l.gram") == F.col("r.gram")) & (F.col("l.node") < F.col("r.node"))
+    joined = left.join(right, on & ((shared == F.col("l.business")) | (shared == F.col("r.business"))))
     summed = joined.groupBy(F.col("l.node").alias("a"), F.col("r.node").alias("b")).agg(F.sum(F.col("l.w") * F.col("r.w")).alias("cosine"))
     near = summed.where(F.col("cosine") >= COSINE).select("a", "b")
     for side in ("a", "b"):
-        near = near.join(nodes.select(F.col("node").alias(side), F.col("own").alias(f"own_{side}"), F.col("sectors").alias(f"sectors_{side}")), side)
+        near = near.join(nodes.select(F.col("node").alias(side), F.col("own").alias(f"own_{side}"), F.col("business").alias(f"business_{side}"), F.col("sited").alias(f"sited_{side}")), side)
     # levenshtein counts a swap of neighbours twice, hence one edit more than the clustering allows
-    edits = F.expr("levenshtein(own_a, own_b) <= CASE WHEN least(length(own_a), length(own_b)) <= 5 THEN 2 WHEN least(length(own_a), length(own_b)) <= 13 THEN 3 ELSE 4 END")
-    stem = F.expr(
-        "(size(sectors_a) = 0 AND length(own_a) < length(own_b) AND startswith(own_b, substring(own_a, 1, greatest(4, length(regexp_replace(own_a, '(s|ey|corp)$', ''))))))"
-        " OR (size(sectors_b) = 0 AND length(own_b) < length(own_a) AND startswith(own_a, substring(own_b, 1, greatest(4, length(regexp_replace(own_b, '(s|ey|corp)$', ''))))))"
-    )
-    business = F.expr("size(array_intersect(sectors_a, sectors_b)) = least(size(sectors_a), size(sectors_b))")
-    return near.where(business & (edits | stem)).select("a", "b")
+    shorter = "least(length(own_a), length(own_b))"
+    edits = F.expr(f"levenshtein(own_a, own_b) <= CASE WHEN {shorter} <= 5 THEN 1 WHEN {shorter} <= 8 THEN 2 WHEN {shorter} <= 13 THEN 3 ELSE 4 END AND (business_a <> 0 OR business_b <> 0 OR own_a = own_b)")
+    # what has a site of its own is known by that: names are compared where one of the two has none
+    stem = "(business_{x} = 0 AND NOT sited_{x} AND length(own_{x}) < length(own_{y}) AND startswith(own_{y}, substring(own_{x}, 1, greatest(4, length(regexp_replace(own_{x}, '(s|ey|corp)$', ''))))))"
+    near = near.where("own_a = own_b OR NOT (sited_a AND sited_b)")
+    return near.where(edits | F.expr(stem.format(x="a", y="b")) | F.expr(stem.format(x="b", y="a"))).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node of each connected component; rounds of hooking and jumping until nothing changes."""
     both = durable(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = durable(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).select(F.col("a").alias("node"), "label"))
+    labels = both.groupBy("a").agg(F.min("b").alias("label")).select(F.col("a").alias("node"), F.least("a", "label").alias("label"))
     while True:
         heard = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("heard"))
         hooked = labels.join(heard, labels["node"] == heard["a"]).select("node", "label", F.least("label", "heard").alias("next"))
@@ -369,19 +383,21 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def clusters(df: DataFrame) -> DataFrame:
-    """(job_id, company, cluster) of the names that share a block with another name of their job."""
+    """(job_id, company, cluster) of the names that mean the same organisation as another name of their job."""
     short_form = F.col("own").rlike("^(#|$)")
     names = durable(named(df).withColumn("node", F.xxhash64("job_id", "own", "sectors", F.when(short_form, F.col("company")))))
-    nodes = names.where(~short_form).select("node", "job_id", "own", "sectors").distinct()
+    nodes = names.where(~short_form).groupBy("node", "job_id", "own", "business").agg(F.max(F.size("sites") > 0).alias("sited"))
     by_site = names.select("job_id", F.explode("sites").alias("site"), "node").distinct()
     anchors = by_site.groupBy("job_id", "site").agg(F.min("node").alias("a"))
     shared = by_site.join(anchors, ["job_id", "site"]).where("a <> node").select("a", F.col("node").alias("b"))
-    labels = components(near_pairs(nodes).unionByName(shared).distinct())
-    placed = durable(names.join(labels, "node", "left").withColumn("block", F.coalesce("label", "node")).drop("label"))
+    labels = components(near_pairs(nodes, names.count()).unionByName(shared))
+    placed = names.join(labels, "node", "left").withColumn("block", F.coalesce("label", "node")).drop("label")
     # initials without a site of their own mean the one organisation of the job that has them, if there is just one
-    spelt = placed.where(~short_form).groupBy("job_id", "initials").agg(F.min("block").alias("only"), F.max("block").alias("other")).where("only = other").drop("other")
+    alike = Window.partitionBy("job_id", "initials")
+    spelt = F.when(~short_form, F.col("block"))
     lonely = short_form & (F.length("initials") >= 3) & (F.size("sites") == 0)
-    blocks = placed.join(spelt, ["job_id", "initials"], "left").withColumn("block", F.when(lonely, F.coalesce("only", "block")).otherwise(F.col("block"))).drop("only")
+    only = F.when(lonely & (F.min(spelt).over(alike) == F.max(spelt).over(alike)), F.min(spelt).over(alike))
+    blocks = placed.withColumn("block", F.coalesce(only, "block"))
     gathered = blocks.groupBy("job_id", "block").agg(F.collect_list(F.struct("company", "own", "sectors", "first", "initials", "sites")).alias("names")).where(F.size("names") > 1)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -389,7 +405,11 @@ def clusters(df: DataFrame) -> DataFrame:
             jobs, companies, numbers = [], [], []
             for job, block, members in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 members.sort(key=lambda m: m["company"])
-                for member, number in zip(members, average_linkage(members), strict=True):
+                linked = average_linkage(members)
+                several = {number for number, n in Counter(linked).items() if n > 1}
+                for member, number in zip(members, linked, strict=True):
+                    if number not in several:
+                        continue
                     jobs.append(job)
                     companies.append(member["company"])
                     numbers.append(f"{block}/{number}")
@@ -400,10 +420,8 @@ def clusters(df: DataFrame) -> DataFrame:
 
 def variant_pairs(df: DataFrame) -> DataFrame:
     """(record_id_a, record_id_b) of the records of one job under different names of one organisation."""
-    linked = durable(clusters(df))
-    several = linked.groupBy("job_id", "cluster").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("job_id", "cluster")
     records = narrow(df, record_id="record_id", job_id="job_id", company="company").where("record_id IS NOT NULL").distinct()
-    placed = records.join(linked.join(several, ["job_id", "cluster"], "left_semi"), ["job_id", "company"]).select("record_id", "job_id", "cluster", "company")
+    placed = durable(records.join(clusters(df), ["job_id", "company"]).select("record_id", "job_id", "cluster", "company"))
     a, b = placed.alias("a"), placed.alias("b")
     same = (F.col("a.job_id") == F.col("b.job_id")) & (F.col("a.cluster") == F.col("b.cluster"))
     pairs = a.join(b, same & (F.col("a.record_id") < F.col("b.record_id")) & (F.col("a.company") != F.col("b.company")))
