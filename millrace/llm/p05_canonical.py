@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from millrace.llm.common import durable
+from millrace.llm.common import durable, narrow
 
 #: Letters with accents and look-alikes, and what they stand for.
 ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüñçýаеорсухіѕ"
@@ -137,7 +137,7 @@ def typed_values(records: DataFrame) -> DataFrame:
         """SELECT record_id, field, value FROM {records}
            LATERAL VIEW stack(2, 'role', role, 'location', location) AS field, value
            WHERE value IS NOT NULL AND value RLIKE '(?U)[^\\\\s]'""",
-        records=records,
+        records=narrow(records, record_id="record_id", role="role", location="location"),
     )
 
 
