@@ -40,8 +40,10 @@ COSINE = 0.35
 #: Words of a run that one of its windows holds at least, less those an edit may cost.
 LEAST_SHARED = 8
 UNCHANGED = 6
-#: Part of an average item passage's squared norm that a corpus passage must hold to be compared.
-MASS = 0.3
+#: Part of the lightest item passage's squared norm that a corpus passage must hold to be compared.
+MASS = 0.45
+#: Words of fewer documents than one in so many weigh alike, so that an item that leaked often keeps its weight.
+RARE = 1000
 WORD = re.compile(r"[^\W_]+").findall
 
 
@@ -237,11 +239,11 @@ def leaked_items(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_
         return spark.createDataFrame([], "doc_id bigint, item_id bigint").withColumnRenamed("doc_id", id_col)
     texts = source.select("text")
     frequency, n_docs = document_frequencies(texts, items.vocabulary)
-    idf = np.log((1 + n_docs) / (1 + frequency)) + 0.1
+    idf = np.minimum(np.log((1 + n_docs) / (1 + frequency)), np.log(RARE)) + 0.1
     idf2 = np.append(idf**2, 0.0)
     passages, owner = items.passages()
     # the mass that a window of an item holds at least, so that a part of it is still compared
-    least = MASS * float(np.mean([idf2[p].sum() for p in passages if len(p) == WINDOW] or [0.0]))
+    least = MASS * float(min([idf2[p].sum() for p in passages if len(p) == WINDOW], default=0.0))
     basis = latent_basis(texts, items, idf, least)
     item_vectors = vectors(passages, idf, basis)
     weighted = np.vstack([(idf[:, None] * basis).astype(np.float32), np.zeros((1, basis.shape[1]), np.float32)])
