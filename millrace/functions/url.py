@@ -81,7 +81,7 @@ def is_ipv4(name: Column) -> Column:
 def private_host(name: Column) -> Column:
     """Hosts that a public service must not call: local names, private and reserved ranges."""
     o = _octets(name)
-    first, second = o[0], o[1]
+    first, second = F.get(o, F.lit(0)), F.get(o, F.lit(1))
     v4 = is_ipv4(name) & (
         first.isin(0, 10, 127) | ((first == 169) & (second == 254)) | ((first == 172) & second.between(16, 31)) | ((first == 192) & (second == 168))
         | ((first == 100) & second.between(64, 127)) | (first >= 224)
