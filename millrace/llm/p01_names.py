@@ -362,7 +362,7 @@ def near_pairs(nodes: DataFrame, total: int) -> DataFrame:
     shorter = "least(length(own_a), length(own_b))"
     edits = F.expr(f"levenshtein(own_a, own_b) <= CASE WHEN {shorter} <= 5 THEN 1 WHEN {shorter} <= 8 THEN 2 WHEN {shorter} <= 13 THEN 3 ELSE 4 END AND (business_a <> 0 OR business_b <> 0 OR own_a = own_b)")
     # what has a site of its own is known by that: names are compared where one of the two has none
-    stem = "(business_{x} = 0 AND NOT sited_{x} AND length(own_{x}) < length(own_{y}) AND startswith(own_{y}, substring(own_{x}, 1, greatest(4, length(regexp_replace(own_{x}, '(s|ey|corp)$', ''))))))"
+    stem = "(business_{x} = 0 AND length(own_{x}) < length(own_{y}) AND startswith(own_{y}, substring(own_{x}, 1, greatest(4, length(regexp_replace(own_{x}, '(s|ey|corp)$', ''))))))"
     near = near.where("own_a = own_b OR NOT (sited_a AND sited_b)")
     return near.where(edits | F.expr(stem.format(x="a", y="b")) | F.expr(stem.format(x="b", y="a"))).select("a", "b")
 
