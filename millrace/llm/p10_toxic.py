@@ -32,12 +32,12 @@ from pyspark.sql import functions as F
 from millrace.llm.common import narrow
 
 MAX_TRAINING_DOCUMENTS = 20_000
-STEPS = 150
+STEPS, STEP, PENALTY = 120, 0.15, 0.2
 BIAS = -4.0
 THRESHOLD = 0.5
 #: Share of toxic documents among those with a word or pair, from which it may have a positive weight.
 BLAMABLE = 0.6
-CHANCE = 0.006
+CHANCE = 0.004
 #: Words that start with some weight, so that few labels are enough.
 SEED_WORDS = (
     "idiot imbecile moron dimwit halfwit jackass bastard scumbag liar worm leech vermin numbskull clown coward bitch whore slut filthy pathetic worthless "
@@ -215,8 +215,7 @@ def fit(texts: list[str | None], labels: list[float]) -> Model:
     y = np.array(labels, float)
     blamable = np.array([f in blamed for f in vocabulary], bool)
     anchor = np.array([2.2 if f in seeds else 0.0 for f in vocabulary])
-    weight, bias, square, square_b = anchor.copy(), BIAS, np.full(len(vocabulary), 1e-3), 1e-3
-    penalty = 0.002 * max(1.0, len(bags) / 1000)
+    weight, bias = anchor.copy(), BIAS
     for _ in range(STEPS if n else 0):
         z = np.bincount(sentence_of, weight[feature], n) + bias
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -225,13 +224,12 @@ def fit(texts: list[str | None], labels: list[float]) -> Model:
         # the derivative of y log(1 - q) + (1 - y) log q by a sentence's score, bounded, so that a
         # wrong verdict does not drag single words along without end
         push = np.clip((y * quiet / loud - (1 - y))[doc_of] * p, -1.0, 1.0)
-        gradient = np.bincount(feature, push[sentence_of], len(vocabulary)) - penalty * (weight - anchor)
-        square = 0.95 * square + 0.05 * gradient**2
-        weight += 0.1 * gradient / np.sqrt(square + 1e-8)
+        # steps by the curvature: what many sentences share moves first, what only a few hold cannot be learned by heart
+        curve = p * (1 - p)
+        gradient = np.bincount(feature, push[sentence_of], len(vocabulary)) - PENALTY * (weight - anchor)
+        weight += STEP * gradient / (np.bincount(feature, curve[sentence_of], len(vocabulary)) + 1.0)
         weight = np.where(blamable, weight, np.minimum(weight, 0.0))
-        g = push.sum()
-        square_b = 0.95 * square_b + 0.05 * g * g
-        bias = min(-2.5, bias + 0.05 * g / np.sqrt(square_b + 1e-8))
+        bias = min(-2.5, bias + STEP * push.sum() / (curve.sum() + 1.0))
     named = {f: float(weight[k]) for f, k in vocabulary.items() if abs(weight[k]) > 1e-3}
     singles = {s: 2.2 for s in seeds} | {f: v for f, v in named.items() if " " not in f}
     shapes: dict[str, float] = {}
