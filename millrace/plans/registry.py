@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from millrace.plans import job_queries, page_queries, signal_queries
+from millrace.plans import job_queries, more_queries, page_queries, signal_queries
 
-QUERIES: dict = {**signal_queries.QUERIES, **page_queries.QUERIES, **job_queries.QUERIES}
-SQL: dict = {**signal_queries.SQL, **page_queries.SQL, **job_queries.SQL}
+_PARTS = (signal_queries, page_queries, job_queries, more_queries)
+QUERIES: dict = {name: run for part in _PARTS for name, run in part.QUERIES.items()}
+SQL: dict = {name: sql for part in _PARTS for name, sql in part.SQL.items()}
