@@ -114,9 +114,15 @@ def meaningful(text: Column, least: int = 200) -> Column:
 def readable(text: Column) -> Column:
     """Lines squeezed, without empty ones and without repetitions (case aside), the first of each kept in order."""
     lines = F.filter(F.transform(F.split(text, r"\n+"), squeezed), lambda x: x != "")
-    keys = F.transform(lines, F.lower)
-    kept = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("line"), i.alias("i"))), lambda s: F.array_position(keys, F.lower(s["line"])) == s["i"] + 1)
-    return F.array_join(F.transform(kept, lambda s: s["line"]), "\n")
+    # one-element arrays bind the lines and their keys to names, so that no line is made twice
+    bound = F.transform(F.array(lines), lambda ls: F.struct(ls.alias("lines"), F.transform(ls, F.lower).alias("keys")))
+
+    def first_ones(b: Column) -> Column:
+        placed = F.transform(b["lines"], lambda x, i: F.struct(x.alias("line"), i.alias("i")))
+        kept = F.filter(placed, lambda s: F.array_position(b["keys"], F.get(b["keys"], s["i"])) == s["i"] + 1)
+        return F.array_join(F.transform(kept, lambda s: s["line"]), "\n")
+
+    return F.get(F.transform(bound, first_ones), F.lit(0))
 
 
 def csv_field(column: Column) -> Column:
