@@ -78,6 +78,9 @@ class Items:
         # 15 words with one edit, or 20 with two, hold six in a row unchanged, and so does any longer run
         self.grams = [frozenset(zip(*(t[k:] for k in range(UNCHANGED)), strict=False)) for t in self.words]
         self.places = [bit_places(t) for t in self.words]
+        self.member = np.zeros((len(self.vocabulary) + 1, len(self.words)), np.int8)  # the last row is the place of unknown words
+        for k, members in enumerate(self.sets):
+            self.member[list(members), k] = 1
 
     def passages(self) -> tuple[list[list[int]], list[int]]:
         out, owner = [], []
@@ -156,12 +159,21 @@ def vectors(passages: list[list[int]], idf: np.ndarray, basis: np.ndarray) -> np
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
-def known_passages(ids: np.ndarray, idf2: np.ndarray, least: float) -> list[int]:
-    """Starts of the windows whose item words weigh enough to be compared at all."""
-    begin = np.fromiter(starts(len(ids), STEP), np.int64)
+def known_passages(ids: np.ndarray, idf2: np.ndarray, least: float, member: np.ndarray) -> tuple[list[int], np.ndarray | None]:
+    """Starts of the windows that can hold part of a run, and how many words each shares with each item.
+
+    Their item words weigh enough, and at least one item has enough of them.
+    """
+    begin = np.arange(0, max(1, len(ids) - WINDOW + STEP), STEP)
     mass = np.concatenate(([0.0], np.cumsum(idf2[ids])))  # idf2[-1] is 0: the place of unknown words
     end = np.minimum(begin + WINDOW, len(ids))
-    return begin[mass[end] - mass[begin] >= least].tolist()
+    begin = begin[mass[end] - mass[begin] >= least]
+    if not len(begin):
+        return [], None
+    padded = np.concatenate((ids, np.full(WINDOW, -1, np.int64)))
+    shared = member[padded[begin[:, None] + np.arange(WINDOW)]].sum(axis=1, dtype=np.int8)
+    kept = shared.max(axis=1) >= LEAST_SHARED
+    return begin[kept].tolist(), shared[kept]
 
 
 def to_ids(text: str | None, vocabulary: dict[str, int]) -> np.ndarray:
@@ -203,7 +215,7 @@ def latent_basis(texts: DataFrame, items: Items, idf: np.ndarray, least: float)
     """Orthonormal basis (terms x rank) of the leading right singular vectors of all passages."""
     terms, rank = len(idf), min(RANK, len(idf))
     omega = np.random.default_rng(7).standard_normal((terms, rank))
-    vocabulary, idf2 = items.vocabulary, np.append(idf**2, 0.0)
+    vocabulary, idf2, member = items.vocabulary, np.append(idf**2, 0.0), items.member
     names = [f"z{k}" for k in range(rank)]
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +225,7 @@ def latent_basis(texts: DataFrame, items: Items, idf: np.ndarray, least: float)
             for text in batch.column(0).to_pylist():
                 ids = to_ids(text, vocabulary)
                 if len(ids):
-                    for s in known_passages(ids, idf2, least):
+                    for s in known_passages(ids, idf2, least, member)[0]:
                         window = ids[s : s + WINDOW]
                         passages.append(window[window >= 0].tolist())
             if passages:
@@ -247,11 +259,8 @@ def leaked_items(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     basis = latent_basis(texts, items, idf, least)
     item_vectors = vectors(passages, idf, basis)
     weighted = np.vstack([(idf[:, None] * basis).astype(np.float32), np.zeros((1, basis.shape[1]), np.float32)])
-    vocabulary = items.vocabulary
+    vocabulary, member = items.vocabulary, items.member
     first_passage = np.searchsorted(np.array(owner), np.arange(len(items.words)))
-    member = np.zeros((len(idf) + 1, len(items.words)), np.int8)  # the last row is the place of unknown words
-    for k, members in enumerate(items.sets):
-        member[list(members), k] = 1
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -260,14 +269,13 @@ def leaked_items(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_
                 ids = to_ids(text, vocabulary)
                 if len(ids) < LEAST_RUN:
                     continue
-                begins = known_passages(ids, idf2, least)
+                begins, shared = known_passages(ids, idf2, least, member)
                 if not begins:
                     continue
                 latent = np.stack([weighted[ids[s : s + WINDOW]].sum(axis=0) for s in begins])
                 latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
                 near = np.logical_or.reduceat(latent @ item_vectors.T >= COSINE, first_passage, axis=1)
                 # of a run's 15 words a window of 16 at every 8th word holds 11 or more
-                shared = np.stack([member[ids[s : s + WINDOW]].sum(axis=0) for s in begins])
                 whole = ids.tolist()
                 low, high = begins[0], begins[-1] + WINDOW
                 near_grams = set(zip(*(whole[max(0, low - WINDOW) + k : high + WINDOW] for k in range(UNCHANGED)), strict=False))
