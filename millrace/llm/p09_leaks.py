@@ -25,6 +25,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -159,26 +160,37 @@ def vectors(passages: list[list[int]], idf: np.ndarray, basis: np.ndarray) -> np
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
-def known_passages(ids: np.ndarray, idf2: np.ndarray, least: float, member: np.ndarray) -> tuple[list[int], np.ndarray | None]:
-    """Starts of the windows that can hold part of a run, and how many words each shares with each item.
+class Known:
+    """Which windows of a text can hold part of an item's run.
 
-    Their item words weigh enough, and at least one item has enough of them.
+    A window shares at least LEAST_SHARED words with the item, and these weigh at least MASS of the item's lightest passage.
     """
-    begin = np.arange(0, max(1, len(ids) - WINDOW + STEP), STEP)
-    mass = np.concatenate(([0.0], np.cumsum(idf2[ids])))  # idf2[-1] is 0: the place of unknown words
-    end = np.minimum(begin + WINDOW, len(ids))
-    begin = begin[mass[end] - mass[begin] >= least]
-    if not len(begin):
-        return [], None
-    padded = np.concatenate((ids, np.full(WINDOW, -1, np.int64)))
-    shared = member[padded[begin[:, None] + np.arange(WINDOW)]].sum(axis=1, dtype=np.int8)
-    kept = shared.max(axis=1) >= LEAST_SHARED
-    return begin[kept].tolist(), shared[kept]
+
+    def __init__(self, items: Items, idf: np.ndarray):
+        self.idf2 = np.append(idf**2, 0.0)  # the last is the place of unknown words
+        self.member = items.member
+        self.weighted = (items.member * self.idf2[:, None]).astype(np.float32)
+        lightest = [min((self.idf2[t[s : s + WINDOW]].sum() for s in starts(len(t), 1)), default=0.0) for t in items.words]
+        self.least = np.array([MASS * x for x in lightest], np.float32)
+
+    def windows(self, ids: np.ndarray) -> tuple[list[int], np.ndarray]:
+        """Starts of the windows, and for each the items it may belong to."""
+        begin = np.arange(0, max(1, len(ids) - WINDOW + STEP), STEP)
+        mass = np.concatenate(([0.0], np.cumsum(self.idf2[ids])))
+        end = np.minimum(begin + WINDOW, len(ids))
+        begin = begin[mass[end] - mass[begin] >= self.least.min()]
+        padded = np.concatenate((ids, np.full(WINDOW, -1, np.int64)))[begin[:, None] + np.arange(WINDOW)]
+        enough = self.member[padded].sum(axis=1, dtype=np.int8) >= LEAST_SHARED
+        some = enough.any(axis=1)
+        begin, padded, enough = begin[some], padded[some], enough[some]
+        enough &= self.weighted[padded].sum(axis=1) >= self.least
+        some = enough.any(axis=1)
+        return begin[some].tolist(), enough[some]
 
 
 def to_ids(text: str | None, vocabulary: dict[str, int]) -> np.ndarray:
-    get = vocabulary.get
-    return np.array([get(w, -1) for w in words(text)], np.int64)
+    found = words(text)
+    return np.fromiter(map(vocabulary.get, found, repeat(-1)), np.int64, len(found))
 
 
 def document_frequencies(texts: DataFrame, vocabulary: dict[str, int]) -> tuple[np.ndarray, int]:
@@ -211,11 +223,11 @@ def gram_product(passages: list[list[int]], idf: np.ndarray, omega: np.ndarray)
     return out
 
 
-def latent_basis(texts: DataFrame, items: Items, idf: np.ndarray, least: float) -> np.ndarray:
+def latent_basis(texts: DataFrame, items: Items, idf: np.ndarray, known: Known) -> np.ndarray:
     """Orthonormal basis (terms x rank) of the leading right singular vectors of all passages."""
     terms, rank = len(idf), min(RANK, len(idf))
     omega = np.random.default_rng(7).standard_normal((terms, rank))
-    vocabulary, idf2, member = items.vocabulary, np.append(idf**2, 0.0), items.member
+    vocabulary = items.vocabulary
     names = [f"z{k}" for k in range(rank)]
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +237,7 @@ def latent_basis(texts: DataFrame, items: Items, idf: np.ndarray, least: float)
             for text in batch.column(0).to_pylist():
                 ids = to_ids(text, vocabulary)
                 if len(ids):
-                    for s in known_passages(ids, idf2, least, member)[0]:
+                    for s in known.windows(ids)[0]:
                         window = ids[s : s + WINDOW]
                         passages.append(window[window >= 0].tolist())
             if passages:
@@ -252,14 +264,12 @@ def leaked_items(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     texts = source.select("text")
     frequency, n_docs = document_frequencies(texts, items.vocabulary)
     idf = np.minimum(np.log((1 + n_docs) / (1 + frequency)), np.log(RARE)) + 0.1
-    idf2 = np.append(idf**2, 0.0)
     passages, owner = items.passages()
-    # the mass that a window of an item holds at least, so that a part of it is still compared
-    least = MASS * float(min([idf2[p].sum() for p in passages if len(p) == WINDOW], default=0.0))
-    basis = latent_basis(texts, items, idf, least)
+    known = Known(items, idf)
+    basis = latent_basis(texts, items, idf, known)
     item_vectors = vectors(passages, idf, basis)
     weighted = np.vstack([(idf[:, None] * basis).astype(np.float32), np.zeros((1, basis.shape[1]), np.float32)])
-    vocabulary, member = items.vocabulary, items.member
+    vocabulary = items.vocabulary
     first_passage = np.searchsorted(np.array(owner), np.arange(len(items.words)))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +279,7 @@ def leaked_items(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_
                 ids = to_ids(text, vocabulary)
                 if len(ids) < LEAST_RUN:
                     continue
-                begins, shared = known_passages(ids, idf2, least, member)
+                begins, enough = known.windows(ids)
                 if not begins:
                     continue
                 latent = np.stack([weighted[ids[s : s + WINDOW]].sum(axis=0) for s in begins])
@@ -280,7 +290,7 @@ def leaked_items(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_
                 low, high = begins[0], begins[-1] + WINDOW
                 near_grams = set(zip(*(whole[max(0, low - WINDOW) + k : high + WINDOW] for k in range(UNCHANGED)), strict=False))
                 found: list[int] = []
-                for k in np.flatnonzero((near & (shared >= LEAST_SHARED)).any(axis=0)).tolist():
+                for k in np.flatnonzero((near & enough).any(axis=0)).tolist():
                     item = items.words[k]
                     if len(item) < LEAST_RUN or items.grams[k].isdisjoint(near_grams):
                         continue
