@@ -21,9 +21,11 @@ from __future__ import annotations
 import heapq
 import re
 import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,6 +33,8 @@ from pyspark.sql import functions as F
 from millrace.llm.common import blank, durable, narrow
 
 GRAM, COSINE = 4, 0.22
+#: Buckets in which the frequencies of grams are counted.
+BUCKETS = 1 << 18
 #: Clusters merge while their average similarity is at least this.
 LINKAGE = 0.45
 #: A site used under so many beginnings of names is shared by organisations.
@@ -197,14 +201,18 @@ def first_names_agree(a: str, b: str) -> bool:
     return not a or not b or a == b or a[0] == b[0] and (len(a) == 1 or len(b) == 1)
 
 
-def sectors_agree(a: list[str], b: list[str]) -> float:
+def business_bits(sectors: list[str]) -> int:
+    """Lines of business as bits of one number."""
+    return sum(1 << SECTORS.index(w) for w in sectors)
+
+
+def businesses_agree(a: int, b: int) -> float:
     """1 for the same lines of business, less where one side names none or fewer, -1 where they differ."""
     if a == b:
         return 1.0
     if not a or not b:
         return 0.8
-    x, y = set(a), set(b)
-    return 0.6 if x <= y or y <= x else -1.0
+    return 0.6 if a & b in (a, b) else -1.0
 
 
 def edits_allowed(length: int) -> int:
@@ -225,7 +233,7 @@ def similarity(a: dict, b: dict) -> float:
         return 0.7 if len(a["initials"]) >= 3 and a["initials"] == b["initials"] else (0.0 if a["initials"] == b["initials"] else -0.3)
     if not x or not y:
         return 0.0
-    business = sectors_agree(a["sectors"], b["sectors"])
+    business = businesses_agree(a["business"], b["business"])
     if business < 0 or not first_names_agree(a["first"], b["first"]):
         return -1.0
     shorter = min(len(x), len(y))
@@ -240,7 +248,7 @@ def similarity(a: dict, b: dict) -> float:
         if cut and not stem.endswith({1: "s", 2: "ey", 4: "corp"}[cut]):
             continue
         base = stem[: len(stem) - cut]
-        if len(base) >= 4 and long["own"].startswith(base) and not short["sectors"]:
+        if len(base) >= 4 and long["own"].startswith(base) and not short["business"]:
             return 0.6
     return -0.6
 
@@ -293,16 +301,16 @@ def average_linkage(names: list[dict]) -> list[int]:
     return out
 
 
+NAMES = "job_id bigint, company string, sites array<string>, own string, first string, initials string, business bigint"
+
+
 def read_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    reader, texts = Reader(), pa.string()
+    reader, text = Reader(), pa.string()
     for batch in batches:
         read = [reader.read(c) for c in batch.column(1).to_pylist()]
-        columns = list(zip(*read, strict=True)) or [()] * 5
-        types = [texts, pa.list_(texts), texts, texts, texts]
-        arrays = [batch.column(0), batch.column(1), batch.column(2), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]]
-        # the lines of business as bits, so that a join can tell which exclude each other
-        arrays.append(pa.array([sum(1 << (SECTORS.index(w) % 63) for w in sectors) for _, sectors, *_ in read], pa.int64()))
-        yield pa.RecordBatch.from_arrays(arrays, ["job_id", "company", "sites", "own", "sectors", "first", "initials", "kind", "business"])
+        own, first, initials = (pa.array([r[k] for r in read], text) for k in (0, 2, 3))
+        business = pa.array([business_bits(r[1]) for r in read], pa.int64())
+        yield pa.RecordBatch.from_arrays([*batch.columns, own, first, initials, business], ["job_id", "company", "sites", "own", "first", "initials", "business"])
 
 
 def site_of(website):
@@ -312,7 +320,7 @@ def site_of(website):
 
 
 def named(df: DataFrame) -> DataFrame:
-    """(job_id, company, sites, own, sectors, first, initials, kind, business) of each distinct name of a job.
+    """(job_id, company, sites, own, first, initials, business) of each distinct name of a job.
 
     A site is a board, and counts for nothing, when the names that use it begin in many ways.
     """
@@ -323,47 +331,77 @@ def named(df: DataFrame) -> DataFrame:
     boards = used.select("site", beginning.alias("beginning")).distinct().groupBy("site").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= BOARD_BEGINNINGS).select("site")
     own = used.distinct().join(boards, "site", "left_anti").select("job_id", "company", "site")
     every = typed.select("job_id", "company", F.lit(None).cast("string").alias("site")).distinct().unionByName(own)
-    return every.groupBy("job_id", "company").agg(F.sort_array(F.collect_set("site")).alias("sites")).mapInArrow(
-        read_names, "job_id bigint, company string, sites array<string>, own string, sectors array<string>, first string, initials string, kind string, business bigint"
-    )
+    return every.groupBy("job_id", "company").agg(F.sort_array(F.collect_set("site")).alias("sites")).mapInArrow(read_names, NAMES)
+
+
+def grams_of(own: str) -> list[int]:
+    """Digests of the different 4-grams of a padded name."""
+    padded = f"^{own}$"
+    return sorted({zlib.crc32(padded[i : i + GRAM].encode()) for i in range(max(1, len(padded) - GRAM + 1))})
+
+
+def gram_frequencies(nodes: DataFrame) -> np.ndarray:
+    """Names that hold each gram, by the gram's bucket; the number of buckets is fixed, so the table does not grow."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for own in batch.column(0).to_pylist():
+                for gram in grams_of(own):
+                    total[gram % BUCKETS] += 1
+        held = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array(held), "n": pa.array(total[held])})
+
+    counts = nodes.select("own").mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(BUCKETS)
+    out[counts.column("bucket").to_numpy()] = counts.column("n").to_numpy()
+    return out
 
 
 def near_pairs(nodes: DataFrame, total: int) -> DataFrame:
     """(a, b) of the nodes (node, job_id, own, business, sited) that may be one organisation of a job.
 
-    ``total`` is the number of names, for the weights. The cosine of their 4-gram vectors reaches the threshold, and either the distinctive parts
-    differ by a few edits or the shorter one, without a line of business, begins the longer one;
-    their lines of business do not exclude each other.
+    ``total`` is the number of names, for the weights. The cosine of their 4-gram vectors
+    reaches the threshold, and either the distinctive parts differ by a few edits or the
+    shorter one, without a line of business, begins the longer one; their lines of business do
+    not exclude each other.
     """
-    grams = nodes.where(F.length("own") >= 3).select(
-        "node", "job_id", "business",
-        F.explode(F.array_distinct(F.expr(f"transform(sequence(1, greatest(1, length(own) + 3 - {GRAM})), i -> xxhash64(substring(concat('^', own, '$'), i, {GRAM})))"))).alias("gram"),
-    )
-    frequency = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    weight = (F.log(F.lit(float(max(1, total))) / F.col("n")) + 0.5).cast("float")
-    weighted = grams.join(frequency, "gram").select("node", "job_id", "business", F.struct(weight.alias("w"), "gram").alias("g"))
-    vectors = weighted.groupBy("node", "job_id", "business").agg(F.sort_array(F.collect_list("g"), asc=False).alias("gs"))
-    norm = F.sqrt(F.aggregate("gs", F.lit(0.0), lambda acc, g: acc + g["w"] * g["w"]))
-    scaled = vectors.select("node", "job_id", "business", F.transform("gs", lambda g: F.struct((g["w"] / norm).cast("float").alias("w"), g["gram"].alias("gram"))).alias("gs"))
-    # grams in falling weight; what follows once the rest's norm is below the threshold is left out
-    rest = F.expr(
-        f"slice(gs, 1, aggregate(gs, named_struct('rest', CAST(1 AS DOUBLE), 'n', 0), (s, g) -> IF(s.rest >= {COSINE * COSINE}, named_struct('rest', s.rest - g.w * g.w, 'n', s.n + 1), s)).n)"
-    )
-    entries = scaled.select("node", "job_id", "business", F.explode(rest).alias("g")).select("node", "job_id", "business", F.col("g.gram").alias("gram"), F.col("g.w").alias("w"))
+    nodes = nodes.where(F.length("own") >= 3)
+    weights = np.log(max(1, total) / np.maximum(1.0, gram_frequencies(nodes))) + 0.5
+
+    def entries_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: tuple[list, list, list, list] = ([], [], [], [])
+            for node, job, business, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                vector = sorted(((float(weights[g % BUCKETS]), g) for g in grams_of(own)), reverse=True)
+                square = sum(w * w for w, _ in vector)
+                rest, norm = 1.0, square**0.5
+                for w, gram in vector:
+                    # grams in falling weight; what follows once the rest's norm is below the threshold is left out
+                    if rest < COSINE * COSINE:
+                        break
+                    rest -= w * w / square
+                    # job and gram in one number; another job's equal number is told apart below
+                    key = (job * 0x9E3779B97F4A7C15 + gram) & 0x7FFFFFFFFFFFFFFF
+                    for column, value in zip(rows, (node, business, key, w / norm), strict=True):
+                        column.append(value)
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.float32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], ["node", "business", "key", "w"])
+
+    entries = nodes.select("node", "job_id", "business", "own").mapInArrow(entries_of, "node bigint, business bigint, key bigint, w float")
     left, right = entries.alias("l"), entries.alias("r")
     shared = F.col("l.business").bitwiseAND(F.col("r.business"))
-    on = (F.col("l.job_id") == F.col("r.job_id")) & (F.col("l.gram") == F.col("r.gram")) & (F.col("l.node") < F.col("r.node"))
-    joined = left.join(right, on & ((shared == F.col("l.business")) | (shared == F.col("r.business"))))
+    joined = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node")) & ((shared == F.col("l.business")) | (shared == F.col("r.business"))))
     summed = joined.groupBy(F.col("l.node").alias("a"), F.col("r.node").alias("b")).agg(F.sum(F.col("l.w") * F.col("r.w")).alias("cosine"))
     near = summed.where(F.col("cosine") >= COSINE).select("a", "b")
     for side in ("a", "b"):
-        near = near.join(nodes.select(F.col("node").alias(side), F.col("own").alias(f"own_{side}"), F.col("business").alias(f"business_{side}"), F.col("sited").alias(f"sited_{side}")), side)
+        near = near.join(nodes.select(F.col("node").alias(side), F.col("own").alias(f"own_{side}"), F.col("job_id").alias(f"job_{side}"), F.col("business").alias(f"business_{side}"), F.col("sited").alias(f"sited_{side}")), side)
     # levenshtein counts a swap of neighbours twice, hence one edit more than the clustering allows
     shorter = "least(length(own_a), length(own_b))"
     edits = F.expr(f"levenshtein(own_a, own_b) <= CASE WHEN {shorter} <= 5 THEN 1 WHEN {shorter} <= 8 THEN 2 WHEN {shorter} <= 13 THEN 3 ELSE 4 END AND (business_a <> 0 OR business_b <> 0 OR own_a = own_b)")
     # what has a site of its own is known by that: names are compared where one of the two has none
     stem = "(business_{x} = 0 AND length(own_{x}) < length(own_{y}) AND startswith(own_{y}, substring(own_{x}, 1, greatest(4, length(regexp_replace(own_{x}, '(s|ey|corp)$', ''))))))"
-    near = near.where("own_a = own_b OR NOT (sited_a AND sited_b)")
+    near = near.where("job_a = job_b AND (own_a = own_b OR NOT (sited_a AND sited_b))")
     return near.where(edits | F.expr(stem.format(x="a", y="b")) | F.expr(stem.format(x="b", y="a"))).select("a", "b")
 
 
@@ -383,9 +421,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def clusters(df: DataFrame) -> DataFrame:
-    """(job_id, company, cluster) of the names that mean the same organisation as another name of their job."""
+    """(job_id, company, block, number, place) of the names that mean the same organisation as another name of their job.
+
+    Block and number name the organisation, place the name within its block.
+    """
     short_form = F.col("own").rlike("^(#|$)")
-    names = durable(named(df).withColumn("node", F.xxhash64("job_id", "own", "sectors", F.when(short_form, F.col("company")))))
+    names = durable(named(df).withColumn("node", F.xxhash64("job_id", "own", "business", F.when(short_form, F.col("company")))))
     nodes = names.where(~short_form).groupBy("node", "job_id", "own", "business").agg(F.max(F.size("sites") > 0).alias("sited"))
     by_site = names.select("job_id", F.explode("sites").alias("site"), "node").distinct()
     anchors = by_site.groupBy("job_id", "site").agg(F.min("node").alias("a"))
@@ -398,31 +439,28 @@ def clusters(df: DataFrame) -> DataFrame:
     lonely = short_form & (F.length("initials") >= 3) & (F.size("sites") == 0)
     only = F.when(lonely & (F.min(spelt).over(alike) == F.max(spelt).over(alike)), F.min(spelt).over(alike))
     blocks = placed.withColumn("block", F.coalesce(only, "block"))
-    gathered = blocks.groupBy("job_id", "block").agg(F.collect_list(F.struct("company", "own", "sectors", "first", "initials", "sites")).alias("names")).where(F.size("names") > 1)
+    gathered = blocks.groupBy("job_id", "block").agg(F.collect_list(F.struct("company", "own", "business", "first", "initials", "sites")).alias("names")).where(F.size("names") > 1)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            jobs, companies, numbers = [], [], []
+            rows = []
             for job, block, members in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 members.sort(key=lambda m: m["company"])
                 linked = average_linkage(members)
                 several = {number for number, n in Counter(linked).items() if n > 1}
-                for member, number in zip(members, linked, strict=True):
-                    if number not in several:
-                        continue
-                    jobs.append(job)
-                    companies.append(member["company"])
-                    numbers.append(f"{block}/{number}")
-            yield pa.RecordBatch.from_arrays([pa.array(jobs, pa.int64()), pa.array(companies, pa.string()), pa.array(numbers, pa.string())], ["job_id", "company", "cluster"])
+                rows += [(job, m["company"], block, number, place) for place, (m, number) in enumerate(zip(members, linked, strict=True)) if number in several]
+            types = [pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int32()]
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["job_id", "company", "block", "number", "place"])
 
-    return gathered.mapInArrow(link, "job_id bigint, company string, cluster string")
+    return gathered.mapInArrow(link, "job_id bigint, company string, block bigint, number int, place int")
 
 
 def variant_pairs(df: DataFrame) -> DataFrame:
     """(record_id_a, record_id_b) of the records of one job under different names of one organisation."""
-    records = narrow(df, record_id="record_id", job_id="job_id", company="company").where("record_id IS NOT NULL").distinct()
-    placed = durable(records.join(clusters(df), ["job_id", "company"]).select("record_id", "job_id", "cluster", "company"))
+    records = narrow(df, record_id="record_id", job_id="job_id", company="company").where("record_id IS NOT NULL AND job_id IS NOT NULL")
+    placed = durable(records.join(clusters(df), ["job_id", "company"]).select("record_id", "block", "number", "place"))
     a, b = placed.alias("a"), placed.alias("b")
-    same = (F.col("a.job_id") == F.col("b.job_id")) & (F.col("a.cluster") == F.col("b.cluster"))
-    pairs = a.join(b, same & (F.col("a.record_id") < F.col("b.record_id")) & (F.col("a.company") != F.col("b.company")))
+    same = (F.col("a.block") == F.col("b.block")) & (F.col("a.number") == F.col("b.number"))
+    pairs = a.join(b, same & (F.col("a.record_id") < F.col("b.record_id")) & (F.col("a.place") != F.col("b.place")))
     return pairs.select(F.col("a.record_id").alias("record_id_a"), F.col("b.record_id").alias("record_id_b")).distinct()

@@ -156,7 +156,7 @@ def test_names(a, b, linked):
     names = []
     for raw in (a, b):
         own, sectors, first, initials, _ = reader.read(raw)
-        names.append({"company": raw, "own": own, "sectors": sectors, "first": first, "initials": initials, "sites": []})
+        names.append({"company": raw, "own": own, "business": p01_names.business_bits(sectors), "first": first, "initials": initials, "sites": []})
     got = p01_names.average_linkage(names)
     assert (got[0] == got[1]) == linked
 
@@ -166,7 +166,7 @@ def test_sites_decide():
 
     def name(raw, *sites):
         own, sectors, first, initials, _ = reader.read(raw)
-        return {"company": raw, "own": own, "sectors": sectors, "first": first, "initials": initials, "sites": list(sites)}
+        return {"company": raw, "own": own, "business": p01_names.business_bits(sectors), "first": first, "initials": initials, "sites": list(sites)}
 
     same = p01_names.average_linkage([name("AOM", "a.example"), name("Alexander Ostvin Motors", "a.example")])
     other = p01_names.average_linkage([name("Vellor Foods", "a.example"), name("Vellor Foods Ltd", "b.example")])
