@@ -16,7 +16,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from datetime import datetime
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -148,7 +148,7 @@ def fold(records: list[dict], query: str | None, now: datetime) -> tuple[list[di
 
 
 def resolve(df: DataFrame, scope: str, queries: DataFrame, now: datetime) -> DataFrame:
-    """Resolved records of each scope. ``df`` is normalised, keyed and scored; ``queries`` has (scope, query_text)."""
+    """Resolved records of each scope. ``df`` is normalised, keyed and scored; ``queries`` has (scope, query_text); ``now`` is UTC without a zone."""
     order = F.collate(F.concat_ws("\u001f", "n_company", "n_role", "n_domain", "n_url", "n_location", "n_signal"), "UNICODE")
     rows = df.where("n_url IS NOT NULL AND dedup_key IS NOT NULL").where(F.col(scope).isNotNull())
     blocks = rows.groupBy(F.col(scope).alias("scope"), "n_company", "n_role").agg(F.sort_array(F.collect_list(F.struct(order.alias("sort_key"), *FIELDS))).alias("rows"))
@@ -161,7 +161,7 @@ def resolve(df: DataFrame, scope: str, queries: DataFrame, now: datetime) -> Dat
             for key, query, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 for r in members:
                     if r["published_at"] is not None:
-                        r["published_at"] = r["published_at"].replace(tzinfo=None)
+                        r["published_at"] = r["published_at"].astimezone(UTC).replace(tzinfo=None)
                 result, removed, detected = fold(members, query, now)
                 for k, r in enumerate(result):
                     table.append((

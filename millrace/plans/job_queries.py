@@ -233,9 +233,8 @@ def sm9(spark, sf):
     """Last sign of life of each job, alive within 30 days of the newest event."""
     rows = events(spark, sf, "job_id", "created_at")
     last = rows.groupBy("job_id").agg(F.max("created_at").alias("last_seen"))
-    newest = rows.agg(F.max("created_at").alias("newest"))
-    # one row on the other side
-    return last.join(F.broadcast(newest)).select("job_id", "last_seen", (F.col("last_seen") >= F.col("newest") - F.expr("INTERVAL 30 DAYS")).alias("alive"))
+    newest = rows.agg(F.max("created_at")).scalar()
+    return last.select("job_id", "last_seen", (F.col("last_seen") >= newest - F.expr("INTERVAL 30 DAYS")).alias("alive"))
 
 
 @query("sm11_rate_limit", f"SELECT job_event_id, rn <= 10 AS allowed FROM (SELECT job_event_id, row_number() OVER (PARTITION BY time_bucket(INTERVAL 1 DAY, created_at) ORDER BY created_at, job_event_id) AS rn FROM {EVENTS} WHERE event_type = 'JOB_CREATED' AND created_at IS NOT NULL)")

@@ -42,7 +42,7 @@ def keyed(spark: SparkSession, sf: str) -> DataFrame:
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
     asked = table(spark, sf, "research_jobs", "job_id", "query_text")
-    return sg.scored(keyed(spark, sf).join(asked, "job_id", "left"), F.col("query_text"), F.lit(NOW).cast("timestamp"))
+    return sg.scored(keyed(spark, sf).join(asked, "job_id", "left"), F.col("query_text"), F.lit(q.NOW + "+00:00").cast("timestamp"))
 
 
 @query("fs1_collapsed_text", f"SELECT record_id, {q.collapsed('company')} AS company, {q.collapsed('role')} AS role, {q.collapsed('location')} AS location FROM signals")
