@@ -174,7 +174,8 @@ def with_limits(inputs: DataFrame, configurations: DataFrame, carry: tuple[str,
         .agg(F.min(F.struct("max_chars", "overlap")).alias("c"))
         .select("config_id", "c.max_chars", "c.overlap")
     )
-    return narrow(inputs, config_id="config_id", text="source_text", **{c: c for c in carry}).join(limits, "config_id")
+    # the configurations are a fixed table; without the hint a plan might shuffle the texts by a handful of keys
+    return narrow(inputs, config_id="config_id", text="source_text", **{c: c for c in carry}).join(F.broadcast(limits), "config_id")
 
 
 def split_inputs(inputs: DataFrame, configurations: DataFrame) -> DataFrame:
