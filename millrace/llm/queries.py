@@ -135,7 +135,52 @@ QUERIES = {
     "p10_rates": p10_rates,
 }
 
+def _p5_sql() -> str:
+    """The mapping without pigeonholes: every typed value against every form, the closest one within the edits allowed."""
+    m = p05_canonical
+    word = lambda x: (
+        f"trim(regexp_replace(regexp_replace(translate(lower({x}), '{m.ACCENTED}', '{m.PLAIN}'), '&', ' and ', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+    )
+    words = ", ".join(f"'{w}': ['{w}', {', '.join(repr(x) for x in a)}]" for w, a in m.WORD_FORMS.items())
+    phrases = ", ".join(f"{{'p': '{p}', 'a': '{a}'}}" for p, a in m.PHRASE_FORMS.items())
+    edits = m.edits_sql("length(f.form)")
+    return f"""
+        WITH entries AS (
+            SELECT 'role' AS field, role_id AS ref_id, 1 AS plain, role_name AS name FROM canonical_roles
+            UNION ALL SELECT 'role', role_id, 0, unnest(aliases) FROM canonical_roles
+            UNION ALL SELECT 'location', location_id, 1, city FROM canonical_locations
+            UNION ALL SELECT 'location', location_id, 0, unnest(aliases) FROM canonical_locations),
+        named AS (SELECT field, ref_id, plain, {word("name")} AS name FROM entries WHERE name IS NOT NULL),
+        phrased AS (
+            SELECT field, ref_id, plain, unnest(list_distinct(list_concat([name], list_transform(list_filter([{phrases}], lambda x: contains(name, x.p)), lambda x: replace(name, x.p, x.a))))) AS name FROM named),
+        spelt AS (
+            SELECT field, ref_id, plain, unnest(list_reduce(list_transform(string_split(name, ' '), lambda w: coalesce(MAP {{{words}}}[w], [w])),
+                   lambda acc, alts: flatten(list_transform(acc, lambda a: list_transform(alts, lambda x: a || ' ' || x))))) AS name FROM phrased),
+        ordered AS (SELECT field, ref_id, plain, unnest([trim(name), regexp_replace(trim(name), '^(.*) ([^ ]+)$', '\\2 \\1')]) AS name FROM spelt),
+        base AS (SELECT field, ref_id, max(plain) AS plain, replace(name, ' ', '') AS form FROM ordered WHERE replace(name, ' ', '') <> '' GROUP BY ALL),
+        around AS (
+            SELECT location_id, replace({word("country")}, ' ', '') AS c, replace(regexp_replace({word("province")}, '\\bprovince\\b', '', 'g'), ' ', '') AS p FROM canonical_locations),
+        spread AS (
+            SELECT field, ref_id, plain, unnest([form, form || c, c || form, c || form || c, form || left(c, 3), form || p, p || form, form || p || c]) AS form FROM base JOIN around ON ref_id = location_id WHERE field = 'location'),
+        forms AS (SELECT field, ref_id, max(plain) AS plain, form FROM (SELECT * FROM base WHERE field = 'role' UNION ALL SELECT field, ref_id, plain, form FROM spread WHERE form IS NOT NULL) GROUP BY ALL),
+        typed AS (
+            SELECT record_id, 'role' AS field, role AS value FROM signals WHERE role IS NOT NULL AND regexp_matches(role, '\\S')
+            UNION ALL SELECT record_id, 'location', location FROM signals WHERE location IS NOT NULL AND regexp_matches(location, '\\S')),
+        cleaned AS (
+            SELECT field, value, trim(CASE WHEN field = 'role' THEN regexp_replace({word("value")}, '{m.ROLE_REMARKS}', ' ', 'g') ELSE regexp_replace({word("value")}, '{m.PLACE_REMARKS}', ' ', 'g') END) AS words
+            FROM (SELECT DISTINCT field, value FROM typed)),
+        glued AS (
+            SELECT DISTINCT field, value, replace(unnest(CASE WHEN field = 'role' THEN [words, regexp_replace(words, '{m.ROLE_RANKS}', ''), regexp_replace(words, '{m.ROLE_RANKS}|s$', '', 'g')] ELSE [words] END), ' ', '') AS typed FROM cleaned),
+        hits AS (
+            SELECT g.field, g.value, f.ref_id, levenshtein(g.typed, f.form) AS d, f.plain FROM (SELECT * FROM glued WHERE typed <> '') g JOIN forms f ON g.field = f.field AND abs(length(g.typed) - length(f.form)) <= 5
+            WHERE levenshtein(g.typed, f.form) <= {edits}),
+        best AS (SELECT field, value, ref_id FROM hits QUALIFY row_number() OVER (PARTITION BY field, value ORDER BY d, plain DESC, ref_id) = 1)
+        SELECT DISTINCT record_id, t.field, coalesce(b.ref_id, -1) AS ref_id FROM typed t LEFT JOIN best b ON t.field = b.field AND t.value = b.value
+    """
+
+
 SQL = {
+    "p5_found": _p5_sql(),
     "p3_found": r"""
         WITH r AS (
             SELECT job_id, deduplication_key AS k, record_id, coalesce(credibility_score, -1) AS c,
