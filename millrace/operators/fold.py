@@ -150,7 +150,7 @@ def fold(records: list[dict], query: str | None, now: datetime) -> tuple[list[di
 def resolve(df: DataFrame, scope: str, queries: DataFrame, now: datetime) -> DataFrame:
     """Resolved records of each scope. ``df`` is normalised, keyed and scored; ``queries`` has (scope, query_text); ``now`` is UTC without a zone."""
     order = F.collate(F.concat_ws("\u001f", "n_company", "n_role", "n_domain", "n_url", "n_location", "n_signal"), "UNICODE")
-    rows = df.where("n_url IS NOT NULL AND dedup_key IS NOT NULL").where(F.col(scope).isNotNull())
+    rows = df.where(F.col(scope).isNotNull())
     blocks = rows.groupBy(F.col(scope).alias("scope"), "n_company", "n_role").agg(F.sort_array(F.collect_list(F.struct(order.alias("sort_key"), *FIELDS))).alias("rows"))
     slim = blocks.select("scope", F.transform("rows", lambda r: F.struct(*[r[c].alias(c) for c in FIELDS])).alias("rows"))
     asked = slim.join(queries.select(F.col(scope).alias("scope"), "query_text"), "scope", "left").select("scope", "query_text", "rows")
@@ -159,6 +159,8 @@ def resolve(df: DataFrame, scope: str, queries: DataFrame, now: datetime) -> Dat
         for batch in batches:
             table: list[tuple] = []
             for key, query, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                # sorted out here: a filter on computed columns would be pushed below them and compute them twice
+                members = [r for r in members if None not in (r["n_url"], r["n_signal"], r["n_company"], r["dedup_key"])]
                 for r in members:
                     if r["published_at"] is not None:
                         r["published_at"] = r["published_at"].astimezone(UTC).replace(tzinfo=None)
