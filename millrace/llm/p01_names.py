@@ -6,7 +6,8 @@ The distinctive parts become vectors of character 4-grams weighted by inverse do
 frequency; a distributed sparse join within each job finds the pairs whose cosine reaches a
 threshold. The join runs over each vector's heaviest grams only: the grams left out have a
 norm below the threshold, so a pair that shares no other gram cannot reach it, and the
-commonest grams, whose blocks would be large, fall away. An own web site links the names that
+commonest grams, whose blocks would be large, fall away. It yields candidates; their cosine is
+then taken from the whole vectors. An own web site links the names that
 use it; a site that names of many kinds use is a job board and links nothing. Linked names
 form small blocks, and average-linkage clustering within each block decides: names with
 different own sites, different lines of business or different first names repel each other.
@@ -24,6 +25,7 @@ import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -358,51 +360,71 @@ def gram_frequencies(nodes: DataFrame) -> np.ndarray:
     return out
 
 
+def vector_of(own: str, weights: np.ndarray) -> list[tuple[float, int]]:
+    """(weight, gram) of a name in falling weight, of norm 1."""
+    vector = sorted(((float(weights[g % BUCKETS]), g) for g in grams_of(own)), reverse=True)
+    norm = sum(w * w for w, _ in vector) ** 0.5
+    return [(w / norm, g) for w, g in vector]
+
+
 def near_pairs(nodes: DataFrame, total: int) -> DataFrame:
     """(a, b) of the nodes (node, job_id, own, business, sited) that may be one organisation of a job.
 
     ``total`` is the number of names, for the weights. The cosine of their 4-gram vectors
-    reaches the threshold, and either the distinctive parts differ by a few edits or the
-    shorter one, without a line of business, begins the longer one; their lines of business do
-    not exclude each other.
+    reaches the threshold, and either the distinctive parts differ by as few edits as the
+    clustering allows or the shorter one, without a line of business, begins the longer one;
+    their lines of business do not exclude each other.
     """
     nodes = nodes.where(F.length("own") >= 3)
     weights = np.log(max(1, total) / np.maximum(1.0, gram_frequencies(nodes))) + 0.5
 
     def entries_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: tuple[list, list, list, list] = ([], [], [], [])
+            rows: tuple[list, list, list, list, list] = ([], [], [], [], [])
             for node, job, business, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                vector = sorted(((float(weights[g % BUCKETS]), g) for g in grams_of(own)), reverse=True)
-                square = sum(w * w for w, _ in vector)
-                rest, norm = 1.0, square**0.5
-                for w, gram in vector:
+                rest = 1.0
+                for w, gram in vector_of(own, weights):
                     # grams in falling weight; what follows once the rest's norm is below the threshold is left out
                     if rest < COSINE * COSINE:
                         break
-                    rest -= w * w / square
+                    rest -= w * w
                     # job and gram in one number; another job's equal number is told apart below
                     key = (job * 0x9E3779B97F4A7C15 + gram) & 0x7FFFFFFFFFFFFFFF
-                    for column, value in zip(rows, (node, business, key, w / norm), strict=True):
+                    for column, value in zip(rows, (node, business, key, w, max(0.0, rest) ** 0.5), strict=True):
                         column.append(value)
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.float32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], ["node", "business", "key", "w"])
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.float32(), pa.float32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], ["node", "business", "key", "w", "rest"])
 
-    entries = nodes.select("node", "job_id", "business", "own").mapInArrow(entries_of, "node bigint, business bigint, key bigint, w float")
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vector = lru_cache(20_000)(lambda own: {g: w for w, g in vector_of(own, weights)})
+        for batch in batches:
+            keep = []
+            for x, y, begins in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
+                most = edits_allowed(min(len(x), len(y)))
+                near = begins or distance(x, y, most) <= most
+                if near and x != y:
+                    v, w = vector(x), vector(y)
+                    near = sum(value * w.get(g, 0.0) for g, value in v.items()) >= COSINE
+                keep.append(near)
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    entries = nodes.select("node", "job_id", "business", "own").mapInArrow(entries_of, "node bigint, business bigint, key bigint, w float, rest float")
     left, right = entries.alias("l"), entries.alias("r")
     shared = F.col("l.business").bitwiseAND(F.col("r.business"))
     joined = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node")) & ((shared == F.col("l.business")) | (shared == F.col("r.business"))))
-    summed = joined.groupBy(F.col("l.node").alias("a"), F.col("r.node").alias("b")).agg(F.sum(F.col("l.w") * F.col("r.w")).alias("cosine"))
-    near = summed.where(F.col("cosine") >= COSINE).select("a", "b")
+    # what the pair shares besides lies behind the last gram joined on, in both vectors: it adds the product of the rests' norms at most
+    most = F.sum(F.col("l.w") * F.col("r.w")) + F.min(F.col("l.rest") * F.col("r.rest"))
+    candidates = joined.groupBy(F.col("l.node").alias("a"), F.col("r.node").alias("b")).agg(most.alias("most"))
+    near = candidates.where(F.col("most") >= COSINE - 1e-4).select("a", "b")
     for side in ("a", "b"):
         near = near.join(nodes.select(F.col("node").alias(side), F.col("own").alias(f"own_{side}"), F.col("job_id").alias(f"job_{side}"), F.col("business").alias(f"business_{side}"), F.col("sited").alias(f"sited_{side}")), side)
-    # levenshtein counts a swap of neighbours twice, hence one edit more than the clustering allows
+    # levenshtein counts a swap of neighbours twice, hence up to twice the edits of the clustering, which are counted after it
     shorter = "least(length(own_a), length(own_b))"
-    edits = F.expr(f"levenshtein(own_a, own_b) <= CASE WHEN {shorter} <= 5 THEN 1 WHEN {shorter} <= 8 THEN 2 WHEN {shorter} <= 13 THEN 3 ELSE 4 END AND (business_a <> 0 OR business_b <> 0 OR own_a = own_b)")
+    edits = F.expr(f"levenshtein(own_a, own_b) <= CASE WHEN {shorter} <= 5 THEN 2 WHEN {shorter} <= 13 THEN 4 ELSE 6 END")
     # what has a site of its own is known by that: names are compared where one of the two has none
     stem = "(business_{x} = 0 AND length(own_{x}) < length(own_{y}) AND startswith(own_{y}, substring(own_{x}, 1, greatest(4, length(regexp_replace(own_{x}, '(s|ey|corp)$', ''))))))"
-    near = near.where("job_a = job_b AND (own_a = own_b OR NOT (sited_a AND sited_b))")
-    return near.where(edits | F.expr(stem.format(x="a", y="b")) | F.expr(stem.format(x="b", y="a"))).select("a", "b")
+    near = near.where("job_a = job_b AND (own_a = own_b OR NOT (sited_a AND sited_b))").withColumn("begins", F.expr(stem.format(x="a", y="b")) | F.expr(stem.format(x="b", y="a")))
+    return near.where(edits | F.col("begins")).select("a", "b", "own_a", "own_b", "begins").mapInArrow(reach, "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -157,6 +157,29 @@ def test_variant_names(spark):
     assert p01_names.variant_pairs(df.limit(0)).count() == 0
 
 
+def test_near_names_are_those_of_the_whole_vectors(spark, data):
+    from millrace.sources import table
+
+    names = p01_names.named(table(spark, data, "signals", "record_id", "job_id", "company", "website"))
+    nodes = durable(names.where("length(own) >= 3 AND own NOT LIKE '#%'").groupBy("job_id", "own", "business").agg(F.max(F.size("sites") > 0).alias("sited")).withColumn("node", F.xxhash64("job_id", "own", "business")))
+    # two swaps, which levenshtein counts as four edits, and no line of business
+    odd = spark.createDataFrame([(-1, "vellorgrimak", 0, False, 1), (-1, "vellorgirmka", 0, False, 2)], "job_id bigint, own string, business bigint, sited boolean, node bigint")
+    nodes = nodes.select("job_id", "own", "business", "sited", "node").unionByName(odd)
+    total, rows = names.count(), nodes.collect()
+    weights = p01_names.np.log(total / p01_names.np.maximum(1.0, p01_names.gram_frequencies(nodes))) + 0.5
+    vectors = {r.node: {g: w for w, g in p01_names.vector_of(r.own, weights)} for r in rows}
+    expected, cut = set(), 0
+    for a in rows:
+        for b in rows:
+            most = p01_names.edits_allowed(min(len(a.own), len(b.own)))
+            if a.node < b.node and a.job_id == b.job_id and p01_names.businesses_agree(a.business, b.business) > 0 and (a.own == b.own or not (a.sited and b.sited)) and p01_names.distance(a.own, b.own, most) <= most:
+                if sum(w * vectors[b.node].get(g, 0.0) for g, w in vectors[a.node].items()) >= p01_names.COSINE:
+                    expected.add((a.node, b.node))
+                    cut += p01_names.distance(a.own, b.own, most) > 0
+    got = {(r.a, r.b) for r in p01_names.near_pairs(nodes, total).collect()}
+    assert cut > 1 and (1, 2) in expected and expected <= got
+
+
 def test_job_boards_link_nothing(spark):
     words = ["Arkmor", "Belnau", "Cadfen", "Drevin", "Ethgos", "Falhep", "Glajun", "Haldov", "Irikel", "Jorlan"]
     df = signals(spark, [(k, 1, f"{w}olri Foods", "https://boards.hire.example/x", None, None, None, None, None, None) for k, w in enumerate(words)])
