@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -60,6 +61,14 @@ FAULT = re.compile(
     | ^(?:content|text|more)\ will\ follow\b | ^coming\ soon\b | ^under\ construction\b | \bkommt\ bald\b | \bbeispieltext\b | \bblindtext\b | \btexte\ d['’]exemple\b | \btexto\ de\ (?:ejemplo|relleno|muestra)\b | \bfor\ your\ own\ words\b
     """
 )
+#: One of these stands in whatever FAULT matches, unless it begins with a number of an error or a reference; looked for first, as that is quick.
+FAULT_CUES = tuple(
+    "script|loading|error|oops|not found|no longer |page is gone|could not |leads nowhere|something |try again |invalid |go back and |down for |not allowed to |access |forbidden|session |timed out |server gave |connection "
+    "|prove that |too many |nicht gefunden|existe|page introuvable|no encontramos |gina no |unhandled |null |traceback|exception in |code: |sign in again|temporarily |back to the |try the search|lorem |sample |dummy "
+    "|placeholder| here|short description|will follow|coming soon|under construction|kommt bald|beispieltext|blindtext|texte d|texto de |for your own ".split("|")
+)
+#: Letters that match others without regard to case, but whose small letter is another.
+ODD_CASE = frozenset("ſıİK")
 #: Function words of the corpus's languages; a sentence without any is no sentence.
 FUNCTION_WORDS = frozenset(
     "a an the of to in on at for and or but is are was were be by with from as that this it we you they he she his her its our your their not no so if than then who which when where had has "
@@ -68,12 +77,13 @@ FUNCTION_WORDS = frozenset(
     "para con es son está que se su al va".split()
 )
 TOKENS = re.compile(r"[^\W\d_]+").findall
+NUMBER = re.compile(r"\d+")
 LEARNED = frozenset(("company", "name", "role", "title", "city", "location"))
 
 
 def squeezed(line: str) -> str:
     """A line with one space between words and its numbers taken out."""
-    return re.sub(r"\d+", "0", " ".join(line.split())).strip("»›> .…").lower()
+    return NUMBER.sub("0", " ".join(line.split())).strip("»›> .…").lower()
 
 
 def filler_words(line: str) -> bool:
@@ -89,7 +99,15 @@ def filler_words(line: str) -> bool:
 
 def fault(line: str) -> bool:
     text = " ".join(line.split()).lstrip("»›> ")
-    return bool(FAULT.search(text)) or filler_words(text)
+    small = text.lower()
+    cued = small[:1].isdigit() or small.startswith("ref") or any(map(small.__contains__, FAULT_CUES)) or not ODD_CASE.isdisjoint(text)
+    if cued and FAULT.search(text):
+        return True
+    words = small.split()
+    # a function word among three different words: no salad, without a closer look
+    if not FUNCTION_WORDS.isdisjoint(words) and len({w for w in words if w.isalpha()}) >= 3:
+        return False
+    return filler_words(text)
 
 
 def marks(text: str) -> tuple[list[str], list[str]]:
@@ -111,13 +129,9 @@ def skeleton(line: str) -> tuple[str, bool]:
     return re.sub(r"[\s\u0002]+", " ", text).strip(), blank
 
 
-def page_lines(text: str, title: str | None) -> list[str] | None:
-    """The body's lines without its headline where the page may lack content, None where it surely has some."""
+def page_lines(text: str, title: str | None) -> list[str]:
+    """The body's lines without its headline."""
     lines = text.split("\n")
-    for line in sorted(lines, key=len, reverse=True)[:3]:
-        # the longest lines decide most pages: a sentence that is no prompt, filler or error is content
-        if len(line) > 60 and Leaf(0, line, "").kind == "text" and not fault(line):
-            return None
     body = [lines[k] for k in sorted(main_body(text, title, "")) if lines[k].strip()]
     head = "".join(TOKENS((title or "").lower()))
     rest = [x for x in body if not head or "".join(TOKENS(x.lower())) != head]
@@ -126,6 +140,11 @@ def page_lines(text: str, title: str | None) -> list[str] | None:
     return rest
 
 
+def digest(text: str) -> int:
+    """64 bits that stand for a text where only equality counts."""
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["result_id", "site", "strong", "weak", "bare", "lines", "faults", "skeletons"]
     texts = pa.list_(pa.string())
@@ -141,10 +160,10 @@ def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if shape:
                         (bare if blank else skeletons).append(shape)
             rest = page_lines(text, title) if text and text.strip() else None
-            lines = [squeezed(x) for x in rest] if rest else None
+            lines = [digest(squeezed(x)) for x in rest] if rest else None
             rows.append((row, site, sorted(set(strong)), sorted(set(weak)), bare, lines, [fault(x) for x in rest] if rest else None, skeletons))
         columns = list(zip(*rows, strict=True)) or [()] * 8
-        types = [batch.column(0).type, pa.string(), texts, texts, texts, texts, pa.list_(pa.bool_()), texts]
+        types = [batch.column(0).type, pa.string(), texts, texts, texts, pa.list_(pa.int64()), pa.list_(pa.bool_()), texts]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
 
@@ -158,7 +177,7 @@ def gather(results: DataFrame) -> DataFrame:
     host = F.regexp_extract("url", r"^[A-Za-z]+://([^/:?#]+)", 1)
     return source.select("result_id", host.alias("site"), "title", "text").mapInArrow(
         evidence,
-        "result_id bigint, site string, strong array<string>, weak array<string>, bare array<string>, lines array<string>, faults array<boolean>, skeletons array<string>",
+        "result_id bigint, site string, strong array<string>, weak array<string>, bare array<string>, lines array<bigint>, faults array<boolean>, skeletons array<string>",
     )
 
 
@@ -171,7 +190,7 @@ def residue(results: DataFrame) -> DataFrame:
     known = weak.join(variables.select("variable"), "variable", "left_semi").unionByName(weak.where(F.col("variable").isin(sorted(LEARNED))).select("variable", "result_id"))
     templates = found.select(F.explode("skeletons").alias("shape")).groupBy("shape").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_FILLED)
     bare = found.where(F.size("bare") > 0).select("result_id", F.explode("bare").alias("shape")).join(templates.select("shape"), "shape", "left_semi")
-    # pages: each line of a doubtful body, and on how many pages and sites it comes word for word
+    # pages: each line of a body, and on how many pages and sites it comes word for word
     pages = found.where(F.size("lines") > 0).select("result_id", "site", F.posexplode(F.arrays_zip("lines", "faults")).alias("k", "z")).select(
         "result_id", "site", F.col("z.lines").alias("line"), F.col("z.faults").alias("fault")
     )

@@ -149,6 +149,15 @@ def test_repeated_page_templates_count_without_a_cue(spark):
     assert sorted(r[0] for r in p02_residue.residual_results(spark.createDataFrame(rows, RESULTS)).collect()) == list(range(8))
 
 
+def test_long_page_templates_count_without_a_cue(spark):
+    notice = "The kitchen is resting just now, so please bear with us while the cooks get some sleep before they come back."
+    rows = [(k, f"https://s{k}.example/x", f"Headline {k}", f"Headline {k}\n{notice}") for k in range(8)]
+    # a page that has content besides, and a sentence that only one site repeats
+    rows += [(50, "https://t.example/", "Other", f"Other\n{notice}\nAcme is hiring a welder for its field group in Oslo, and the work there begins on the first of June.")]
+    rows += [(60 + k, "https://u.example/", f"Top {k}", f"Top {k}\nOur one office opens at eight in the morning and stays open until the last visitor has been seen.") for k in range(8)]
+    assert sorted(r[0] for r in p02_residue.residual_results(spark.createDataFrame(rows, RESULTS)).collect()) == list(range(8))
+
+
 def test_variant_names(spark):
     names = [(1, "Vellorgri Foods", None), (2, "VELLORGRI FOODS LTD.", None), (3, "Velorgri Foods", None), (4, "Vellorgri Energy", None), (5, "AOM", "https://www.ostvin.example/"), (6, "Alexander Ostvin Motors", "ostvin.example"), (7, None, None), (8, " ", "x.example"), (1, "Vellorgri Foods", None), (9, "Vellorgri Foods", None)]
     df = signals(spark, [(k, 1, c, w, None, None, None, None, None, None) for k, c, w in names] + [(20, 2, "Vellorgri Foods Ltd", None, None, None, None, None, None, None), (21, None, "Vellorgri Foods", None, None, None, None, None, None, None)])
