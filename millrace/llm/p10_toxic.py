@@ -38,6 +38,8 @@ THRESHOLD = 0.5
 #: Share of toxic documents among those with a word or pair, from which it may have a positive weight.
 BLAMABLE = 0.6
 CHANCE = 0.004
+#: Labelled documents that a word or pair must be seen in, however many there are; Chernoff's bound decides the rest.
+LEAST_SEEN = 2
 #: Words that start with some weight, so that few labels are enough.
 SEED_WORDS = (
     "idiot imbecile moron dimwit halfwit jackass bastard scumbag liar worm leech vermin numbskull clown coward bitch whore slut filthy pathetic worthless "
@@ -196,15 +198,14 @@ def fit(texts: list[str | None], labels: list[float]) -> Model:
         if label > 0:
             for f in names:
                 toxic[f] += label
-    least = 2 if len(bags) < 3000 else 3
     share = min(0.5, max(0.02, sum(labels) / max(1, len(labels))))
     # what occurs mostly in clean documents cannot be what makes a document toxic
-    blamed = {f for f, n in seen.items() if f in seeds or (n >= least and telling(toxic[f], n, share))}
+    blamed = {f for f, n in seen.items() if f in seeds or (n >= LEAST_SEEN and telling(toxic[f], n, share))}
     vocabulary: dict[str, int] = {}
     feature, sentence_of, doc_of, n = [], [], [], 0
     for d, bag in enumerate(bags):
         for row in bag:
-            features = [f for a, b in zip(["^", *row], row, strict=False) for f in (b, a + " " + b) if seen[f] >= least or f in seeds]
+            features = [f for a, b in zip(["^", *row], row, strict=False) for f in (b, a + " " + b) if seen[f] >= LEAST_SEEN or f in seeds]
             if blamed.isdisjoint(features):
                 continue
             feature += [vocabulary.setdefault(f, len(vocabulary)) for f in features]

@@ -248,6 +248,18 @@ def test_multiple_instance_training_finds_the_sentence():
     assert right == 80
 
 
+@pytest.mark.parametrize("size", [400, 3200])
+def test_two_sightings_teach_a_word_at_every_size(size):
+    texts = [f"the plant needs more hands. travel is paid. desk {'abcdefgh'[k % 8] * 3} opens" for k in range(size)]
+    labels = [0.0] * size
+    for k in range(0, size, size // 8):
+        texts[k], labels[k] = texts[k] + ". shut up you useless grobnik", 1.0
+    for k in (7, 11):
+        texts[k], labels[k] = texts[k] + ". what a vexbrum", 1.0
+    model = p10_toxic.fit(texts, labels)
+    assert model.weights.get("vexbrum", 0.0) > 0 and model.weights.get("grobnik", 0.0) > 0
+
+
 def test_training_without_labels_uses_the_seed_words():
     model = p10_toxic.fit([], [])
     reader = p10_toxic.Reader(model.common)
