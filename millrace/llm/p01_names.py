@@ -8,7 +8,7 @@ threshold. The join runs over each vector's heaviest grams only: the grams left
 norm below the threshold, so a pair that shares no other gram cannot reach it, and the
 commonest grams, whose blocks would be large, fall away. It yields candidates; their cosine is
 then taken from the whole vectors. An own web site links the names that
-use it; a site that names of many kinds use is a job board and links nothing. Linked names
+use it; a site whose names for the larger part belong to no one cluster is a job board and links nothing. Linked names
 form small blocks, and average-linkage clustering within each block decides: names with
 different own sites, different lines of business or different first names repel each other.
 
@@ -39,8 +39,8 @@ GRAM, COSINE = 4, 0.22
 BUCKETS = 1 << 18
 #: Clusters merge while their average similarity is at least this.
 LINKAGE = 0.45
-#: A site used under so many beginnings of names is shared by organisations.
-BOARD_BEGINNINGS = 8
+#: A site is shared by organisations where so large a share of its names lies outside its largest cluster, and so many clusters differ.
+BOARD_SHARE, BOARD_FIRMS = 1 / 3, 3
 #: Legal forms.
 LEGAL = frozenset("inc ltd limited llc plc corp co gmbh sa bv nv ag srl sarl oy ab pty llp lp corporation incorporated company".split())
 #: Lines of business and what firms of persons call themselves.
@@ -321,16 +321,62 @@ def site_of(website):
     return F.regexp_replace(host, r"^(?:www\d?|careers?|jobs?|apply|boards?|work|hiring|recruiting|en|de|fr|es|m)\.(?=[^.]+\.)", "")
 
 
+def shared_by_firms(parts: list[tuple[str, int]]) -> bool:
+    """Whether a site is a board, from its (distinctive part, number of names), in falling number.
+
+    Both measures are of the names' spread and not of their number: spellings of one
+    organisation, however many, join its cluster.
+    """
+
+    def alike(x: str, y: str) -> bool:
+        most = edits_allowed(min(len(x), len(y)))
+        return distance(x, y, most) <= most
+
+    first, inside, others = parts[0][0], 0, []
+    for own, n in parts:
+        if alike(own, first):
+            inside += n
+        elif len(others) < BOARD_FIRMS - 1 and not any(alike(own, x) for x in others):
+            others.append(own)
+    return len(others) == BOARD_FIRMS - 1 and 1 - inside / sum(n for _, n in parts) >= BOARD_SHARE
+
+
+def job_boards(used: DataFrame) -> DataFrame:
+    """(site) of the sites that several organisations share, from (job_id, company, site).
+
+    A cluster is first what begins alike, so that a row per site and beginning is gathered,
+    with the part that most names have; names of initials only are left out, as they fit many.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader()
+        for batch in batches:
+            own = pa.array([reader.read(c)[0] for c in batch.column(1).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), own], ["site", "own"])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for parts in batch.column(1).to_pylist():
+                keep.append(shared_by_firms(sorted(((p["own"], p["n"]) for p in parts), key=lambda p: (-p[1], p[0]))))
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["site"]).filter(pa.array(keep, pa.bool_()))
+
+    parts = used.select("site", "company").distinct().mapInArrow(read, "site string, own string").where("own <> '' AND NOT startswith(own, '#')")
+    spelt = parts.groupBy("site", "own").agg(F.count(F.lit(1)).alias("n"))
+    begun = spelt.groupBy("site", F.substring("own", 1, GRAM).alias("beginning")).agg(F.max_by("own", F.struct("n", "own")).alias("own"), F.sum("n").alias("n"))
+    gathered = begun.groupBy("site").agg(F.collect_list(F.struct("own", "n")).alias("parts")).where(F.size("parts") >= BOARD_FIRMS)
+    return gathered.mapInArrow(judge, "site string")
+
+
 def named(df: DataFrame) -> DataFrame:
     """(job_id, company, sites, own, first, initials, business) of each distinct name of a job.
 
-    A site is a board, and counts for nothing, when the names that use it begin in many ways.
+    A site that is a board counts for nothing.
     """
     base = narrow(df, job_id="job_id", company="company", website="website").where("job_id IS NOT NULL").where(~blank(F.col("company")))
     typed = base.select("job_id", "company", F.when(~blank(F.col("website")), F.nullif(site_of(F.col("website")), F.lit(""))).alias("site"))
     used = typed.where("site IS NOT NULL")
-    beginning = F.substring(F.lower(F.regexp_replace("company", r"[^\p{L}]", "")), 1, 3)
-    boards = used.select("site", beginning.alias("beginning")).distinct().groupBy("site").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= BOARD_BEGINNINGS).select("site")
+    boards = job_boards(used)
     own = used.distinct().join(boards, "site", "left_anti").select("job_id", "company", "site")
     every = typed.select("job_id", "company", F.lit(None).cast("string").alias("site")).distinct().unionByName(own)
     return every.groupBy("job_id", "company").agg(F.sort_array(F.collect_set("site")).alias("sites")).mapInArrow(read_names, NAMES)

@@ -195,6 +195,16 @@ def test_job_boards_link_nothing(spark):
     assert p01_names.variant_pairs(df).count() == 0
 
 
+def test_boards_are_told_by_spread_and_not_by_number(spark):
+    # a small board links nothing
+    firms = [(k, 1, f"{w}olri Foods", "https://boards.hire.example/x", None, None, None, None, None, None) for k, w in enumerate(["Arkmor", "Belnau", "Cadfen", "Drevin"])]
+    assert p01_names.variant_pairs(signals(spark, firms)).count() == 0
+    # an own site stays one, whatever the number of spellings and of their beginnings
+    spellings = [f"Vellorgrimak Foods {x}".strip() for x in ("", "Ltd", "Inc", "GmbH", "Corp", "LLC", "plc", "S.A.")] + [x + "ellorgrimak Foods" for x in "bcdfghjk"] + ["VF", "Foods of Vellorgrimak", "The Vellorgrimak Foods", "Vlelorgrimak Foods"]
+    rows = [(100 + k, 1, c, "https://vellorgrimak.example/", None, None, None, None, None, None) for k, c in enumerate(spellings)]
+    assert p01_names.variant_pairs(signals(spark, rows)).count() == len(spellings) * (len(spellings) - 1) // 2
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (7, 7)], "a bigint, b bigint")
     labels = {r.node: r.label for r in p01_names.components(edges).collect()}
