@@ -6,8 +6,8 @@ Slots. Text marked in an unmistakable way as a variable ({{x}}, ${x}, <%= x %>,
 unfilled slot; the names found there over the whole corpus are the known variables. Records
 made from one template are aligned by their skeleton (a line with its marked and capitalised
 words and numbers taken out); a slot that keeps a known variable's name in a weaker mark
-([x], {x}, TODO: x), or is left blank where other records of the skeleton fill it, is flagged
-as well. A sentence that explains such marks is no template.
+([x], {x}, TODO: x), or is left blank or at a default where other records of the skeleton fill
+it in different ways, is flagged as well. A sentence that explains such marks is no template.
 
 Pages. The lines of a page's main body, its headline left out, are compared over the corpus:
 lines that come word for word on many pages of several sites, with no name in them, are page
@@ -33,7 +33,7 @@ from millrace.llm.p06_boilerplate import Leaf, main_body
 
 #: Pages and sites on which a body line must come word for word to count as a page template.
 LEAST_PAGES, LEAST_SITES = 6, 4
-#: Records of one skeleton from which a blank slot counts.
+#: Records that fill a slot of one skeleton, from which a blank there counts.
 LEAST_FILLED = 5
 NAME = r"[A-Za-z][A-Za-z0-9]*(?:[_.\-][A-Za-z0-9]+)*"
 #: Marks that nothing but a template uses.
@@ -121,12 +121,18 @@ def marks(text: str) -> tuple[list[str], list[str]]:
     return strong, weak
 
 
-def skeleton(line: str) -> tuple[str, bool]:
-    """A line without marked words, capitalised words and numbers, and whether a slot of it is blank."""
+def skeleton(line: str) -> tuple[str, str, bool]:
+    """A line with its slots as \u0002, what fills them, and whether one of them is blank or keeps a default.
+
+    Slots are marked words, runs of capitalised words, numbers, defaults and the gaps where a
+    slot was left blank, so that a blank line has the skeleton of the filled ones.
+    """
     text = MARKED.sub("\u0002", WEAK.sub("\u0002", line.strip()))
-    blank = bool(re.search(r"(?:\b(?:at|to|in|for|of|by)|^dear)\s*(?:[,.;:]|$)|\(\s*\)", text, re.IGNORECASE)) if len(text) > 12 else False
-    text = re.sub(r"[A-ZÀ-Ý][\w'’-]*(?:\s+[A-ZÀ-Ý][\w'’-]*)*|\d+", "\u0002", text)
-    return re.sub(r"[\s\u0002]+", " ", text).strip(), blank
+    whole = BLANK.sub(lambda m: f"{m[1]} \u0003" if m[1] else "(\u0003)", text)
+    whole = DEFAULT.sub("\u0003", whole)
+    fillers = " ".join(FILLED.findall(whole))
+    shape = re.sub(r"\s*[\u0002\u0003][\s\u0002\u0003]*", "\u0002", FILLED.sub("\u0002", whole))
+    return shape, fillers, "\u0003" in whole
 
 
 def page_lines(text: str, title: str | None) -> list[str]:
@@ -155,20 +161,33 @@ def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             strong, weak = marks(both) if SIGN.search(both) else ([], [])
             skeletons, bare = [], []
             for line in (text or "").split("\n"):
-                if len(line) < 160 and (BLANKS.search(line) or (strong and MARKED.search(line))):
-                    shape, blank = skeleton(line)
-                    if shape:
-                        (bare if blank else skeletons).append(shape)
+                if not SLOTTED.search(line):
+                    continue
+                shape, fillers, blank = skeleton(line)
+                # a sentence, not a heading or a menu: letters outside the slots
+                if len(LITERAL.findall(shape)) >= LEAST_WORDS:
+                    if blank:
+                        bare.append(digest(shape))
+                    elif fillers:
+                        skeletons.append((digest(shape), digest(fillers)))
             rest = page_lines(text, title) if text and text.strip() else None
             lines = [digest(squeezed(x)) for x in rest] if rest else None
-            rows.append((row, site, sorted(set(strong)), sorted(set(weak)), bare, lines, [fault(x) for x in rest] if rest else None, skeletons))
+            rows.append((row, site, sorted(set(strong)), sorted(set(weak)), bare, lines, [fault(x) for x in rest] if rest else None, [{"shape": a, "filler": b} for a, b in set(skeletons)]))
         columns = list(zip(*rows, strict=True)) or [()] * 8
-        types = [batch.column(0).type, pa.string(), texts, texts, texts, pa.list_(pa.int64()), pa.list_(pa.bool_()), texts]
+        digests, filled = pa.list_(pa.int64()), pa.list_(pa.struct([("shape", pa.int64()), ("filler", pa.int64())]))
+        types = [batch.column(0).type, pa.string(), texts, texts, digests, digests, pa.list_(pa.bool_()), filled]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
 
 #: A preposition or greeting right before a sign, or empty brackets: a slot may be blank there.
-BLANKS = re.compile(r"\b(?:at|to|in|for|of|by|Dear)\s+[,.;:]|\b(?:Dear|to)\s*,|\(\s*\)")
+BLANK = re.compile(r"\b(at|to|in|for|of|by|Dear)(?:\s+(?=[,.;:])|(?<=Dear)(?=,))|\(\s*\)")
+#: What templates put where nothing is filled in.
+DEFAULT = re.compile(r"\b(?:Company|Employer|Role|City|First|Last|Job) (?:Name|Title)(?: Here)?\b|\b(?:Your|YOUR) (?:Company|Name|Role|City|COMPANY|NAME|ROLE|CITY)\b|\b(?:null|undefined|TBD|TBA|N/A|XXX+)(?!\w)|_{3,}|\b(?:company|first|last|job|role|city)_(?:name|title)\b")
+FILLED = re.compile(r"[A-ZÀ-Ý][\w'’-]*(?:\s+[A-ZÀ-Ý][\w'’-]*)*|\d+")
+LITERAL = re.compile(r"[^\W\d_]+")
+#: Whatever may be a slot after the first word, filled or blank.
+SLOTTED = re.compile(r"[A-ZÀ-Ý\d{}\[%@<_]")
+LEAST_WORDS = 3
 
 
 def gather(results: DataFrame) -> DataFrame:
@@ -177,7 +196,7 @@ def gather(results: DataFrame) -> DataFrame:
     host = F.regexp_extract("url", r"^[A-Za-z]+://([^/:?#]+)", 1)
     return source.select("result_id", host.alias("site"), "title", "text").mapInArrow(
         evidence,
-        "result_id bigint, site string, strong array<string>, weak array<string>, bare array<string>, lines array<bigint>, faults array<boolean>, skeletons array<string>",
+        "result_id bigint, site string, strong array<string>, weak array<string>, bare array<bigint>, lines array<bigint>, faults array<boolean>, skeletons array<struct<shape: bigint, filler: bigint>>",
     )
 
 
@@ -188,8 +207,11 @@ def residue(results: DataFrame) -> DataFrame:
     variables = found.select(F.explode("strong").alias("variable")).groupBy("variable").agg(F.count(F.lit(1)).alias("n"))
     weak = found.where(F.size("weak") > 0).select("result_id", F.explode("weak").alias("variable"))
     known = weak.join(variables.select("variable"), "variable", "left_semi").unionByName(weak.where(F.col("variable").isin(sorted(LEARNED))).select("variable", "result_id"))
-    templates = found.select(F.explode("skeletons").alias("shape")).groupBy("shape").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_FILLED)
-    bare = found.where(F.size("bare") > 0).select("result_id", F.explode("bare").alias("shape")).join(templates.select("shape"), "shape", "left_semi")
+    # the records of one skeleton, aligned: what varies there is a slot, and it is filled in enough of them
+    bare = durable(found.where(F.size("bare") > 0).select("result_id", F.explode("bare").alias("shape")))
+    filled = found.select("result_id", F.explode("skeletons").alias("z")).select("result_id", "z.shape", "z.filler").join(bare.select("shape").distinct(), "shape", "left_semi")
+    templates = filled.groupBy("shape").agg(F.countDistinct("result_id").alias("n"), F.countDistinct("filler").alias("fillers")).where((F.col("n") >= LEAST_FILLED) & (F.col("fillers") > 1))
+    bare = bare.join(templates.select("shape"), "shape", "left_semi")
     # pages: each line of a body, and on how many pages and sites it comes word for word
     pages = found.where(F.size("lines") > 0).select("result_id", "site", F.posexplode(F.arrays_zip("lines", "faults")).alias("k", "z")).select(
         "result_id", "site", F.col("z.lines").alias("line"), F.col("z.faults").alias("fault")

@@ -158,6 +158,18 @@ def test_long_page_templates_count_without_a_cue(spark):
     assert sorted(r[0] for r in p02_residue.residual_results(spark.createDataFrame(rows, RESULTS)).collect()) == list(range(8))
 
 
+def test_blanks_are_told_by_filled_records(spark):
+    towns = ["Oslo", "Bergen", "Lima", "Rome", "Paris", "Vaduz"]
+    long = " and we would very much like to hear from you, whoever you are and wherever it is that you happen to live now, since the work that we offer is open to all who can do it well"
+    line = "Join us at {}, the house for people who weld" + long + "."
+    rows = [(k, f"https://s{k}.example/x", "Welder", "Welder\n" + line.format(w)) for k, w in enumerate(towns)]
+    rows += [(20, "https://a.example/", "Welder", "Welder\n" + line.format("")), (21, "https://a.example/", "Welder", "Welder\n" + line.format("Company Name"))]
+    # nobody fills this one, and this one never varies
+    rows += [(30, "https://a.example/", "Cook", "Cook\nThe tool that he works in , he says, is old.")]
+    rows += [(40 + k, "https://b.example/", "Cook", "Cook\nWe all cook at Lima, as ever we did.") for k in range(6)] + [(50, "https://b.example/", "Cook", "Cook\nWe all cook at , as ever we did.")]
+    assert sorted(r[0] for r in p02_residue.residual_results(spark.createDataFrame(rows, RESULTS)).collect()) == [20, 21]
+
+
 def test_variant_names(spark):
     names = [(1, "Vellorgri Foods", None), (2, "VELLORGRI FOODS LTD.", None), (3, "Velorgri Foods", None), (4, "Vellorgri Energy", None), (5, "AOM", "https://www.ostvin.example/"), (6, "Alexander Ostvin Motors", "ostvin.example"), (7, None, None), (8, " ", "x.example"), (1, "Vellorgri Foods", None), (9, "Vellorgri Foods", None)]
     df = signals(spark, [(k, 1, c, w, None, None, None, None, None, None) for k, c, w in names] + [(20, 2, "Vellorgri Foods Ltd", None, None, None, None, None, None, None), (21, None, "Vellorgri Foods", None, None, None, None, None, None, None)])
