@@ -1,12 +1,11 @@
 """Lines that many documents of one source share are found and removed from each document.
 
 The key of a line is what its letters leave: lower case, without white space, signs and
-digits. For each source and key the documents that hold the line are kept as compressed
-bitmaps, one container of sorted 16-bit positions for each block of 65,536 document ids, so
-no container grows with the corpus and the lines of a hot source spread over many tasks. The
-variants of a line share its key; their bitmaps are united in the same aggregation. The exact
-cardinalities are summed over the containers, and the lines to delete are read back from the
-bitmaps that reach the threshold.
+digits. For each source and key the documents that hold the line are kept as sets of integers,
+one for each block of 65,536 document ids, so no set grows with the corpus and the lines of a
+hot source spread over many tasks. The variants of a line share its key; their sets are united
+in the same aggregation. The exact cardinalities are summed over the blocks, and the lines to
+delete are read back from the sets that reach the threshold.
 
 Defined results: null texts, null sources and null ids have no lines; lines without letters
 never count; a line repeated within a document counts as one document; a row that repeats an
