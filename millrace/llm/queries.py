@@ -94,6 +94,10 @@ def p9_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p09_leaks.leak_counts(p9_found(spark, sf_dir))
 
 
+def p9_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p09_leaks.leak_evidence(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def _labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return table(spark, sf_dir, "documents", "doc_id", "source", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic")
 
@@ -130,6 +134,7 @@ QUERIES = {
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p9_items": p9_items,
+    "p9_evidence": p9_evidence,
     "p10_found": p10_found,
     "p10_scores": p10_scores,
     "p10_rates": p10_rates,
