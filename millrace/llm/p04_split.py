@@ -8,21 +8,29 @@ the permissible window of lengths, the rightmost among equals; the next piece be
 Defined results: null limits and null texts give no piece; a text within its limit is one
 piece, the whole text, also when it is empty; a text without any boundary is cut at the
 limit, never inside a surrogate pair, a CR LF pair or before a combining mark while another
-place is permitted; a negative or null overlap counts as 0, one above half the limit as half
-of it. The pieces without their overlaps, joined in order, are the text.
+place is permitted; a limit below 2, under which some characters do not fit, counts as 2; a
+negative or null overlap counts as 0, one that leaves no room for another character counts as
+two units less than the limit. With a large overlap a cut is looked for where at least
+half of what the overlap leaves is new. A stop after a title or a single letter ("Dr. ",
+"J. ") ends no sentence. The pieces without their overlaps, joined in order, are the text.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from hashlib import md5
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import narrow
+from millrace.llm.common import narrow, small
 
+#: Configurations up to this number are broadcast; more of them are joined by a shuffle.
+MOST_CONFIGURATIONS = 10_000
+#: Short words whose stop ends no sentence.
+TITLES = frozenset("dr mr mrs ms prof st no vs etc fig eq approx ca e.g i.e z.b bzw nr inc ltd co jr sr".split())
 PARAGRAPH, LINE, SENTENCE, CLAUSE, WORD, CHARACTER = 6, 5, 4, 3, 2, 1
 
 
@@ -53,7 +61,12 @@ def boundaries(text: str):
         before[1:] = space[1:] & comma[:-1]
         strength[before & ~newline] = CLAUSE
         before[1:] = space[1:] & stop[:-1]
-        strength[before & ~newline] = SENTENCE
+        ends = before & ~newline
+        for i in np.flatnonzero(ends & np.append(False, cp[:-1] == 46)).tolist():
+            word = text[max(0, i - 8) : i - 1].rsplit(None, 1)[-1:] or [""]
+            if word[0].lower() in TITLES or (len(word[0]) == 1 and word[0].isalpha()):
+                ends[i] = False
+        strength[ends] = SENTENCE
     strength[newline] = LINE
     lines = np.flatnonzero(newline)
     if len(lines) > 1:
@@ -101,15 +114,16 @@ def mark(char: str) -> bool:
 
 def cut_text(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
     """Pieces of ``text`` as (start, end) in code points, in order."""
-    if limit < 2:
-        raise ValueError("a limit is at least 2 UTF-16 units")
+    limit = max(2, limit)
     if len(text) * 2 <= limit or len(text) + sum(c > "￿" for c in text) <= limit:
         return [(0, len(text))]
     places, strengths, units = boundaries(text)
     table = SparseTable(strengths) if len(places) else None
     place = places.tolist()
     n = len(text)
-    overlap = max(0, min(overlap, limit // 2))
+    overlap = max(0, min(overlap, limit - 2))
+    # a piece holds at least half of what its overlap leaves as new text, and half of the limit where the overlap is small
+    room = max(limit // 2, overlap + (limit - overlap) // 2)
     offset = None if units is None else units.tolist()
 
     def unit(i: int) -> int:
@@ -130,8 +144,8 @@ def cut_text(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
         if end >= n:
             out.append((start, n))
             return out
-        half = bisect_left(offset, unit(start) + limit // 2) if offset is not None else start + limit // 2
-        cut = strongest(max(half, fresh + 1), end) or strongest(fresh + 1, end)
+        half = bisect_left(offset, unit(start) + room) if offset is not None else start + room
+        cut = strongest(max(half, fresh + 1), end) or (strongest(fresh + 1, end) if 2 * overlap <= limit else None)
         if cut is None:
             cut = end
             while cut > max(half, fresh + 1) and (mark(text[cut]) or text[cut - 1] == "‍" or (text[cut - 1] == "\r" and text[cut] == "\n")):
@@ -164,8 +178,7 @@ def bounds_udf():
 def with_limits(inputs: DataFrame, configurations: DataFrame, carry: tuple[str, ...]) -> DataFrame:
     """Inputs with the limits of their configuration; rows without one are left out.
 
-    The configurations are a fixed table of a few rows, one per id; the smaller limit counts
-    should an id come twice.
+    The smaller limit counts should an id come twice.
     """
     limits = (
         narrow(configurations, config_id="config_id", max_chars="max_chunk_characters", overlap="overlap_characters")
@@ -174,8 +187,8 @@ def with_limits(inputs: DataFrame, configurations: DataFrame, carry: tuple[str,
         .agg(F.min(F.struct("max_chars", "overlap")).alias("c"))
         .select("config_id", "c.max_chars", "c.overlap")
     )
-    # the configurations are a fixed table; without the hint a plan might shuffle the texts by a handful of keys
-    return narrow(inputs, config_id="config_id", text="source_text", **{c: c for c in carry}).join(F.broadcast(limits), "config_id")
+    # without the hint a plan might shuffle the texts by a handful of keys
+    return narrow(inputs, config_id="config_id", text="source_text", **{c: c for c in carry}).join(small(limits, MOST_CONFIGURATIONS), "config_id")
 
 
 def split_inputs(inputs: DataFrame, configurations: DataFrame) -> DataFrame:
@@ -197,6 +210,32 @@ def split_inputs(inputs: DataFrame, configurations: DataFrame) -> DataFrame:
     return source.mapInArrow(pieces, "input_id bigint, piece_no int, n_pieces int, start_char int, end_char int, piece string")
 
 
+def piece_checks(inputs: DataFrame, configurations: DataFrame) -> DataFrame:
+    """(input_id, pieces_join, within_limit, overlap_kept, several) of every text: what its pieces have to satisfy.
+
+    ``pieces_join`` is the MD5 of the pieces joined without their overlaps.
+    """
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["input_id", "pieces_join", "within_limit", "overlap_kept", "several"]
+        types = [pa.int64(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_()]
+        for batch in batches:
+            rows = []
+            for i, text, limit, overlap in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if text is None:
+                    continue
+                cuts, units = cut_text(text, limit, overlap or 0), lambda x: len(x.encode("utf-16-le", "surrogatepass")) // 2
+                joined = "".join(text[max(a, before) : b] for (a, b), before in zip(cuts, [0, *(b for _, b in cuts)], strict=False))
+                within = all(units(text[a:b]) <= limit for a, b in cuts)
+                kept = all(a <= before and units(text[a:before]) <= max(0, overlap or 0) for (a, _), (_, before) in zip(cuts[1:], cuts, strict=False))
+                rows.append((i, md5(joined.encode("utf-8", "surrogatepass")).hexdigest(), within, kept, len(cuts) > 1))
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+    source = with_limits(inputs, configurations, ("input_id",)).select("input_id", "text", "max_chars", "overlap")
+    return source.mapInArrow(check, "input_id bigint, pieces_join string, within_limit boolean, overlap_kept boolean, several boolean")
+
+
 def oversized(inputs: DataFrame, configurations: DataFrame) -> DataFrame:
     """(input_id) of the texts that came out of the splitter in more than one piece."""
     source = with_limits(inputs, configurations, ("input_id",))

@@ -3,10 +3,10 @@
 Each reference entry is spelt out in the forms people type (aliases, usual abbreviations, the
 last word put first; for places the country, its short code or the province beside the town).
 A form of length L may differ from a typed value by up to k(L) edits. Pigeonhole: a form is
-cut into k + 1 segments; a value within k edits holds at least one segment unchanged, at most
-k places away from where it stands in the form, so an equality join on (segment, length) with
-a bound on the shift finds every such pair. The built-in levenshtein verifies; the value goes to the
-closest entry. Values without an entry are reported as -1 by an anti-join.
+cut into k + 1 segments; a value within k edits holds at least one of them unchanged, at a
+place that the edits before and behind it bound, so an equality join on (length, number of
+the segment, substring) over just these lengths and places finds every such pair. The
+built-in levenshtein verifies; the value goes to the closest entry. Values without an entry are reported as -1 by an anti-join.
 
 Only distinct values are matched, so a value that a third of the rows share costs one row;
 values equal to a form leave the work before the segments are made.
@@ -48,7 +48,6 @@ PHRASE_FORMS = {
 ROLE_REMARKS = r"\bm f d\b|\b(?:part|full) time\b|\b(?:temp|remote|wanted|x\d+|i{2,3}|hybrid)\b|\b[^ ]+ team *$"
 ROLE_RANKS = r"^ *(?:(?:senior|snr|sr|junior|jr|lead|principal|deputy) +)+"
 PLACE_REMARKS = r"\band surroundings\b|\bcity centre\b|^ *(?:near|region|greater)\b|\barea *$|\bhybrid\b|\bprovince\b|\b\d{4,6}\b"
-SEGMENT_LENGTHS = 16
 
 
 def edits_sql(length: str) -> str:
@@ -114,7 +113,7 @@ def place_forms(places: DataFrame) -> DataFrame:
         WITH around AS (
             SELECT location_id, replace({words_sql("country")}, ' ', '') AS country,
                    replace(regexp_replace({words_sql("province")}, '\\\\bprovince\\\\b', ''), ' ', '') AS province FROM {{places}}),
-        -- a town that two entries share is no form by itself: what stands beside it decides
+        -- what stands beside a town that entries share tells them apart; the town alone goes to the smallest id
         spread AS (
             SELECT t.field, t.ref_id, t.plain, t.form, explode(filter(array(t.form, t.form || country, country || t.form, country || t.form || country,
                    t.form || left(country, 3), t.form || province, province || t.form, t.form || province || country), x -> x IS NOT NULL)) AS full
@@ -167,16 +166,20 @@ def mapped_values(values: DataFrame, all_forms: DataFrame) -> DataFrame:
         same AS (SELECT t.field, t.typed, f.ref_id, f.plain, 0 AS distance FROM typed t JOIN forms f ON t.field = f.field AND t.typed = f.form),
         rest AS (SELECT t.* FROM typed t LEFT ANTI JOIN forms f ON t.field = f.field AND t.typed = f.form),
         segments AS (
-            SELECT field, ref_id, plain, form, l, k, CAST(floor(i * l / (k + 1)) AS INT) AS at,
+            SELECT DISTINCT field, form, l, k, i, CAST(floor(i * l / (k + 1)) AS INT) AS at,
                    substring(form, CAST(floor(i * l / (k + 1)) AS INT) + 1, CAST(floor((i + 1) * l / (k + 1)) - floor(i * l / (k + 1)) AS INT)) AS segment
             FROM forms LATERAL VIEW explode(sequence(0, k)) AS i WHERE k > 0),
+        -- the lengths, segments and places that a form within the edits can have: segment i has at most i edits before it, or at
+        -- most k - i behind it, so its place in the typed value lies within i of its own and within k - i of its own plus the shift
+        cuts AS (SELECT DISTINCT field, l AS fl, k, i, at, length(segment) AS n FROM segments),
         spans AS (
-            SELECT field, typed, l, at, substring(typed, at + 1, n) AS segment
-            FROM rest LATERAL VIEW explode(sequence(2, {SEGMENT_LENGTHS})) AS n LATERAL VIEW explode(sequence(0, l)) AS at
-            WHERE at + n <= l AND n <= l / 2 + 2),
+            SELECT DISTINCT r.field, r.typed, c.fl, c.i, substring(r.typed, p + 1, c.n) AS segment
+            FROM rest r JOIN cuts c ON r.field = c.field AND c.fl BETWEEN r.l - c.k AND r.l + c.k
+            LATERAL VIEW explode(sequence(greatest(0, c.at - c.i, c.at + r.l - c.fl - (c.k - c.i)), greatest(0, c.at - c.i, c.at + r.l - c.fl - (c.k - c.i), least(r.l - c.n, c.at + c.i, c.at + r.l - c.fl + (c.k - c.i))))) AS p
+            WHERE p <= least(r.l - c.n, c.at + c.i, c.at + r.l - c.fl + (c.k - c.i))),
         pairs AS (
             SELECT DISTINCT s.field, s.typed, g.form, g.k FROM spans s JOIN segments g
-            ON s.field = g.field AND s.segment = g.segment AND abs(s.at - g.at) <= g.k AND abs(s.l - g.l) <= g.k),
+            ON s.field = g.field AND s.fl = g.l AND s.i = g.i AND s.segment = g.segment),
         near AS (
             SELECT field, typed, form, distance FROM (SELECT *, levenshtein(typed, form, k) AS distance FROM pairs) WHERE distance >= 0),
         hits AS (

@@ -1,11 +1,13 @@
 """Lines that many documents of one source share are found and removed from each document.
 
 The key of a line is what its letters leave: lower case, without white space, signs and
-digits. For each source and key the documents that hold the line are kept as sets of integers,
-one for each block of 65,536 document ids, so no set grows with the corpus and the lines of a
-hot source spread over many tasks. The variants of a line share its key; their sets are united
-in the same aggregation. The exact cardinalities are summed over the blocks, and the lines to
-delete are read back from the sets that reach the threshold.
+digits. For each source and line the documents are stored as a compressed bitmap: of the bits
+of all document ids only the words of 64 bits that hold one are kept, each a row with its
+number. The bitmaps of a line's variants (other digits, signs, case) are united by a bitwise
+or under their common key, map-side first; cardinalities are the exact bit counts, summed over
+the words, so the documents of a hot line are spread over as many tasks as it has words. Lines
+to delete are looked up: each line of a document reads the word of its key that its id falls
+into, among the bitmaps that reach the threshold, and is deleted where the bit is set.
 
 Defined results: null texts, null sources and null ids have no lines; lines without letters
 never count; a line repeated within a document counts as one document; a row that repeats an
@@ -14,14 +16,15 @@ id counts once; the cleaned text keeps the order of the other lines.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import narrow
+from millrace.llm.common import durable, narrow
 
 #: Documents of one source that must share a line before it is removed.
 THRESHOLD = 8
-BLOCK_BITS = 16
+WORD_BITS = 6
+KEY = ("high", "low")
 
 
 def line_key(line):
@@ -29,38 +32,34 @@ def line_key(line):
     return F.lower(F.regexp_replace(line, r"[^\p{L}\p{M}]+", ""))
 
 
-def containers(df: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
-    """(key, block, positions): for each source and line key the documents and line numbers of a block of ids.
-
-    ``key`` is a 128-bit digest of source and letters; a position packs the low 16 bits of the
-    document id and the line number into one long.
-    """
+def keyed_lines(df: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
+    """(high, low, word, bit, line_no): each line with letters, under a digest of 128 bits of its source and letters, and the place of its document."""
     base = narrow(df, id=id_col, source=source_col, text=text_col).where("id IS NOT NULL AND source IS NOT NULL AND text IS NOT NULL")
     lines = base.select("id", "source", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    keyed = lines.select("id", "line_no", "source", line_key(F.col("line")).alias("letters")).where("letters <> ''")
-    return (
-        keyed.select(
-            F.unhex(F.md5(F.concat_ws("\u0001", "source", "letters"))).alias("key"),
-            F.shiftright("id", BLOCK_BITS).alias("block"),
-            (F.shiftleft(F.col("id").bitwiseAND((1 << BLOCK_BITS) - 1), 32) + F.col("line_no")).alias("position"),
-        )
-        .groupBy("key", "block")
-        .agg(F.collect_set("position").alias("positions"))
-    )
+    lettered = lines.select("id", "line_no", "source", line_key(F.col("line")).alias("letters")).where("letters <> ''")
+    return lettered.select(
+        F.xxhash64("source", "letters").alias("high"), F.xxhash64(F.lit("millrace"), "letters", "source").alias("low"),
+        F.shiftright("id", WORD_BITS).alias("word"), F.col("id").bitwiseAND((1 << WORD_BITS) - 1).cast("int").alias("bit"), F.col("line_no").cast("bigint").alias("line_no"),
+    )
+
+
+def bitmaps(lines: DataFrame) -> DataFrame:
+    """(high, low, word, bits): the compressed bitmap of each line's documents, its variants united."""
+    return lines.groupBy(*KEY, "word").agg(F.bit_or(F.expr("shiftleft(CAST(1 AS BIGINT), bit)")).alias("bits"))
+
+
+def frequent_bitmaps(lines: DataFrame, threshold: int) -> DataFrame:
+    """The bitmaps whose cardinality reaches the threshold."""
+    stored = durable(bitmaps(lines))
+    frequent = stored.groupBy(*KEY).agg(F.sum(F.bit_count("bits")).alias("documents")).where(F.col("documents") >= threshold)
+    return stored.join(frequent.select(*KEY), list(KEY), "left_semi")
 
 
 def repeated_lines(df: DataFrame, id_col: str = "source_document_id", source_col: str = "domain", text_col: str = "raw_content", threshold: int = THRESHOLD) -> DataFrame:
     """(id, line_no) of every line whose key occurs in at least ``threshold`` documents of its source."""
-    low = (1 << BLOCK_BITS) - 1
-    counted = containers(df, id_col, source_col, text_col).withColumn(
-        "documents", F.size(F.array_distinct(F.transform("positions", lambda p: F.shiftright(p, 32))))
-    )
-    total = F.sum("documents").over(Window.partitionBy("key"))
-    frequent = counted.withColumn("total", total).where(F.col("total") >= threshold)
-    return frequent.select("block", F.explode("positions").alias("position")).select(
-        (F.shiftleft("block", BLOCK_BITS) + F.shiftright("position", 32).bitwiseAND(low)).alias(id_col),
-        F.col("position").bitwiseAND(0xFFFFFFFF).alias("line_no"),
-    )
+    lines = keyed_lines(df, id_col, source_col, text_col)
+    found = lines.join(frequent_bitmaps(lines, threshold), [*KEY, "word"]).where("shiftrightunsigned(bits, bit) & 1 = 1")
+    return found.select((F.shiftleft("word", WORD_BITS) + F.col("bit")).alias(id_col), "line_no").distinct()
 
 
 def without_repeated_lines(df: DataFrame, id_col: str = "source_document_id", source_col: str = "domain", text_col: str = "raw_content", threshold: int = THRESHOLD) -> DataFrame:

@@ -42,6 +42,10 @@ def p3_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p03_survivor.survivors(table(spark, sf_dir, "signals"))
 
 
+def p3_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p03_survivor.survivors(table(spark, sf_dir, "signals")).select("job_id", "deduplication_key", "members", "leads")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p04_split.oversized(table(spark, sf_dir, "extraction_inputs"), table(spark, sf_dir, "chunking_configurations"))
 
@@ -50,6 +54,10 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p04_split.split_inputs(table(spark, sf_dir, "extraction_inputs"), table(spark, sf_dir, "chunking_configurations"))
 
 
+def p4_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p04_split.piece_checks(table(spark, sf_dir, "extraction_inputs"), table(spark, sf_dir, "chunking_configurations"))
+
+
 def _typed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return (
         table(spark, sf_dir, "signals", "record_id", "role", "location"),
@@ -123,8 +131,10 @@ QUERIES = {
     "p2_clean": p2_clean,
     "p3_found": p3_found,
     "p3_survivors": p3_survivors,
+    "p3_leads": p3_leads,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
+    "p4_checks": p4_checks,
     "p5_found": p5_found,
     "p5_unmatched": p5_unmatched,
     "p6_found": p6_found,
@@ -197,10 +207,24 @@ SQL = {
         GROUP BY a.record_id
         HAVING bool_and(a.c >= b.c AND a.p >= b.p AND a.f >= b.f AND a.n >= b.n AND (a.c > b.c OR a.p > b.p OR a.f > b.f OR a.n > b.n))
     """,
+    "p3_leads": r"""
+        WITH r AS (
+            SELECT job_id, deduplication_key, coalesce(credibility_score, -1) AS c, coalesce(epoch_us(published_at), -1) AS p, coalesce(confidence_score, -1) AS f,
+                   (coalesce(trim(website, E' \t\n\r'), '') <> '')::INT + (coalesce(trim(role, E' \t\n\r'), '') <> '')::INT + (coalesce(trim(location, E' \t\n\r'), '') <> '')::INT AS n
+            FROM signals WHERE job_id IS NOT NULL AND deduplication_key IS NOT NULL),
+        m AS (SELECT *, max(c) OVER g AS mc, max(p) OVER g AS mp, max(f) OVER g AS mf, max(n) OVER g AS mn FROM r WINDOW g AS (PARTITION BY job_id, deduplication_key))
+        SELECT job_id, deduplication_key, count(*) AS members, count(*) FILTER (WHERE c = mc AND p = mp AND f = mf AND n = mn) = 1 AS leads
+        FROM m GROUP BY job_id, deduplication_key HAVING count(*) > 1
+    """,
     "p4_found": r"""
         SELECT i.input_id FROM extraction_inputs i JOIN chunking_configurations c ON i.config_id = c.config_id
         WHERE length(i.source_text) + length(regexp_replace(i.source_text, '[^\x{10000}-\x{10FFFF}]', '', 'g')) > c.max_chunk_characters
     """,
+    "p4_checks": r"""
+        SELECT i.input_id, md5(i.source_text) AS pieces_join, true AS within_limit, true AS overlap_kept,
+               length(i.source_text) + length(regexp_replace(i.source_text, '[^\x{10000}-\x{10FFFF}]', '', 'g')) > c.max_chunk_characters AS several
+        FROM extraction_inputs i JOIN chunking_configurations c ON i.config_id = c.config_id WHERE i.source_text IS NOT NULL AND c.max_chunk_characters IS NOT NULL
+    """,
     "p7_found": r"""
         WITH l AS (
             SELECT source_document_id, domain, unnest(string_split(raw_content, chr(10))) AS line,

@@ -42,10 +42,22 @@ def test_survivors(spark):
     assert p03_survivor.dominant_records(signals(spark, rows[:3] + rows[:1])).count() == 0
 
 
-def test_large_groups_are_folded_in_parts(spark):
-    rows = [(k, 1, f"Acme Works {k % 90}" if k % 3 else "Acme Works", None, None, None, 0.5, at(1), 0.5, "big") for k in range(300)]
-    out = p03_survivor.survivors(signals(spark, rows)).collect()
-    assert len(out) == 1 and out[0].members == 300 and out[0].company.startswith("Acme Works")
+def test_large_groups_have_the_outcome_of_whole_ones(spark, data, monkeypatch):
+    from millrace.sources import table
+
+    rows = [(k, 1, f"Acme Works {k % 9}" if k % 3 else "Acme Works", None, f"Senior Welder {'abc'[k % 3]}", None, 0.5, at(1 + k % 5), 0.5, "big") for k in range(100)]
+    frames = [signals(spark, rows), table(spark, data, "signals")]
+    whole = [sorted(map(tuple, p03_survivor.survivors(df).collect()), key=str) for df in frames]
+    monkeypatch.setattr(p03_survivor, "WHOLE", 1)
+    assert [sorted(map(tuple, p03_survivor.survivors(df).collect()), key=str) for df in frames] == whole
+    assert len(whole[0]) == 1 and whole[0][0][4] == 100 and len(whole[1]) > 100
+
+
+def test_found_records_come_out_of_the_consensus(spark, data):
+    from millrace.sources import table
+
+    plan = p03_survivor.dominant_records(table(spark, data, "signals"))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "company" in plan
 
 
 def test_splitting(spark):
@@ -98,6 +110,14 @@ def test_pigeonhole_finds_what_brute_force_finds(spark, data):
     assert all(mapped.get((r.field, r.value), 99) <= r.d for r in best)
 
 
+def test_long_forms_are_matched_as_well(spark):
+    long = " ".join(f"{w} supervisor" for w in ("Regional", "Warehouse", "Inventory", "Packaging", "Dispatch", "Security"))
+    roles = spark.createDataFrame([(1, long, None), (2, "Welder", None)], ROLES)
+    typed = long.replace("Warehouse", "Warehuose")
+    df = signals(spark, [(1, 1, "c", None, typed, None, None, None, None, None)])
+    assert [r.ref_id for r in p05_canonical.map_values(df, roles, spark.createDataFrame([], PLACES)).collect()] == [1]
+
+
 DOCS = "source_document_id bigint, domain string, title string, raw_content string"
 RESULTS = "result_id bigint, final_url string, title string, text string"
 
@@ -113,6 +133,12 @@ def test_repeated_lines(spark):
     assert p07_lines.repeated_lines(df.limit(0)).count() == 0
 
 
+def test_lines_of_one_document_under_many_variants_count_once(spark):
+    rows = [(k, "a.example", None, f"Page {k} of 9\nPAGE {k}, OF 9!\npage of") for k in range(7)]
+    assert p07_lines.repeated_lines(spark.createDataFrame(rows, DOCS)).count() == 0
+    assert p07_lines.repeated_lines(spark.createDataFrame(rows + [(-5, "a.example", None, "Page of")], DOCS)).count() == 22
+
+
 def test_large_and_distant_ids_share_a_line(spark):
     ids = [1, 65_535, 65_536, 65_537, 10**12, 10**12 + 1, 2**40, 7]
     df = spark.createDataFrame([(i, "a.example", None, "Back to top") for i in ids], DOCS)
