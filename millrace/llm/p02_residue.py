@@ -1,18 +1,23 @@
 """Results that hold template residue, filler, an error page or a notice about scripts instead of content.
 
-Two kinds of evidence are gathered in one pass over the records and joined in small aggregates.
+Two kinds of evidence are gathered and joined in small aggregates.
 
 Slots. Text marked in an unmistakable way as a variable ({{x}}, ${x}, <%= x %>, %%x%%, ...) is an
-unfilled slot; the names found there over the whole corpus are the known variables. Records
-made from one template are aligned by their skeleton (a line with its marked and capitalised
-words and numbers taken out); a slot that keeps a known variable's name in a weaker mark
-([x], {x}, TODO: x), or is left blank or at a default where other records of the skeleton fill
-it in different ways, is flagged as well. A sentence that explains such marks is no template.
+unfilled slot; the names found there over the whole corpus are the known variables, and so is a
+weaker mark ([x], {x}, TODO: x) that holds one of them. The records of one template are aligned
+line by line: what a line leaves when capitalised words, numbers and marks are taken out is its
+skeleton, the places taken out are the slots, and the skeletons of all lines of all records are
+compared. Where enough records fill a skeleton and differ there, a record that leaves a slot
+blank, at a default, or at a variable's name written as an identifier (CompanyName, job_title;
+its parts are those of the known variables) is flagged. A sentence that explains such marks is
+no template.
 
 Pages. The lines of a page's main body, its headline left out, are compared over the corpus:
 lines that come word for word on many pages of several sites, with no name in them, are page
 templates. A page whose lines are all page templates, or speak as filler, errors and script
-notices do, has no content.
+notices do, has no content. Whether a line speaks so is asked of the longest line first and no
+further than to the first that does not; only the pages on which that one is a page template
+are read a second time.
 
 Defined results: null and blank title and text are no case by themselves; a page of headline
 and menus only is no case; results with a null id are left out; repeated rows come out once.
@@ -22,11 +27,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from hashlib import blake2b
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from millrace.llm.common import durable, narrow
 from millrace.llm.p06_boilerplate import Leaf, main_body
@@ -121,20 +126,6 @@ def marks(text: str) -> tuple[list[str], list[str]]:
     return strong, weak
 
 
-def skeleton(line: str) -> tuple[str, str, bool]:
-    """A line with its slots as \u0002, what fills them, and whether one of them is blank or keeps a default.
-
-    Slots are marked words, runs of capitalised words, numbers, defaults and the gaps where a
-    slot was left blank, so that a blank line has the skeleton of the filled ones.
-    """
-    text = MARKED.sub("\u0002", WEAK.sub("\u0002", line.strip()))
-    whole = BLANK.sub(lambda m: f"{m[1]} \u0003" if m[1] else "(\u0003)", text)
-    whole = DEFAULT.sub("\u0003", whole)
-    fillers = " ".join(FILLED.findall(whole))
-    shape = re.sub(r"\s*[\u0002\u0003][\s\u0002\u0003]*", "\u0002", FILLED.sub("\u0002", whole))
-    return shape, fillers, "\u0003" in whole
-
-
 def page_lines(text: str, title: str | None) -> list[str]:
     """The body's lines without its headline."""
     lines = text.split("\n")
@@ -148,86 +139,113 @@ def page_lines(text: str, title: str | None) -> list[str]:
 
 def digest(text: str) -> int:
     """64 bits that stand for a text where only equality counts."""
-    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+    value = xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
+    return value - (1 << 64) if value >= 1 << 63 else value
+
+
+EVIDENCE = "result_id bigint, site string, strong array<string>, weak array<string>, lines array<bigint>, stop bigint"
+JUDGED = "result_id bigint, line bigint, fault boolean"
 
 
 def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["result_id", "site", "strong", "weak", "bare", "lines", "faults", "skeletons"]
+    """The marks of each record, its body's lines, and the first of them, the longest first, that does not speak as a fault."""
     texts = pa.list_(pa.string())
     for batch in batches:
         rows = []
         for row, site, title, text in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
             both = f"{title or ''}\n{text or ''}"
             strong, weak = marks(both) if SIGN.search(both) else ([], [])
-            skeletons, bare = [], []
-            for line in (text or "").split("\n"):
-                if not SLOTTED.search(line):
-                    continue
-                shape, fillers, blank = skeleton(line)
-                # a sentence, not a heading or a menu: letters outside the slots
-                if len(LITERAL.findall(shape)) >= LEAST_WORDS:
-                    if blank:
-                        bare.append(digest(shape))
-                    elif fillers:
-                        skeletons.append((digest(shape), digest(fillers)))
-            rest = page_lines(text, title) if text and text.strip() else None
-            lines = [digest(squeezed(x)) for x in rest] if rest else None
-            rows.append((row, site, sorted(set(strong)), sorted(set(weak)), bare, lines, [fault(x) for x in rest] if rest else None, [{"shape": a, "filler": b} for a, b in set(skeletons)]))
-        columns = list(zip(*rows, strict=True)) or [()] * 8
-        digests, filled = pa.list_(pa.int64()), pa.list_(pa.struct([("shape", pa.int64()), ("filler", pa.int64())]))
-        types = [batch.column(0).type, pa.string(), texts, texts, digests, digests, pa.list_(pa.bool_()), filled]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+            rest = page_lines(text, title) if text and text.strip() else []
+            lines = [digest(squeezed(x)) for x in rest]
+            stop = next((lines[k] for k in sorted(range(len(rest)), key=lambda k: -len(rest[k])) if not fault(rest[k])), None)
+            rows.append((row, site, sorted(set(strong)), sorted(set(weak)), lines, stop))
+        columns = list(zip(*rows, strict=True)) or [()] * 6
+        types = [batch.column(0).type, pa.string(), texts, texts, pa.list_(pa.int64()), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["result_id", "site", "strong", "weak", "lines", "stop"])
+
+
+def judged_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every body line of a record and whether it speaks as a fault."""
+    for batch in batches:
+        rows = [(row, digest(squeezed(x)), fault(x)) for row, title, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True) for x in page_lines(text, title)]
+        columns = list(zip(*rows, strict=True)) or [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [batch.column(0).type, pa.int64(), pa.bool_()], strict=True)], ["result_id", "line", "fault"])
 
 
+#: Fixed values, in the syntax of the JVM: marks of any kind, and what templates put where nothing is filled in.
+ANY_MARK = r"\{\{[^{}]*\}\}|[$#]\{[^{}]*\}|<%[^%]*%>|\{%[^%]*%\}|%%[A-Za-z][\w.-]*%%|@@[A-Za-z][\w.-]*@@|\[\[?[A-Za-z][\w .-]*\]\]?|\{[A-Za-z][\w.-]*\}|<(?:your|insert|add) [\w.-]+>|\bXX_\w+_XX\b"
+DEFAULT = (
+    r"\b(?:Company|Employer|Role|City|First|Last|Job) (?:Name|Title)(?: Here)?\b|\b(?:Your|YOUR) (?:Company|Name|Role|City|COMPANY|NAME|ROLE|CITY)\b|\b(?:null|undefined|TBD|TBA|N/A|XXX+)(?!\w)|_{3,}"
+)
 #: A preposition or greeting right before a sign, or empty brackets: a slot may be blank there.
-BLANK = re.compile(r"\b(at|to|in|for|of|by|Dear)(?:\s+(?=[,.;:])|(?<=Dear)(?=,))|\(\s*\)")
-#: What templates put where nothing is filled in.
-DEFAULT = re.compile(r"\b(?:Company|Employer|Role|City|First|Last|Job) (?:Name|Title)(?: Here)?\b|\b(?:Your|YOUR) (?:Company|Name|Role|City|COMPANY|NAME|ROLE|CITY)\b|\b(?:null|undefined|TBD|TBA|N/A|XXX+)(?!\w)|_{3,}|\b(?:company|first|last|job|role|city)_(?:name|title)\b")
-FILLED = re.compile(r"[A-ZÀ-Ý][\w'’-]*(?:\s+[A-ZÀ-Ý][\w'’-]*)*|\d+")
-LITERAL = re.compile(r"[^\W\d_]+")
-#: Whatever may be a slot after the first word, filled or blank.
-SLOTTED = re.compile(r"[A-ZÀ-Ý\d{}\[%@<_]")
-LEAST_WORDS = 3
-
-
-def gather(results: DataFrame) -> DataFrame:
-    """The evidence of every record, one pass, no shuffle."""
-    source = narrow(results, result_id="result_id", url="final_url", title="title", text="text").where("result_id IS NOT NULL AND (title IS NOT NULL OR text IS NOT NULL)")
-    host = F.regexp_extract("url", r"^[A-Za-z]+://([^/:?#]+)", 1)
-    return source.select("result_id", host.alias("site"), "title", "text").mapInArrow(
-        evidence,
-        "result_id bigint, site string, strong array<string>, weak array<string>, bare array<bigint>, lines array<bigint>, faults array<boolean>, skeletons array<struct<shape: bigint, filler: bigint>>",
-    )
+BLANK = r"\b(?:at|to|in|for|of|by)(?=\s+[,.;:])|\bDear(?=\s*,)|\((?=\s*\))"
+#: A name written as an identifier.
+IDENTIFIER = r"\b(?:[A-Za-z][a-z]+(?:[A-Z][a-z]+)+|[A-Za-z]+(?:_[A-Za-z]+)+)\b"
+#: Slots: capitalised words, numbers, and \u0002 for whatever was marked as one, with the white space between and around them.
+SLOT = r"(?:\u0002|\p{Lu}[\p{L}\p{N}_'’-]*|\d+)"
+SLOTS = rf"\s*{SLOT}(?:\s*{SLOT})*\s*"
+#: A skeleton has three words outside its slots: a sentence, not a heading or a menu.
+SPEAKS = r"\p{L}+[^\p{L}]+\p{L}+[^\p{L}]+\p{L}"
+
+
+def skeleton(line: Column) -> Column:
+    """A line with \u0002 in the places of its slots."""
+    return F.trim(F.regexp_replace(line, SLOTS, "\u0002"))
+
+
+def unfilled(results: DataFrame, variables: DataFrame) -> DataFrame:
+    """(result_id) of the records with a slot that is blank, at a default or at a variable's name where others of the template fill it.
+
+    ``variables`` has the names of the known variables.
+    """
+    lines = results.select("result_id", F.explode(F.split("text", "\n")).alias("line"))
+    odd = lines.where(F.col("line").rlike(f"{BLANK}|{DEFAULT}|{IDENTIFIER}|{ANY_MARK}"))
+    # identifiers count where all their parts are parts of known variables
+    parts = lambda c: F.split(F.lower(F.regexp_replace(c, r"([a-z])([A-Z])", "$1_$2")), r"[_.\-]")
+    known = variables.select(F.explode(parts(F.col("variable"))).alias("part")).union(results.sparkSession.createDataFrame([(w,) for w in sorted(LEARNED)], "part string")).distinct()
+    written = odd.select("result_id", "line", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(f"({IDENTIFIER})"), 1))).alias("name"))
+    split = written.select("result_id", "line", "name", F.size(parts(F.col("name"))).alias("n"), F.explode(parts(F.col("name"))).alias("part")).join(known, "part", "left_semi")
+    named = split.groupBy("result_id", "line", "name").agg(F.count(F.lit(1)).alias("held"), F.first("n").alias("n")).where("held = n").select("result_id", F.replace("line", "name", F.lit("\u0002")).alias("whole"))
+    marked = F.regexp_replace(F.regexp_replace("line", f"{ANY_MARK}|{DEFAULT}", "\u0002"), f"({BLANK})", "$1 \u0002")
+    plain = odd.where(F.col("line").rlike(f"{BLANK}|{DEFAULT}")).select("result_id", marked.alias("whole"))
+    bare = plain.unionByName(named).select("result_id", skeleton(F.col("whole")).alias("shape")).where(F.col("shape").rlike(SPEAKS)).select("result_id", F.xxhash64("shape").alias("shape"))
+    bare = durable(bare.distinct())
+    if bare.isEmpty():
+        return bare.select("result_id")
+    filled = lines.where(~F.col("line").rlike(f"{BLANK}|{DEFAULT}|{ANY_MARK}")).select("result_id", F.xxhash64(skeleton(F.col("line"))).alias("shape"), F.xxhash64("line").alias("line"))
+    # only the skeletons that some record leaves unfilled are aligned any further
+    aligned = filled.join(bare.select("shape").distinct(), "shape", "left_semi").join(bare, ["shape", "result_id"], "left_anti")
+    # the lines of one skeleton differ in their slots alone
+    templates = aligned.groupBy("shape").agg(F.countDistinct("result_id").alias("n"), F.min("line").alias("a"), F.max("line").alias("b")).where((F.col("n") >= LEAST_FILLED) & (F.col("a") != F.col("b")))
+    return bare.join(templates.select("shape"), "shape", "left_semi").select("result_id")
 
 
 def residue(results: DataFrame) -> DataFrame:
     """(result_id, reason) of the results without content or with template residue."""
-    found = durable(gather(results))  # read by each of the aggregates below
-    slots = found.where(F.size("strong") > 0).select("result_id", F.lit("slot").alias("reason"))
-    variables = found.select(F.explode("strong").alias("variable")).groupBy("variable").agg(F.count(F.lit(1)).alias("n"))
+    source = narrow(results, result_id="result_id", url="final_url", title="title", text="text").where("result_id IS NOT NULL AND (title IS NOT NULL OR text IS NOT NULL)")
+    source = source.select("result_id", F.regexp_extract("url", r"^[A-Za-z]+://([^/:?#]+)", 1).alias("site"), "title", "text")
+    found = durable(source.mapInArrow(evidence, EVIDENCE))  # read by each of the aggregates below
+    slots = found.where(F.size("strong") > 0).select("result_id")
+    variables = durable(found.select(F.explode("strong").alias("variable")).distinct())
     weak = found.where(F.size("weak") > 0).select("result_id", F.explode("weak").alias("variable"))
-    known = weak.join(variables.select("variable"), "variable", "left_semi").unionByName(weak.where(F.col("variable").isin(sorted(LEARNED))).select("variable", "result_id"))
-    # the records of one skeleton, aligned: what varies there is a slot, and it is filled in enough of them
-    bare = durable(found.where(F.size("bare") > 0).select("result_id", F.explode("bare").alias("shape")))
-    filled = found.select("result_id", F.explode("skeletons").alias("z")).select("result_id", "z.shape", "z.filler").join(bare.select("shape").distinct(), "shape", "left_semi")
-    templates = filled.groupBy("shape").agg(F.countDistinct("result_id").alias("n"), F.countDistinct("filler").alias("fillers")).where((F.col("n") >= LEAST_FILLED) & (F.col("fillers") > 1))
-    bare = bare.join(templates.select("shape"), "shape", "left_semi")
+    known = weak.join(variables, "variable", "left_semi").unionByName(weak.where(F.col("variable").isin(sorted(LEARNED))))
+    blank = unfilled(source.where("text IS NOT NULL").select("result_id", "text"), variables)
     # pages: each line of a body, and on how many pages and sites it comes word for word
-    pages = found.where(F.size("lines") > 0).select("result_id", "site", F.posexplode(F.arrays_zip("lines", "faults")).alias("k", "z")).select(
-        "result_id", "site", F.col("z.lines").alias("line"), F.col("z.faults").alias("fault")
-    )
-    once = pages.select("line", "site", "result_id").distinct()
+    once = found.select(F.explode(F.array_distinct("lines")).alias("line"), "site", "result_id").distinct()
     by_site = once.groupBy("line", "site").agg(F.count(F.lit(1)).alias("n"))
-    # a line of a page template speaks in sentences: a few letters repeated are subheadings
-    common = by_site.groupBy("line").agg(F.sum("n").alias("pages"), F.count(F.lit(1)).alias("sites")).where((F.col("pages") >= LEAST_PAGES) & (F.col("sites") >= LEAST_SITES))
-    judged = pages.join(common.select("line", F.lit(True).alias("common")), "line", "left")
-    empty = judged.groupBy("result_id").agg(F.min(F.col("fault") | F.coalesce("common", F.lit(False))).alias("all")).where("all")
-    return (
-        slots.unionByName(known.select("result_id", F.lit("slot").alias("reason")))
-        .unionByName(bare.select("result_id", F.lit("blank").alias("reason")))
-        .unionByName(empty.select("result_id", F.lit("page").alias("reason")))
-        .distinct()
-    )
+    common = durable(by_site.groupBy("line").agg(F.sum("n").alias("pages"), F.count(F.lit(1)).alias("sites")).where((F.col("pages") >= LEAST_PAGES) & (F.col("sites") >= LEAST_SITES)).select("line"))
+    faults = found.where("size(lines) > 0 AND stop IS NULL").select("result_id")
+    # the first line that speaks as no fault is a page template here: the other lines decide
+    again = found.where("stop IS NOT NULL").select("result_id", F.col("stop").alias("line")).join(common, "line", "left_semi").select("result_id")
+    pages = source.where("text IS NOT NULL").select("result_id", "title", "text").join(again.distinct(), "result_id", "left_semi").mapInArrow(judged_lines, JUDGED)
+    judged = pages.join(common.withColumn("common", F.lit(True)), "line", "left")
+    empty = judged.groupBy("result_id").agg(F.min(F.col("fault") | F.coalesce("common", F.lit(False))).alias("all")).where("all").select("result_id")
+    reasons = [(slots, "slot"), (known.select("result_id"), "slot"), (blank, "blank"), (faults, "page"), (empty, "page")]
+    parts = [df.select("result_id", F.lit(reason).alias("reason")) for df, reason in reasons]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.distinct()
 
 
 def residual_results(results: DataFrame) -> DataFrame:
