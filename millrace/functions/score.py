@@ -68,3 +68,29 @@ def weighted(components: dict[str, Column]) -> dict[str, Column]:
 
 def total(components: dict[str, Column]) -> Column:
     return rounded(sum(weighted(components).values()))
+
+
+def reasons(query: Column, now: Column) -> dict[str, Column]:
+    """Sentences that explain the scores of a record's keywords, freshness and directness."""
+    c = F.col
+    wanted = tx.tokens(F.coalesce(query, F.lit("")))
+    held = tx.tokens(F.concat_ws(" ", *[F.coalesce(c(f), F.lit("")) for f in ("company", "website", "role", "location", "signal_text", "evidence")]))
+    # an array of one binds both lists to a name, so that neither is made twice
+    pair = F.array(F.struct(wanted.alias("w"), held.alias("h")))
+
+    def sentence(p: Column) -> Column:
+        matched = F.filter(p["w"], lambda t: F.array_contains(p["h"], t))
+        words = F.when(F.size(matched) == 0, "none").otherwise(F.array_join(matched, ", "))
+        text = F.concat(F.size(matched).cast("string"), F.lit(" of "), F.size(p["w"]).cast("string"), F.lit(" query keywords matched: "), words, F.lit("."))
+        return F.when(F.size(p["w"]) == 0, "The query contains no scorable keywords.").otherwise(text)
+
+    days = F.floor(F.greatest(F.lit(0.0), (F.unix_micros(now) - F.unix_micros("published_at")) / F.lit(86_400_000_000.0)))
+    age = F.when(c("published_at").isNull(), "No reliable publication timestamp was available; neutral freshness applied.")
+    low = F.lower("evidence")
+    said = lambda x: F.coalesce(x, F.lit(False)).cast("string")
+    return {
+        "keywords": F.get(F.transform(pair, sentence), F.lit(0)), "freshness": age.otherwise(F.concat(F.lit("Newest source publication is approximately "), days.cast("string"), F.lit(" days old."))),
+        "directness": F.concat(
+            F.lit("Evidence company="), said(F.contains(low, F.lower("company"))), F.lit(", role="), said(c("role").isNull() | F.contains(low, F.lower("role"))), F.lit(", hiring-language="), said(low.rlike(tx.word(tx.HIRING_VERBS))), F.lit("."),
+        ),
+    }

@@ -23,6 +23,7 @@ STOP_WORDS = ("a", "an", "and", "are", "at", "currently", "find", "for", "in", "
 NEGATIVE_PHRASES = ("not hiring", "no longer hiring", "position filled", "applications closed", "hiring freeze", "hiring paused")
 #: Phrases of pages that withhold their content.
 RESTRICTED_PHRASES = ("captcha", "verify you are human", "access denied", "sign in to continue", "subscribe to continue", "disable your ad blocker")
+#: Words of evidence that speak of hiring.
 HIRING_VERBS = ("hiring", "hire", "seeking", "recruiting", "opening", "vacancy", "apply")
 
 
@@ -148,3 +149,21 @@ def attribute_escaped(column: Column) -> Column:
     for sign, name in (("&", "&amp;"), ('"', "&quot;"), ("<", "&lt;"), (">", "&gt;")):
         out = F.replace(out, F.lit(sign), F.lit(name))
     return out
+
+
+def iso_time(column: Column) -> Column:
+    """A time in UTC as ISO text with milliseconds."""
+    return F.date_format(F.to_utc_timestamp(column, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def utf16_length(column: Column) -> Column:
+    """Length in UTF-16 units: signs beyond the basic plane count twice."""
+    return F.length(column) + F.length(F.regexp_replace(column, r"[^\x{10000}-\x{10FFFF}]", ""))
+
+
+def with_base(html: Column, url: Column) -> Column:
+    """A page with a base tag at the start of its head, or in front of it where it has none."""
+    tag = F.concat(F.lit('<base href="'), attribute_escaped(url), F.lit('">'))
+    at = F.regexp_instr(html, F.lit(r"(?i)<head(?:\s[^>]*)?>"))
+    head = F.regexp_extract(html, r"(?i)(<head(?:\s[^>]*)?>)", 1)
+    return F.when(at > 0, F.concat(F.left(html, at + F.length(head) - 1), tag, F.substr(html, at + F.length(head)))).otherwise(F.concat(tag, html))

@@ -80,6 +80,8 @@ def is_ipv4(name: Column) -> Column:
 
 def private_host(name: Column) -> Column:
     """Hosts that a public service must not call: local names, private and reserved ranges."""
+    # an IPv4 address written as IPv6 is what it maps to
+    name = F.regexp_replace(F.lower(name), r"^::ffff:(?=\d+\.)", "")
     o = _octets(name)
     first, second = F.get(o, F.lit(0)), F.get(o, F.lit(1))
     v4 = is_ipv4(name) & (
@@ -96,3 +98,8 @@ def absolute_link(link: Column, base: Column) -> Column:
     rooted = F.concat(scheme(base), F.lit("://"), host(base), value)
     full = F.when(value.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), value).when(value.startswith("//"), F.concat(scheme(base), F.lit(":"), value)).when(value.startswith("/"), rooted)
     return F.when(is_web(full), F.regexp_replace(full, "#.*$", ""))
+
+
+def fetchable(url: Column) -> Column:
+    """The canonical address of what may be fetched: up to LONGEST characters, on a public host; null for the rest."""
+    return F.when((F.length(url) <= LONGEST) & ~private_host(host(trimmed(url))), canonical(url, drop_tracking=False))

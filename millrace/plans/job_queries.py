@@ -84,10 +84,11 @@ def sk1(spark, sf):
     return jobs(spark, sf, "requested_sources").select("job_id", F.size("requested_sources").alias("requested"), F.size(F.array_distinct("requested_sources")).alias("different"))
 
 
-@query("sk13_source_messages", "SELECT job_id, url, 'fetch-' || job_id || '-' || url AS message_id FROM (SELECT job_id, unnest(requested_sources) AS url FROM research_jobs)")
+@query("sk13_source_messages", "SELECT job_id, source_document_id, 'fetch-' || source_document_id || '-' || CASE WHEN processing_status = 'FAILED' THEN 2 ELSE 1 END AS message_id FROM source_documents")
 def sk13(spark, sf):
-    out = jobs(spark, sf, "requested_sources").select("job_id", F.explode("requested_sources").alias("url"))
-    return out.withColumn("message_id", F.concat(F.lit("fetch-"), F.col("job_id").cast("string"), F.lit("-"), F.col("url")))
+    """One message a source: its id is made of the source and its attempt, the second one for a source that failed."""
+    attempt = F.when(F.col("processing_status") == "FAILED", 2).otherwise(1).cast("string")
+    return sources(spark, sf, "processing_status").select("job_id", "source_document_id", F.concat(F.lit("fetch-"), F.col("source_document_id").cast("string"), F.lit("-"), attempt).alias("message_id"))
 
 
 _PROGRESS = """SELECT j.job_id, count(d.source_document_id) AS total, count(*) FILTER (WHERE d.processing_status = 'SUCCEEDED') AS succeeded, count(*) FILTER (WHERE d.processing_status = 'FAILED') AS failed
@@ -132,16 +133,22 @@ def fl26(spark, sf):
     return jobs(spark, sf, "query_text", *counts, "completed_at", "created_at", "requested_sources").select("job_id", rule.alias("rule"))
 
 
-@query("fl17_job_input", "SELECT job_id, coalesce(length(query_text) BETWEEN 1 AND 10000, false) AND len(requested_sources) BETWEEN 1 AND 100 AND len(list_distinct(requested_sources)) = len(requested_sources) AS valid FROM research_jobs")
+_UNITS = "length(query_text) + length(regexp_replace(query_text, '[^\\x{10000}-\\x{10FFFF}]', '', 'g'))"
+
+
+@query("fl17_job_input", f"SELECT job_id, coalesce({_UNITS} BETWEEN 1 AND 10000, false) AND len(requested_sources) BETWEEN 1 AND 100 AND len(list_distinct(requested_sources)) = len(requested_sources) AS valid FROM research_jobs")
 def fl17(spark, sf):
+    """Inputs within their bounds, lengths in UTF-16 units."""
     n = F.size("requested_sources")
-    valid = F.coalesce(F.length("query_text").between(1, 10_000), F.lit(False)) & n.between(1, 100) & (F.size(F.array_distinct("requested_sources")) == n)
+    valid = F.coalesce(tx.utf16_length(F.col("query_text")).between(1, 10_000), F.lit(False)) & n.between(1, 100) & (F.size(F.array_distinct("requested_sources")) == n)
     return jobs(spark, sf, "query_text", "requested_sources").select("job_id", valid.alias("valid"))
 
 
-@query("hs5_request_fingerprint", "SELECT job_id, sha256(coalesce(query_text, '') || chr(31) || array_to_string(list_sort(requested_sources), chr(31))) AS fingerprint FROM research_jobs")
+@query("hs5_request_fingerprint", "SELECT job_id, sha256(to_json({'query': query_text, 'sources': requested_sources})) AS fingerprint, sha256(query_text) AS key_hash FROM research_jobs")
 def hs5(spark, sf):
-    return jobs(spark, sf, "query_text", "requested_sources").select("job_id", F.sha2(F.concat(F.coalesce("query_text", F.lit("")), F.lit("\u001f"), F.array_join(F.sort_array("requested_sources"), "\u001f")), 256).alias("fingerprint"))
+    """Fingerprint of a request over its canonical JSON, keys in a fixed order, and the hash of its key."""
+    body = F.to_json(F.struct(F.col("query_text").alias("query"), F.col("requested_sources").alias("sources")), {"ignoreNullFields": "false"})
+    return jobs(spark, sf, "query_text", "requested_sources").select("job_id", F.sha2(body, 256).alias("fingerprint"), F.sha2("query_text", 256).alias("key_hash"))
 
 
 @query("jn7_retry_sources", "SELECT source_document_id, job_id FROM source_documents WHERE processing_status = 'FAILED' AND job_id IN (SELECT job_id FROM research_jobs WHERE status IN ('PARTIAL', 'FAILED'))")
@@ -237,12 +244,15 @@ def sm9(spark, sf):
     return last.select("job_id", "last_seen", (F.col("last_seen") >= newest - F.expr("INTERVAL 30 DAYS")).alias("alive"))
 
 
-@query("sm11_rate_limit", f"SELECT job_event_id, rn <= 10 AS allowed FROM (SELECT job_event_id, row_number() OVER (PARTITION BY time_bucket(INTERVAL 1 DAY, created_at) ORDER BY created_at, job_event_id) AS rn FROM {EVENTS} WHERE event_type = 'JOB_CREATED' AND created_at IS NOT NULL)")
+_LIMIT, _WINDOW_MS = 10, 60_000
+
+
+@query("sm11_rate_limit", f"SELECT job_event_id, rn <= {_LIMIT} AS allowed FROM (SELECT job_event_id, row_number() OVER (PARTITION BY epoch_ms(created_at) // {_WINDOW_MS} ORDER BY created_at, job_event_id) AS rn FROM {EVENTS} WHERE event_type = 'JOB_CREATED' AND created_at IS NOT NULL)")
 def sm11(spark, sf):
-    """The first ten creations of each window are allowed (a day here, so that the rule bites)."""
-    rows = events(spark, sf).distinct().where("event_type = 'JOB_CREATED' AND created_at IS NOT NULL").withColumn("w", F.window("created_at", "1 day"))
+    """The first ten creations of each minute are allowed; a window is as short as its minute."""
+    rows = events(spark, sf).distinct().where("event_type = 'JOB_CREATED' AND created_at IS NOT NULL").withColumn("w", F.floor(F.unix_millis("created_at") / _WINDOW_MS))
     window = Window.partitionBy("w").orderBy("created_at", "job_event_id")
-    return rows.select("job_event_id", (F.row_number().over(window) <= 10).alias("allowed"))
+    return rows.select("job_event_id", (F.row_number().over(window) <= _LIMIT).alias("allowed"))
 
 
 @query("sm8_stream_once", "SELECT DISTINCT job_event_id, job_id, event_type FROM job_events WHERE created_at IS NOT NULL")

@@ -55,9 +55,11 @@ def fs9(spark, sf):
     return table(spark, sf, "extraction_results", "result_id", "title", "final_url").select("result_id", F.coalesce(filled(F.col("title")), filled(ur.host(F.col("final_url")))).alias("title"))
 
 
-@query("fs12_attribute_escape", "SELECT result_id, replace(replace(replace(replace(title, '&', '&amp;'), '\"', '&quot;'), '<', '&lt;'), '>', '&gt;') AS escaped FROM extraction_results WHERE title IS NOT NULL")
+@query("fs12_attribute_escape", "SELECT result_id, replace(replace(replace(replace(title, '&', '&amp;'), '\"', '&quot;'), '<', '&lt;'), '>', '&gt;') AS escaped, '<head><base href=\"' || replace(replace(replace(replace(final_url, '&', '&amp;'), '\"', '&quot;'), '<', '&lt;'), '>', '&gt;') || '\"></head>' AS head FROM extraction_results WHERE title IS NOT NULL")
 def fs12(spark, sf):
-    return table(spark, sf, "extraction_results", "result_id", "title").where("title IS NOT NULL").select("result_id", tx.attribute_escaped(F.col("title")).alias("escaped"))
+    """Text inside attributes, and a page's head with the address its links start from."""
+    rows = table(spark, sf, "extraction_results", "result_id", "title", "final_url").where("title IS NOT NULL")
+    return rows.select("result_id", tx.attribute_escaped(F.col("title")).alias("escaped"), tx.with_base(F.lit("<head></head>"), F.col("final_url")).alias("head"))
 
 
 @query("fs16_listed_words", "SELECT job_id, array_to_string(list_filter(list_transform(regexp_split_to_array(query_text, '\\r?\\n|,'), lambda v: " + q.trimmed("v") + "), lambda v: v <> ''), '|') AS parts FROM research_jobs WHERE query_text IS NOT NULL")
@@ -77,24 +79,35 @@ def pj7(spark, sf):
     return df.groupBy("job_id", "deduplication_key").agg(F.array_join(F.sort_array(F.collect_set("evidence")), " | ").alias("evidence"), F.count(F.lit(1)).alias("records"))
 
 
-@query("pj13_source_metadata", "SELECT record_id, CASE WHEN credibility_score BETWEEN 0 AND 1 THEN credibility_score END AS credibility, strftime(published_at AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') AS published FROM signals")
+@query(
+    "pj13_source_metadata",
+    """SELECT record_id, CASE WHEN record_id % 3 <> 1 AND credibility_score BETWEEN 0 AND 1 THEN credibility_score END AS credibility, CASE WHEN record_id % 3 = 0 THEN strftime(published_at AT TIME ZONE 'UTC', '%Y-%m-%d') END AS published FROM signals""",
+)
 def pj13(spark, sf):
-    """Scores out of range dropped, dates as ISO text."""
-    c = F.col("credibility_score")
-    return table(spark, sf, "signals", "record_id", "credibility_score", "published_at").select("record_id", F.when(c.between(0, 1), c).alias("credibility"), F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss").alias("published"))
-
-
-@query("js2_compact_metadata", "SELECT result_id, len(list_filter([title, content_hash, fetch_mode, http_status::VARCHAR], lambda v: v IS NOT NULL))::INT AS kept FROM extraction_results")
+    """Date and credibility out of metadata in JSON: scores out of range and dates that are none are dropped (every third record has a broken score, another third a broken date)."""
+    third = F.col("record_id") % 3
+    date = F.when(third == 0, F.date_format("published_at", "yyyy-MM-dd")).otherwise("last spring")
+    score = F.when(third == 1, F.lit(7.5)).otherwise(F.col("credibility_score"))
+    metadata = F.to_json(F.struct(date.alias("publishedAt"), score.alias("credibilityScore")))
+    v = F.try_parse_json(metadata)
+    got = F.try_variant_get(v, "$.credibilityScore", "double")
+    published = F.try_to_timestamp(F.try_variant_get(v, "$.publishedAt", "string"), F.lit("yyyy-MM-dd"))
+    rows = table(spark, sf, "signals", "record_id", "credibility_score", "published_at")
+    return rows.select("record_id", F.when(got.between(0, 1), got).alias("credibility"), F.date_format(published, "yyyy-MM-dd").alias("published"))
+
+
+@query("js2_compact_metadata", "SELECT result_id, to_json(map_from_entries(list_filter([('mode', fetch_mode), ('status', http_status::VARCHAR), ('title', title)], lambda e: e[2] IS NOT NULL))) AS metadata FROM extraction_results")
 def js2(spark, sf):
-    """A metadata map without null entries, by its size."""
-    entries = F.create_map(F.lit("title"), F.col("title"), F.lit("hash"), F.col("content_hash"), F.lit("mode"), F.col("fetch_mode"), F.lit("status"), F.col("http_status").cast("string"))
-    return table(spark, sf, "extraction_results", "result_id", "title", "content_hash", "fetch_mode", "http_status").select("result_id", F.size(F.map_filter(entries, lambda k, v: v.isNotNull())).alias("kept"))
+    """A metadata map without null entries."""
+    entries = F.create_map(F.lit("mode"), F.col("fetch_mode"), F.lit("status"), F.col("http_status").cast("string"), F.lit("title"), F.col("title"))
+    return table(spark, sf, "extraction_results", "result_id", "title", "fetch_mode", "http_status").select("result_id", F.to_json(F.map_filter(entries, lambda k, v: v.isNotNull())).alias("metadata"))
 
 
-@query("rk8_truncated_values", "SELECT source_document_id, left(title, 20) AS title, left(raw_content, 100) AS preview FROM source_documents")
+@query("rk8_truncated_values", "SELECT source_document_id, left(source_url || coalesce(title, ''), 100) AS error_code, md5(left(raw_content, 10000)) AS error_message FROM source_documents")
 def rk8(spark, sf):
-    """Values cut to their column's width: the truncation is the feature."""
-    return table(spark, sf, "source_documents", "source_document_id", "title", "raw_content").select("source_document_id", F.left("title", F.lit(20)).alias("title"), F.left("raw_content", F.lit(100)).alias("preview"))
+    """Values cut to the width of an error's code and message (100 and 10,000): the truncation is the feature."""
+    code = F.left(F.concat("source_url", F.coalesce("title", F.lit(""))), F.lit(100))
+    return table(spark, sf, "source_documents", "source_document_id", "source_url", "title", "raw_content").select("source_document_id", code.alias("error_code"), F.md5(F.left("raw_content", F.lit(10_000))).alias("error_message"))
 
 
 @query("ag17_distinct_urls", f"SELECT job_id, count(DISTINCT {q.canonical('source_url')}) AS urls, count(*) AS rows FROM source_documents GROUP BY job_id")

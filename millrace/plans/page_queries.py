@@ -88,24 +88,44 @@ def sc11(spark, sf):
     return documents(spark, sf, "http_status").where("http_status IS NOT NULL").groupBy("http_status", rules.robots_outcome(F.col("http_status")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("ur3_source_url_policy", f"SELECT source_document_id, {q.canonical('source_url', drop_tracking=False)} AS url FROM source_documents")
+_TRIMMED = q.trimmed("source_url")
+_HOST = q.host(_TRIMMED)
+_V4 = rf"regexp_matches({_HOST}, '^(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:\.|$)){{4}}$')"
+_OCTET = [f"try_cast(split_part({_HOST}, '.', {n}) AS INT)" for n in (1, 2)]
+_PRIVATE = (
+    f"({_HOST} = 'localhost' OR {_HOST} LIKE '%.localhost' OR {_HOST} = '0.0.0.0' OR {_HOST} IN ({', '.join(f'{chr(39)}{h}{chr(39)}' for h in ur.METADATA_HOSTS)}) OR ({_V4} AND ({_OCTET[0]} IN (0, 10, 127) OR ({_OCTET[0]} = 169 AND {_OCTET[1]} = 254) "
+    f"OR ({_OCTET[0]} = 172 AND {_OCTET[1]} BETWEEN 16 AND 31) OR ({_OCTET[0]} = 192 AND {_OCTET[1]} = 168) OR ({_OCTET[0]} = 100 AND {_OCTET[1]} BETWEEN 64 AND 127) OR {_OCTET[0]} >= 224)))"
+)
+
+
+@query("ur3_source_url_policy", f"SELECT source_document_id, CASE WHEN length(source_url) <= 2048 AND NOT coalesce({_PRIVATE}, false) THEN {q.canonical('source_url', drop_tracking=False)} END AS url FROM source_documents")
 def ur3(spark, sf):
-    return documents(spark, sf, "source_url").select("source_document_id", ur.canonical(F.col("source_url"), drop_tracking=False).alias("url"))
+    """Canonical addresses that may be fetched: public hosts, of a bounded length; tracking parameters stay."""
+    return documents(spark, sf, "source_url").select("source_document_id", ur.fetchable(F.col("source_url")).alias("url"))
 
 
-@query("ur4_public_url", f"SELECT source_document_id, {q.canonical('source_url', drop_tracking=False)} AS normalized_url, {q.host(q.trimmed('source_url'))} AS host FROM source_documents")
+@query(
+    "ur4_public_url",
+    f"""SELECT source_document_id, CASE WHEN NOT {q.is_web(_TRIMMED)} THEN 'INVALID_URL' WHEN length(source_url) > 2048 THEN 'TOO_LONG' WHEN coalesce({_PRIVATE}, false) THEN 'PRIVATE_HOST' ELSE 'OK' END AS outcome, {_HOST} AS host
+        FROM (SELECT source_document_id, source_url FROM source_documents UNION ALL SELECT -source_document_id, 'http://127.0.0.' || source_document_id % 300 || '/x' FROM source_documents)""",
+)
 def ur4(spark, sf):
-    return documents(spark, sf, "source_url").select("source_document_id", ur.canonical(F.col("source_url"), False).alias("normalized_url"), ur.host(tx.trimmed(F.col("source_url"))).alias("host"))
+    """Why an address is refused or not; every source once more with a host of the machine itself (under the negative id)."""
+    rows = documents(spark, sf, "source_url")
+    own = rows.select((-F.col("source_document_id")).alias("source_document_id"), F.concat(F.lit("http://127.0.0."), (F.col("source_document_id") % 300).cast("string"), F.lit("/x")).alias("source_url"))
+    address = tx.trimmed(F.col("source_url"))
+    outcome = F.when(~ur.is_web(address), "INVALID_URL").when(F.length("source_url") > ur.LONGEST, "TOO_LONG").when(ur.private_host(ur.host(address)), "PRIVATE_HOST").otherwise("OK")
+    return rows.unionByName(own).select("source_document_id", outcome.alias("outcome"), ur.host(address).alias("host"))
 
 
-_ADDRESSES = "VALUES ('10.1.2.3'), ('8.8.8.8'), ('172.16.0.1'), ('172.32.0.1'), ('192.168.1.1'), ('169.254.169.254'), ('100.64.0.1'), ('224.0.0.1'), ('localhost'), ('a.localhost'), ('example.org'), ('::1'), ('fd00::1'), ('fe80::1'), ('2001:db8::1'), ('metadata.google.internal'), ('0.0.0.0'), ('256.1.1.1')"
+_ADDRESSES = "VALUES ('10.1.2.3'), ('8.8.8.8'), ('172.16.0.1'), ('172.32.0.1'), ('192.168.1.1'), ('169.254.169.254'), ('100.64.0.1'), ('224.0.0.1'), ('localhost'), ('a.localhost'), ('example.org'), ('::1'), ('fd00::1'), ('fe80::1'), ('2001:db8::1'), ('metadata.google.internal'), ('0.0.0.0'), ('256.1.1.1'), ('::ffff:10.0.0.1'), ('::FFFF:8.8.8.8')"
 
 
 @query(
     "fl6_private_hosts",
-    f"""WITH h AS (SELECT DISTINCT domain AS host FROM source_documents UNION ALL SELECT * FROM ({_ADDRESSES}) AS v(host)),
-        o AS (SELECT host, regexp_matches(host, '^(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:\\.|$)){{4}}$') AS v4, try_cast(split_part(host, '.', 1) AS INT) AS a, try_cast(split_part(host, '.', 2) AS INT) AS b FROM h)
-        SELECT host, coalesce(host = 'localhost' OR host LIKE '%.localhost' OR host = '0.0.0.0' OR host IN ('metadata.google.internal', 'metadata.aws.internal', 'instance-data.ec2.internal')
+    f"""WITH r AS (SELECT DISTINCT domain AS raw FROM source_documents UNION ALL SELECT * FROM ({_ADDRESSES}) AS v(raw)), h AS (SELECT raw, regexp_replace(lower(raw), '^::ffff:([0-9]+\\.)', '\\1') AS host FROM r),
+        o AS (SELECT raw, host, regexp_matches(host, '^(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:\\.|$)){{4}}$') AS v4, try_cast(split_part(host, '.', 1) AS INT) AS a, try_cast(split_part(host, '.', 2) AS INT) AS b FROM h)
+        SELECT raw AS host, coalesce(host = 'localhost' OR host LIKE '%.localhost' OR host = '0.0.0.0' OR host IN ('metadata.google.internal', 'metadata.aws.internal', 'instance-data.ec2.internal')
                OR (v4 AND (a IN (0, 10, 127) OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 100 AND b BETWEEN 64 AND 127) OR a >= 224))
                OR (contains(host, ':') AND (host IN ('::', '::1') OR regexp_matches(host, '^(?:f[cd]|fe[89ab])'))), false) AS private FROM o""",
 )

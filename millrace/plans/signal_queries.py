@@ -180,12 +180,18 @@ def rk1(spark, sf):
 
 @query(
     "sc4_results_page",
-    f"""SELECT record_id, relevance FROM (SELECT *, row_number() OVER (ORDER BY relevance DESC, created_at DESC, record_id) AS rn FROM ({q.scored('query_text')}) WHERE job_id = 1) WHERE rn BETWEEN 21 AND 40""",
+    f"""SELECT job_id, rn, record_id, relevance, total, title FROM (
+        SELECT s.*, d.title, row_number() OVER (PARTITION BY s.job_id ORDER BY relevance DESC, s.created_at DESC, record_id) AS rn, count(*) OVER (PARTITION BY s.job_id) AS total
+        FROM ({q.scored('query_text')}) s JOIN ({_SOURCES}) d ON s.source_document_id = d.sd AND s.job_id = d.sj) WHERE rn BETWEEN 21 AND 40""",
 )
 def sc4(spark, sf):
-    """Page 2 of 20 results of job 1: the feature is a page, so the limit stays."""
-    ranked = scored(spark, sf).where("job_id = 1").orderBy(F.desc("relevance"), F.desc("created_at"), "record_id")
-    return ranked.offset(20).limit(20).select("record_id", "relevance")
+    """Page 2 of 20 results of every job with source and total: the feature is a page, so the limit stays."""
+    source = table(spark, sf, "source_documents", "source_document_id", "job_id", "title")
+    rows = scored(spark, sf).select("job_id", "source_document_id", "record_id", "relevance", "created_at").join(source, ["source_document_id", "job_id"])
+    window = Window.partitionBy("job_id").orderBy(F.desc("relevance"), F.desc("created_at"), "record_id")
+    total = rows.groupBy("job_id").agg(F.count(F.lit(1)).alias("total"))
+    paged = rows.withColumn("rn", F.row_number().over(window).cast("bigint")).where("rn <= 40").where("rn >= 21")
+    return paged.join(total, "job_id").select("job_id", "rn", "record_id", "relevance", "total", "title")
 
 
 @query("rk2_total_pages", "SELECT job_id, count(*) AS total, CAST(ceil(count(*) / 20.0) AS BIGINT) AS total_pages FROM signals WHERE job_id IS NOT NULL GROUP BY job_id")
@@ -337,12 +343,18 @@ def _csv(x: str) -> str:
     return f"CASE WHEN regexp_matches({safe}, '[\",\\n\\r]') THEN '\"' || replace({safe}, '\"', '\"\"') || '\"' ELSE {safe} END"
 
 
-_CSV = ("company", "role", "location", "signal_text", "source_url", "evidence")
+_CSV = ("company", "role", "location", "signal_text", "relevance_text", "confidence_text", "source_url", "evidence")
+_HEADER = "company,role,location,signal,relevanceScore,confidenceScore,sourceUrl,evidence"
+_NUMBERS = "regexp_replace(relevance::VARCHAR, '\\.0$', '') AS relevance_text, regexp_replace(confidence_score::VARCHAR, '\\.0$', '') AS confidence_text"
 
 
-@query("sk15_csv_lines", "SELECT record_id, " + " || ',' || ".join(_csv(c) for c in _CSV) + " AS line FROM signals")
+@query("sk15_csv_lines", f"SELECT record_id, {' || chr(44) || '.join(_csv(c) for c in _CSV)} AS line FROM (SELECT *, {_NUMBERS} FROM ({q.scored('query_text')})) UNION ALL SELECT 0, '{_HEADER}'")
 def sk15(spark, sf):
-    return signals(spark, sf).select("record_id", F.concat_ws(",", *[tx.csv_field(F.col(c)) for c in _CSV]).alias("line"))
+    """The lines of the export, eight columns, the header under the id 0; whole numbers come without a point."""
+    number = lambda c: F.regexp_replace(F.col(c).cast("string"), r"\.0$", "")
+    rows = scored(spark, sf).withColumns({"relevance_text": number("relevance"), "confidence_text": number("confidence_score")})
+    header = spark.range(1).select(F.col("id").alias("record_id"), F.lit(_HEADER).alias("line"))
+    return rows.select("record_id", F.concat_ws(",", *[tx.csv_field(F.col(c)) for c in _CSV]).alias("line")).unionByName(header)
 
 
 @query(
@@ -361,9 +373,32 @@ def sk9(spark, sf):
 
 @query(
     "pj1_result_rows",
-    "SELECT record_id, to_json({'company': company, 'role': role, 'location': location}) AS structured, coalesce(company, '') || ' | ' || coalesce(evidence, '') AS quote FROM signals",
+    f"""SELECT record_id, to_json({{'company': company, 'role': role, 'location': location}}) AS structured, to_json({{'url': d.source_url, 'normalizedUrl': normalized_url, 'domain': domain, 'title': title}}) AS source,
+        strftime(s.created_at AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S.%gZ') AS created_at, coalesce(confidence_score BETWEEN 0 AND 1, false) AND coalesce({q.trimmed('evidence')} <> '', false) AS valid
+        FROM signals s JOIN source_documents d ON s.source_document_id = d.source_document_id AND s.job_id = d.job_id""",
 )
 def pj1(spark, sf):
-    """Result rows with a JSON object of the asked fields, nulls written out."""
-    body = F.to_json(F.struct("company", "role", "location"), {"ignoreNullFields": "false"})
-    return signals(spark, sf).select("record_id", body.alias("structured"), F.concat(F.coalesce("company", F.lit("")), F.lit(" | "), F.coalesce("evidence", F.lit(""))).alias("quote"))
+    """Result rows with nested fields and source, nulls written out, and whether they pass what was checked when they were stored."""
+    written = {"ignoreNullFields": "false"}
+    source = F.to_json(F.struct(F.col("source_url").alias("url"), F.col("normalized_url").alias("normalizedUrl"), "domain", "title"), written)
+    sources = table(spark, sf, "source_documents", "source_document_id", "job_id", "source_url", "normalized_url", "domain", "title").select("source_document_id", "job_id", source.alias("source"))
+    valid = F.coalesce(F.col("confidence_score").between(0, 1), F.lit(False)) & F.coalesce(tx.trimmed(F.col("evidence")) != "", F.lit(False))
+    rows = signals(spark, sf, "record_id", "job_id", "source_document_id", "company", "role", "location", "created_at", "confidence_score", "evidence").join(sources, ["source_document_id", "job_id"])
+    return rows.select("record_id", F.to_json(F.struct("company", "role", "location"), written).alias("structured"), "source", tx.iso_time(F.col("created_at")).alias("created_at"), valid.alias("valid"))
+
+
+_MATCHED = f"list_filter({q.tokens_in_order('query_text')}, lambda t: list_contains({q.tokens(q.FIELDS_TEXT)}, t))"
+
+
+@query(
+    "st2_score_reasons",
+    f"""SELECT record_id, CASE WHEN len({q.tokens_in_order('query_text')}) = 0 THEN 'The query contains no scorable keywords.' ELSE len({_MATCHED}) || ' of ' || len({q.tokens_in_order('query_text')}) || ' query keywords matched: ' || coalesce(nullif(array_to_string({_MATCHED}, ', '), ''), 'none') || '.' END AS keywords,
+        CASE WHEN published_at IS NULL THEN 'No reliable publication timestamp was available; neutral freshness applied.'
+             ELSE 'Newest source publication is approximately ' || floor(greatest(0.0, (epoch_us(TIMESTAMPTZ '{q.NOW}+00') - epoch_us(published_at)) / 86400000000.0))::BIGINT || ' days old.' END AS freshness,
+        'Evidence company=' || coalesce(contains(lower(evidence), lower(company)), false) || ', role=' || coalesce(role IS NULL OR contains(lower(evidence), lower(role)), false) || ', hiring-language=' || coalesce(regexp_matches(lower(evidence), '{q.words(tx.HIRING_VERBS)}'), false) || '.' AS directness
+        FROM signals s LEFT JOIN (SELECT job_id AS qj, query_text FROM research_jobs) j ON s.job_id = j.qj""",
+)
+def st2(spark, sf):
+    """Why each record scores as it does: the words of the query it holds, in the query's order, the age of its source, what its evidence says."""
+    rows = signals(spark, sf).join(table(spark, sf, "research_jobs", "job_id", "query_text"), "job_id", "left")
+    return rows.select("record_id", *[v.alias(k) for k, v in sc.reasons(F.col("query_text"), F.lit(q.NOW + "+00:00").cast("timestamp")).items()])

@@ -94,6 +94,16 @@ def tokens(x: str) -> str:
     return f"list_sort(list_distinct(list_filter(regexp_split_to_array(lower({nfkc(x)}), '[^\\p{{L}}\\p{{N}}+#.]+'), lambda t: length(t) >= 2 AND t NOT IN ({stop}))))"
 
 
+FIELDS_TEXT = "concat_ws(' ', coalesce(company, ''), coalesce(website, ''), coalesce(role, ''), coalesce(location, ''), coalesce(signal_text, ''), coalesce(evidence, ''))"
+
+
+def tokens_in_order(x: str) -> str:
+    """Distinct words in the order of their first place."""
+    stop = ", ".join(f"'{w}'" for w in tx.STOP_WORDS)
+    found = f"list_filter(regexp_split_to_array(lower(coalesce({nfkc(x)}, '')), '[^\\p{{L}}\\p{{N}}+#.]+'), lambda t: length(t) >= 2 AND t NOT IN ({stop}))"
+    return f"list_filter({found}, lambda t, i: list_position({found}, t) = i)"
+
+
 def rounded(x: str) -> str:
     return f"(floor(({x}) * 1e6 + 0.5) / 1e6)"
 
