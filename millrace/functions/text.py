@@ -109,19 +109,20 @@ def restricted(text: Column) -> Column:
 
 def meaningful(text: Column, least: int = 200) -> Column:
     """Whether a text has at least ``least`` characters that are no white space."""
-    return F.length(F.regexp_replace(text, SPACE, "")) >= least
+    return utf16_length(F.regexp_replace(text, SPACE, "")) >= least
 
 
 def readable(text: Column) -> Column:
     """Lines squeezed, without empty ones and without repetitions (case aside), the first of each kept in order."""
     lines = F.filter(F.transform(F.split(text, r"\n+"), squeezed), lambda x: x != "")
-    # one-element arrays bind the lines and their keys to names, so that no line is made twice
-    bound = F.transform(F.array(lines), lambda ls: F.struct(ls.alias("lines"), F.transform(ls, F.lower).alias("keys")))
+    # a one-element array binds the lines to a name, so that no line is made twice
+    bound = F.transform(F.array(lines), lambda ls: F.struct(ls.alias("lines"), F.transform(ls, lambda x, i: F.struct(F.lower(x).alias("key"), i.alias("i"))).alias("keys")))
 
     def first_ones(b: Column) -> Column:
-        placed = F.transform(b["lines"], lambda x, i: F.struct(x.alias("line"), i.alias("i")))
-        kept = F.filter(placed, lambda s: F.array_position(b["keys"], F.get(b["keys"], s["i"])) == s["i"] + 1)
-        return F.array_join(F.transform(kept, lambda s: s["line"]), "\n")
+        # sorted by key and then by place, the first of each key differs from the one before: n log n, not each with each
+        by_key = F.transform(F.array(F.array_sort(b["keys"])), lambda ks: F.filter(ks, lambda s, k: (k == 0) | (F.get(ks, k - 1)["key"] != s["key"])))
+        places = F.array_sort(F.transform(F.get(by_key, F.lit(0)), lambda s: s["i"]))
+        return F.array_join(F.transform(places, lambda i: F.get(b["lines"], i)), "\n")
 
     return F.get(F.transform(bound, first_ones), F.lit(0))
 

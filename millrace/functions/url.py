@@ -19,8 +19,16 @@ LONGEST = 2048
 _SHAPE = r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:([^/?#@]*)@)?(\[[^\]/?#]*\]|[^:/?#\[\]]*)(?::(\d*))?(/[^?#]*)?(?:\?([^#]*))?(?:#.*)?$"
 
 
+_MARKED = "".join(f"\u0001${k}" for k in range(1, 7))
+
+
 def part(url: Column, group: int) -> Column:
-    return F.regexp_extract(url, _SHAPE, group)
+    """A part of an address; empty where the address lacks it or has another shape.
+
+    One match writes out all parts, so that the parts of one address share it in a plan.
+    """
+    parts = F.split(F.regexp_replace(url, _SHAPE, _MARKED), "\u0001")
+    return F.when(url.isNotNull(), F.coalesce(F.get(parts, F.lit(group)), F.lit("")))
 
 
 def scheme(url: Column) -> Column:

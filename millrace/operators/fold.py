@@ -6,6 +6,10 @@ record id. The outcome depends on that order, hence the fold is sequential withi
 blocks are the unit of parallelism. Their rows arrive as one sorted array per block and go
 through one Arrow function, many blocks per batch.
 
+Two forms: one fold over all records of a scope, and the store's form, in which each source's
+records are folded by themselves and the outcome then merges, source after source, into what
+the job has stored. Either may take a matcher of similar records as a second way to meet.
+
 Defined results: records whose comparable fields cannot be made (no valid address) are left
 out; null scores and dates stay null and lose every comparison; a record repeated under one id
 is a duplicate of itself.
@@ -15,8 +19,9 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import UTC, datetime
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -121,37 +126,82 @@ def merged(a: dict, b: dict, query: str | None, now: datetime) -> dict:
     return out
 
 
-def fold(records: list[dict], query: str | None, now: datetime) -> tuple[list[dict], int, int]:
+Matcher = Callable[[dict, dict], float]
+
+
+def candidate(record: dict) -> dict:
+    """A record with its one source, no flags and no conflicts."""
+    credibility = None if record["credibility_score"] is None else min(1.0, max(0.0, record["credibility_score"]))
+    source = {"url": record["source_url"], "evidence": [record["evidence"]], "published": record["published_at"], "credibility": credibility}
+    return {**record, "sources": {(record["source_document_id"], record["source_url"]): source}, "review": False, "conflicts": {}, "members": [record["record_id"]]}
+
+
+def set_against(old: dict, new: dict, kinds: list[str]) -> tuple[dict, dict]:
+    """Two records that contradict each other: the later one gets a key of its own, and both point at each other."""
+    own = hashlib.sha256("\x1f".join((new["dedup_key"], new["n_location"], new["n_signal"], new["n_url"])).encode()).hexdigest()
+    flagged = {**old, "review": True, "conflicts": {**old["conflicts"], **{(kind, own): kind for kind in kinds}}}
+    return flagged, {**new, "dedup_key": own, "review": True, "conflicts": {**new["conflicts"], **{(kind, old["dedup_key"]): kind for kind in kinds}}}
+
+
+class Tally:
+    """What a fold counted: duplicates removed, those of them that added a source, and conflicts."""
+
+    def __init__(self) -> None:
+        self.removed = self.across = self.detected = 0
+
+
+def take_in(stored: list[dict], new: dict, query: str | None, now: datetime, tally: Tally, matcher: Matcher | None = None, threshold: float = 0.9) -> None:
+    """One record into the ordered list: into its first duplicate, against its first conflict, else into its first similar one, else at the end."""
+    for k, old in enumerate(stored):
+        kinds = conflict_types(old, new)
+        if kinds:
+            stored[k], new = set_against(old, new, kinds)
+            stored.append(new)
+            tally.detected += len(kinds)
+            return
+        if alike(old, new):
+            break
+    else:
+        k = next((k for k, old in enumerate(stored) if matcher is not None and matcher(old, new) >= threshold), -1)
+        if k < 0:
+            stored.append(new)
+            return
+    tally.removed += 1
+    tally.across += not {d for d, _ in new["sources"]} <= {d for d, _ in stored[k]["sources"]}
+    stored[k] = merged(stored[k], new, query, now)
+
+
+def fold(records: list[dict], query: str | None, now: datetime, matcher: Matcher | None = None, threshold: float = 0.9) -> tuple[list[dict], int, int]:
     """Resolved records of one ordered block, duplicates removed, conflicts detected."""
     out: list[dict] = []
-    removed = detected = 0
+    tally = Tally()
     for record in records:
-        source = {"url": record["source_url"], "evidence": [record["evidence"]], "published": record["published_at"], "credibility": None if record["credibility_score"] is None else min(1.0, max(0.0, record["credibility_score"]))}
-        new = {**record, "sources": {(record["source_document_id"], record["source_url"]): source}, "review": False, "conflicts": {}, "members": [record["record_id"]]}
-        for k, old in enumerate(out):
-            kinds = conflict_types(old, new)
-            if kinds:
-                # the later record gets a key of its own, and both point at each other
-                own = hashlib.sha256("\x1f".join((new["dedup_key"], new["n_location"], new["n_signal"], new["n_url"])).encode()).hexdigest()
-                new = {**new, "dedup_key": own, "review": True, "conflicts": {(kind, old["dedup_key"]): kind for kind in kinds}}
-                out[k] = {**old, "review": True, "conflicts": {**old["conflicts"], **{(kind, own): kind for kind in kinds}}}
-                out.append(new)
-                detected += len(kinds)
-                break
-            if alike(old, new):
-                out[k] = merged(old, new, query, now)
-                removed += 1
-                break
-        else:
-            out.append(new)
-    return out, removed, detected
-
-
-def resolve(df: DataFrame, scope: str, queries: DataFrame, now: datetime) -> DataFrame:
-    """Resolved records of each scope. ``df`` is normalised, keyed and scored; ``queries`` has (scope, query_text); ``now`` is UTC without a zone."""
+        take_in(out, candidate(record), query, now, tally, matcher, threshold)
+    return out, tally.removed, tally.detected
+
+
+def accumulate(records: list[dict], query: str | None, now: datetime, matcher: Matcher | None = None, threshold: float = 0.9) -> tuple[list[dict], int, int]:
+    """The same in the store's form: ``records`` come source by source; each source is folded, then merged into what is stored."""
+    stored: list[dict] = []
+    tally = Tally()
+    for _, batch in groupby(records, key=lambda r: r["source_document_id"]):
+        resolved, removed, detected = fold(list(batch), query, now, matcher, threshold)
+        tally.removed, tally.detected = tally.removed + removed, tally.detected + detected
+        for record in resolved:
+            take_in(stored, record, query, now, tally)
+    return stored, tally.removed, tally.detected
+
+
+def resolve(df: DataFrame, scope: str, queries: DataFrame, now: datetime, by_source: bool = False, matcher: Matcher | None = None, threshold: float = 0.9) -> DataFrame:
+    """Resolved records of each scope. ``df`` is normalised, keyed and scored; ``queries`` has (scope, query_text); ``now`` is UTC without a zone.
+
+    ``by_source`` takes the store's form, the sources in the order of their ids. ``matcher`` says
+    how similar two records are; from ``threshold`` on they are one.
+    """
+    work = accumulate if by_source else fold
     order = F.collate(F.concat_ws("\u001f", "n_company", "n_role", "n_domain", "n_url", "n_location", "n_signal"), "UNICODE")
     rows = df.where(F.col(scope).isNotNull())
-    blocks = rows.groupBy(F.col(scope).alias("scope"), "n_company", "n_role").agg(F.sort_array(F.collect_list(F.struct(order.alias("sort_key"), *FIELDS))).alias("rows"))
+    blocks = rows.groupBy(F.col(scope).alias("scope"), "n_company", "n_role").agg(F.sort_array(F.collect_list(F.struct((F.col("source_document_id") if by_source else F.lit(0)).alias("batch"), order.alias("sort_key"), *FIELDS))).alias("rows"))
     slim = blocks.select("scope", F.transform("rows", lambda r: F.struct(*[r[c].alias(c) for c in FIELDS])).alias("rows"))
     asked = slim.join(queries.select(F.col(scope).alias("scope"), "query_text"), "scope", "left").select("scope", "query_text", "rows")
 
@@ -164,7 +214,7 @@ def resolve(df: DataFrame, scope: str, queries: DataFrame, now: datetime) -> Dat
                 for r in members:
                     if r["published_at"] is not None:
                         r["published_at"] = r["published_at"].astimezone(UTC).replace(tzinfo=None)
-                result, removed, detected = fold(members, query, now)
+                result, removed, detected = work(members, query, now, matcher, threshold)
                 for k, r in enumerate(result):
                     table.append((
                         key, r["record_id"], r["n_company"], r["n_role"], r["n_domain"], r["n_location"], r["website"], r["role"], r["location"], r["confidence_score"], r["relevance"],

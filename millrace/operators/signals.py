@@ -62,8 +62,10 @@ def match_kind(a: str, b: str) -> tuple[Column, Column, Column, Column]:
     left, right = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
     domain = (left("n_domain") != "") & (right("n_domain") != "") & (left("n_domain") != right("n_domain"))
     location = (left("n_location") != "") & (right("n_location") != "") & (left("n_location") != right("n_location"))
-    polarity = tx.negative(left("n_signal")) != tx.negative(right("n_signal"))
-    same = (left("n_domain") == right("n_domain")) & ((left("n_url") == right("n_url")) | (tx.jaccard(left("n_signal"), right("n_signal")) >= 0.6))
+    polarity = left("negative") != right("negative")
+    shared = F.size(F.array_intersect(left("words"), right("words")))
+    every = F.size(left("words")) + F.size(right("words")) - shared
+    same = (left("n_domain") == right("n_domain")) & ((left("n_url") == right("n_url")) | (every == 0) | (shared / F.nullif(every, F.lit(0)) >= 0.6))
     kind = F.when(domain | location | polarity, "CONFLICT").when(same, "DUPLICATE").otherwise("DISTINCT")
     return kind, domain, location, polarity
 
@@ -76,6 +78,9 @@ def matches(df: DataFrame) -> DataFrame:
     """
     fields = ["job_id", "n_company", "n_role", "n_domain", "n_url", "n_location", "n_signal"]
     candidates = df.groupBy(*fields).agg(F.min("record_id").alias("record_id"), F.count(F.lit(1)).alias("copies"))
+    # what each comparison needs of one record is made once a candidate
+    words = F.array_distinct(F.filter(F.split("n_signal", " "), lambda t: t != ""))
+    candidates = candidates.withColumns({"negative": tx.negative(F.col("n_signal")), "words": words})
     kind, domain, location, polarity = match_kind("a", "b")
     a, b = candidates.alias("a"), candidates.alias("b")
     on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("job_id", "n_company", "n_role")] + [F.col("a.record_id") < F.col("b.record_id")]

@@ -146,9 +146,10 @@ def sk2(spark, sf):
     return keyed.join(first, "key").select("job_id", outcome.alias("outcome"))
 
 
+# signs of two UTF-16 units are written as two signs of the private area, which the texts do not hold
 SQL["fs10_bounded_chunks"] = r"""
     WITH RECURSIVE base AS (
-        SELECT input_id, source_text AS t, max_chunk_characters AS m, max_chunks AS n FROM extraction_inputs i JOIN chunking_configurations c ON i.config_id = c.config_id),
+        SELECT input_id, regexp_replace(source_text, '[\x{10000}-\x{10FFFF}]', chr(57344) || chr(57345), 'g') AS t, max_chunk_characters AS m, max_chunks AS n FROM extraction_inputs i JOIN chunking_configurations c ON i.config_id = c.config_id),
     steps AS (
         SELECT input_id, t, m, n, 0 AS "at", 0 AS k, NULL::VARCHAR AS chunk, FALSE AS over FROM base WHERE t IS NOT NULL AND regexp_matches(t, '\S')
         UNION ALL
@@ -156,7 +157,7 @@ SQL["fs10_bounded_chunks"] = r"""
             SELECT *, regexp_replace(substr(t, "at" + 1, stop - "at"), '^[\s\x{00A0}\x{FEFF}\x{2028}\x{2029}\x{3000}\x{2000}-\x{200A}\x1c-\x1f\x{85}]+|[\s\x{00A0}\x{FEFF}\x{2028}\x{2029}\x{3000}\x{2000}-\x{200A}\x1c-\x1f\x{85}]+$', '', 'g') AS piece FROM (
                 SELECT *, CASE WHEN hard < length(t) AND line > "at" + m // 2 THEN line ELSE hard END AS stop FROM (
                     SELECT *, hard - instr(reverse(substr(t, "at" + 1, hard - "at" + 1)), chr(10)) + 1 + CASE WHEN instr(reverse(substr(t, "at" + 1, hard - "at" + 1)), chr(10)) = 0 THEN -1000000000 ELSE 0 END AS line FROM (
-                        SELECT *, least(length(t), "at" + m) AS hard FROM steps WHERE "at" < length(t) AND NOT over))))),
+                        SELECT *, least(length(t), "at" + m) - CASE WHEN substr(t, least(length(t), "at" + m) + 1, 1) = chr(57345) THEN 1 ELSE 0 END AS hard FROM steps WHERE "at" < length(t) AND NOT over))))),
     ended AS (SELECT input_id, bool_or(over) AS over, count(chunk) AS chunks FROM steps GROUP BY input_id)
     SELECT b.input_id, CASE WHEN b.t IS NULL OR e.over THEN NULL ELSE coalesce(e.chunks, 0)::INT END AS chunk_count, (s.k - 1)::INT AS chunk_index, length(s.chunk)::INT AS chars
     FROM base b LEFT JOIN ended e ON b.input_id = e.input_id LEFT JOIN steps s ON b.input_id = s.input_id AND s.chunk IS NOT NULL AND NOT e.over

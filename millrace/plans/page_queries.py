@@ -9,6 +9,7 @@ from millrace.functions import rules
 from millrace.functions import text as tx
 from millrace.functions import url as ur
 from millrace.operators import pages as pg
+from millrace.operators import vectors as vc
 from millrace.plans import sqltext as q
 from millrace.sources import table
 
@@ -147,11 +148,11 @@ def rk9(spark, sf):
 
 @query("fs10_bounded_chunks")
 def fs10(spark, sf):
-    """Chunks for the model as the pipeline cuts them, with the length of each; null when there are too many."""
+    """Chunks for the model as the pipeline cuts them, with the length of each in UTF-16 units; null when there are too many."""
     limits = table(spark, sf, "chunking_configurations", "config_id", "max_chunk_characters", "max_chunks")
     inputs = table(spark, sf, "extraction_inputs", "input_id", "config_id", "source_text").join(limits, "config_id")
     chunked = inputs.select("input_id", pg.chunk_column(F.col("source_text"), F.col("max_chunk_characters"), F.col("max_chunks")).alias("chunks"))
-    return chunked.select("input_id", F.size("chunks").alias("chunk_count"), F.posexplode_outer("chunks").alias("chunk_index", "chunk")).select("input_id", "chunk_count", "chunk_index", F.length("chunk").alias("chars"))
+    return chunked.select("input_id", F.size("chunks").alias("chunk_count"), F.posexplode_outer("chunks").alias("chunk_index", "chunk")).select("input_id", "chunk_count", "chunk_index", tx.utf16_length(F.col("chunk")).alias("chars"))
 
 
 _RAW = "coalesce(raw_content, '')"
@@ -164,17 +165,22 @@ def fl36(spark, sf):
 
 @query("ht1_parsed_pages")
 def ht1(spark, sf):
-    """HTML round trip: each fetched page marked up as HTML, parsed, and its readable text compared with the plain path."""
-    escaped = lambda c: tx.attribute_escaped(c)
-    line = F.expr("transform(split(text, '\\n'), l -> concat('<p>', replace(replace(replace(l, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '</p>'))")
-    html = F.concat(F.lit("<html lang='en'><head><title>"), escaped(F.coalesce("title", F.lit(""))), F.lit("</title></head><body><nav><p>menu</p></nav><main>"), F.array_join(line, "\n"), F.lit("</main><footer><p>foot</p></footer></body></html>"))
+    """HTML round trip: each fetched page marked up with nested lists, links, metadata, hidden and dropped parts, parsed, and its readable text compared with the plain path."""
+    text = lambda c: tx.attribute_escaped(c)
+    line = F.expr(
+        """array_join(transform(split(text, '\\n'), (l, i) -> concat(CASE i % 4 WHEN 0 THEN '<p>' WHEN 1 THEN '<ul><li>' WHEN 2 THEN '<blockquote>' ELSE '<table><tr><td>' END, replace(replace(replace(l, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'),
+           CASE i % 4 WHEN 0 THEN '</p>' WHEN 1 THEN '</li></ul>' WHEN 2 THEN '</blockquote>' ELSE '</td></tr></table>' END)), '\\n')"""
+    )
+    head = F.concat(F.lit("<html lang='en'><head><meta property='og:title' content=\""), text(F.coalesce("title", F.lit(""))), F.lit("\"><title>other</title><meta name='author' content='A. Uthor'></head><body><nav><ul><li><a href='/menu'>menu</a></ul></nav>"))
+    body = F.concat(F.lit("<main>"), line, F.lit("<a href='/next#top'></a><a href='/next'></a><a href='mailto:x@y'></a><div hidden><p>hidden <a href='/hidden'>x</a></p></div><aside><p>aside</p></aside></main>"))
+    html = F.concat(head, body, F.lit("<div class='cookie-note'><p>cookies</p></div><footer><p>foot</p></footer><script>var p = '<p>no</p>'</script></body></html>"))
     source = results(spark, sf, "title", "text", "final_url").where("text IS NOT NULL")
     parsed = pg.parsed(source.withColumn("html", html), "result_id", "html", "final_url")
-    return parsed.select("result_id", "title", F.sha2("text", 256).alias("digest"), F.size("links").alias("links"), F.col("metadata")["language"].alias("language"), "access_restricted")
+    return parsed.select("result_id", "title", F.sha2("text", 256).alias("digest"), F.size("links").alias("links"), F.col("metadata")["language"].alias("language"), F.col("metadata")["author"].alias("author"), "access_restricted")
 
 
 SQL["ht1_parsed_pages"] = rf"""
-    SELECT result_id, nullif({q.squeezed("coalesce(title, '')")}, '') AS title, sha256({q.readable('text')}) AS digest, 0 AS links, 'en' AS language,
+    SELECT result_id, coalesce(nullif({q.squeezed("coalesce(title, '')")}, ''), 'other') AS title, sha256({q.readable('text')}) AS digest, 1 AS links, 'en' AS language, 'A. Uthor' AS author,
            regexp_matches(text, '(?i)\b(?:{'|'.join(tx.RESTRICTED_PHRASES)})\b') AS access_restricted FROM extraction_results WHERE text IS NOT NULL
 """
 
@@ -222,14 +228,9 @@ def jn10(spark, sf):
 )
 def jn5(spark, sf):
     """Vectors at least 0.4 alike: the queries are the ids divisible by 50, met block by block with all rows."""
-    blocks = 16
-    rows = table(spark, sf, "embeddings", "vec_id", "embedding").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    norm = lambda e: F.sqrt(F.aggregate(e, F.lit(0.0), lambda s, x: s + x * x))
-    rows = rows.withColumn("n", norm(F.col("e")))
-    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("e").alias("qe"), F.col("n").alias("qn"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    dot = F.aggregate(F.zip_with("e", "qe", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    met = rows.withColumn("block", F.pmod("vec_id", F.lit(blocks)).cast("int")).join(asked, "block").where("vec_id <> query_id").withColumn("cosine", dot / (F.col("n") * F.col("qn")))
-    return met.where("cosine >= 0.4").select("query_id", "vec_id", (F.floor(F.col("cosine") * 1e4 + 0.5) / 1e4).alias("similarity"))
+    rows = table(spark, sf, "embeddings", F.col("vec_id").cast("bigint").alias("id"), F.col("embedding").alias("vector"))
+    near = vc.similar(rows, rows.where("id % 50 = 0"), 0.4)
+    return near.select("query_id", F.col("id").alias("vec_id"), (F.floor(F.col("similarity") * 1e4 + 0.5) / 1e4).alias("similarity"))
 
 
 @query("wn2_latest_per_domain", "SELECT domain, source_document_id, rn FROM (SELECT domain, source_document_id, row_number() OVER (PARTITION BY domain ORDER BY fetched_at DESC NULLS LAST, source_document_id) AS rn FROM source_documents) WHERE rn <= 3")

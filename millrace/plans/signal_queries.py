@@ -171,7 +171,9 @@ def jn1(spark, sf):
 )
 def rk1(spark, sf):
     """The 20 most relevant distinct records of each job with their source."""
-    best = sg.best_of_key(scored(spark, sf))
+    # the first of each key needs no score, so only survivors are scored
+    asked = table(spark, sf, "research_jobs", "job_id", "query_text")
+    best = sg.scored(sg.best_of_key(keyed(spark, sf)).join(asked, "job_id", "left"), F.col("query_text"), F.lit(q.NOW + "+00:00").cast("timestamp"))
     sources = table(spark, sf, "source_documents", "source_document_id", "job_id", "title", F.col("domain").alias("source_domain"))
     window = Window.partitionBy("job_id").orderBy(F.desc("relevance"), F.desc("created_at"), "record_id")
     ranked = best.join(sources, ["job_id", "source_document_id"]).withColumn("rank", F.row_number().over(window)).where("rank <= 20")
@@ -231,6 +233,24 @@ def sk8(spark, sf):
     return fold.resolve(scored(spark, sf), "job_id", table(spark, sf, "research_jobs", "job_id", "query_text"), NOW)
 
 
+@query("sk8_merged_by_source")
+def sk8_merged(spark, sf):
+    """The canonical store: each source's records folded and then merged, source after source, into the job's stored ones."""
+    return fold.resolve(scored(spark, sf), "job_id", table(spark, sf, "research_jobs", "job_id", "query_text"), NOW, by_source=True)
+
+
+def same_words(a: dict, b: dict) -> float:
+    """A matcher: shared words of the two signals by all their words."""
+    x, y = set(a["n_signal"].split()), set(b["n_signal"].split())
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+@query("uf1_semantic_matches")
+def uf1(spark, sf):
+    """Records resolved within each job with a matcher of similar records as a second way to meet."""
+    return fold.resolve(scored(spark, sf), "job_id", table(spark, sf, "research_jobs", "job_id", "query_text"), NOW, matcher=same_words, threshold=0.5)
+
+
 @query(
     "ag3_preferred_record",
     f"""SELECT job_id, dedup_key, record_id FROM ({q.KEYED}) QUALIFY row_number() OVER (PARTITION BY job_id, dedup_key
@@ -307,7 +327,9 @@ _ISSUES = (
 def fl10(spark, sf):
     """What of each record its stored page does not mention."""
     pages = table(spark, sf, "source_documents", "source_document_id", "job_id", F.col("raw_content").alias("t")).where("t IS NOT NULL")
-    low = F.lower(F.col("t"))
+    # lowered once a page, before it meets its records
+    pages = pages.withColumn("low", F.lower("t"))
+    low = F.col("low")
     missing = lambda c: F.col(c).isNotNull() & ~F.contains(low, F.lower(F.col(c)))
     site_host = F.coalesce(F.nullif(ur.host(F.col("website")), F.lit("")), F.lower("website"))
     rules = {"evidence": ~F.contains(F.col("t"), F.col("evidence")), "company": missing("company"), "role": missing("role"), "location": missing("location"), "website": missing("website") & ~F.contains(low, site_host)}

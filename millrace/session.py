@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
 def local_session(cores: int = 8, app: str = "millrace", **conf: str) -> SparkSession:
     """A local session for tests and the bench; a cluster brings its own session."""
+    # one machine: a temporary folder is shared by all its threads
+    conf = {"spark__checkpoint__dir": tempfile.mkdtemp(prefix="millrace-")} | conf
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
