@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from millrace.llm.common import durable, narrow
-from millrace.llm.p06_boilerplate import Leaf, main_body
+from millrace.llm.p06_boilerplate import features, main_body
 
 #: Pages and sites on which a body line must come word for word to count as a page template.
 LEAST_PAGES, LEAST_SITES = 6, 4
@@ -132,7 +132,7 @@ def page_lines(text: str, title: str | None) -> list[str]:
     body = [lines[k] for k in sorted(main_body(text, title, "")) if lines[k].strip()]
     head = "".join(TOKENS((title or "").lower()))
     rest = [x for x in body if not head or "".join(TOKENS(x.lower())) != head]
-    if len(rest) == len(body) and len(rest) > 1 and not fault(rest[0]) and Leaf(0, rest[0], "").kind == "short":
+    if len(rest) == len(body) and len(rest) > 1 and not fault(rest[0]) and features(rest[0]).kind == "short":
         rest = rest[1:]
     return rest
 
@@ -143,13 +143,36 @@ def digest(text: str) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
-EVIDENCE = "result_id bigint, site string, strong array<string>, weak array<string>, lines array<bigint>, stop bigint"
+EVIDENCE = "result_id bigint, site string, strong array<string>, weak array<string>, lines array<bigint>, stop bigint, unfilled array<string>, names array<struct<name: string, line: string>>"
 JUDGED = "result_id bigint, line bigint, fault boolean"
+#: What templates put where nothing is filled in.
+DEFAULT = re.compile(
+    r"\b(?:Company|Employer|Role|City|First|Last|Job) (?:Name|Title)(?: Here)?\b|\b(?:Your|YOUR) (?:Company|Name|Role|City|COMPANY|NAME|ROLE|CITY)\b|\b(?:null|undefined|TBD|TBA|N/A|XXX+)(?!\w)|_{3,}"
+)
+#: A preposition or greeting right before a sign, or empty brackets: a slot may be blank there.
+BLANK = re.compile(r"\b(?:at|to|in|for|of|by)(?=\s+[,.;:])|\bDear(?=\s*,)|\((?=\s*\))")
+#: A name written as an identifier.
+IDENTIFIER = re.compile(r"\b(?:[A-Za-z][a-z]+(?:[A-Z][a-z]+)+|[A-Za-z]+(?:_[A-Za-z]+)+)\b")
+#: Without one of these, found at once, a text has no blank, default or identifier.
+HINT = re.compile(r"\s[,.;:]|Dear\s*,|\(\s*\)|(?:Name|Title|NAME|ROLE|CITY|Your|YOUR|null|undefined|TB[DA]|N/A|XXX)\b|_|[a-z][A-Z]")
+
+
+def unfilled_lines(text: str) -> tuple[list[str], list[dict[str, str]]]:
+    """Lines with a slot left blank or at a default, \u0002 in its place, and the lines that hold identifiers, by identifier."""
+    whole, names = [], []
+    for line in text.split("\n") if HINT.search(text) else ():
+        if not HINT.search(line):
+            continue
+        if BLANK.search(line) or DEFAULT.search(line):
+            whole.append(BLANK.sub(lambda m: m[0] + " \u0002", DEFAULT.sub("\u0002", MARKED.sub("\u0002", WEAK.sub("\u0002", line)))))
+        names += [{"name": name, "line": line.replace(name, "\u0002")} for name in set(IDENTIFIER.findall(line))]
+    return whole, names
 
 
 def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The marks of each record, its body's lines, and the first of them, the longest first, that does not speak as a fault."""
+    """The marks of each record, its lines with an unfilled slot, its body's lines, and the first of them, the longest first, that does not speak as a fault."""
     texts = pa.list_(pa.string())
+    types = [pa.int64(), pa.string(), texts, texts, pa.list_(pa.int64()), pa.int64(), texts, pa.list_(pa.struct([("name", pa.string()), ("line", pa.string())]))]
     for batch in batches:
         rows = []
         for row, site, title, text in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
@@ -158,10 +181,9 @@ def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rest = page_lines(text, title) if text and text.strip() else []
             lines = [digest(squeezed(x)) for x in rest]
             stop = next((lines[k] for k in sorted(range(len(rest)), key=lambda k: -len(rest[k])) if not fault(rest[k])), None)
-            rows.append((row, site, sorted(set(strong)), sorted(set(weak)), lines, stop))
-        columns = list(zip(*rows, strict=True)) or [()] * 6
-        types = [batch.column(0).type, pa.string(), texts, texts, pa.list_(pa.int64()), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["result_id", "site", "strong", "weak", "lines", "stop"])
+            rows.append((row, site, sorted(set(strong)), sorted(set(weak)), lines, stop, *unfilled_lines(text or "")))
+        columns = list(zip(*rows, strict=True)) or [()] * len(types)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["result_id", "site", "strong", "weak", "lines", "stop", "unfilled", "names"])
 
 
 def judged_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,48 +194,37 @@ def judged_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [batch.column(0).type, pa.int64(), pa.bool_()], strict=True)], ["result_id", "line", "fault"])
 
 
-#: Fixed values, in the syntax of the JVM: marks of any kind, and what templates put where nothing is filled in.
-ANY_MARK = r"\{\{[^{}]*\}\}|[$#]\{[^{}]*\}|<%[^%]*%>|\{%[^%]*%\}|%%[A-Za-z][\w.-]*%%|@@[A-Za-z][\w.-]*@@|\[\[?[A-Za-z][\w .-]*\]\]?|\{[A-Za-z][\w.-]*\}|<(?:your|insert|add) [\w.-]+>|\bXX_\w+_XX\b"
-DEFAULT = (
-    r"\b(?:Company|Employer|Role|City|First|Last|Job) (?:Name|Title)(?: Here)?\b|\b(?:Your|YOUR) (?:Company|Name|Role|City|COMPANY|NAME|ROLE|CITY)\b|\b(?:null|undefined|TBD|TBA|N/A|XXX+)(?!\w)|_{3,}"
-)
-#: A preposition or greeting right before a sign, or empty brackets: a slot may be blank there.
-BLANK = r"\b(?:at|to|in|for|of|by)(?=\s+[,.;:])|\bDear(?=\s*,)|\((?=\s*\))"
-#: A name written as an identifier.
-IDENTIFIER = r"\b(?:[A-Za-z][a-z]+(?:[A-Z][a-z]+)+|[A-Za-z]+(?:_[A-Za-z]+)+)\b"
-#: Slots: capitalised words, numbers, and \u0002 for whatever was marked as one, with the white space between and around them.
-SLOT = r"(?:\u0002|\p{Lu}[\p{L}\p{N}_'’-]*|\d+)"
-SLOTS = rf"\s*{SLOT}(?:\s*{SLOT})*\s*"
+#: A slot in the syntax of the JVM: capitalised words, numbers, and \u0002 for whatever was marked as one.
+SLOT = r"[\u0002\p{Lu}\d][\p{L}\p{N}_'’-]*"
 #: A skeleton has three words outside its slots: a sentence, not a heading or a menu.
 SPEAKS = r"\p{L}+[^\p{L}]+\p{L}+[^\p{L}]+\p{L}"
 
 
 def skeleton(line: Column) -> Column:
-    """A line with \u0002 in the places of its slots."""
-    return F.trim(F.regexp_replace(line, SLOTS, "\u0002"))
+    """A line with one \u0002 for each run of slots; white space beside slots does not count."""
+    marked = F.regexp_replace(line, SLOT, "\u0002")
+    return F.trim(F.regexp_replace(marked, r"[\t ]*\u0002[\t \u0002]*", "\u0002"))
 
 
-def unfilled(results: DataFrame, variables: DataFrame) -> DataFrame:
+def unfilled(found: DataFrame, texts: DataFrame, variables: DataFrame) -> DataFrame:
     """(result_id) of the records with a slot that is blank, at a default or at a variable's name where others of the template fill it.
 
-    ``variables`` has the names of the known variables.
+    ``found`` has the lines of each record with such a slot, ``variables`` the names of the known variables.
     """
-    lines = results.select("result_id", F.explode(F.split("text", "\n")).alias("line"))
-    odd = lines.where(F.col("line").rlike(f"{BLANK}|{DEFAULT}|{IDENTIFIER}|{ANY_MARK}"))
     # identifiers count where all their parts are parts of known variables
     parts = lambda c: F.split(F.lower(F.regexp_replace(c, r"([a-z])([A-Z])", "$1_$2")), r"[_.\-]")
-    known = variables.select(F.explode(parts(F.col("variable"))).alias("part")).union(results.sparkSession.createDataFrame([(w,) for w in sorted(LEARNED)], "part string")).distinct()
-    written = odd.select("result_id", "line", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(f"({IDENTIFIER})"), 1))).alias("name"))
-    split = written.select("result_id", "line", "name", F.size(parts(F.col("name"))).alias("n"), F.explode(parts(F.col("name"))).alias("part")).join(known, "part", "left_semi")
-    named = split.groupBy("result_id", "line", "name").agg(F.count(F.lit(1)).alias("held"), F.first("n").alias("n")).where("held = n").select("result_id", F.replace("line", "name", F.lit("\u0002")).alias("whole"))
-    marked = F.regexp_replace(F.regexp_replace("line", f"{ANY_MARK}|{DEFAULT}", "\u0002"), f"({BLANK})", "$1 \u0002")
-    plain = odd.where(F.col("line").rlike(f"{BLANK}|{DEFAULT}")).select("result_id", marked.alias("whole"))
+    known = variables.select(F.explode(parts(F.col("variable"))).alias("part")).union(found.sparkSession.createDataFrame([(w,) for w in sorted(LEARNED)], "part string")).distinct()
+    written = found.where(F.size("names") > 0).select("result_id", F.explode("names").alias("w")).select("result_id", "w.name", "w.line")
+    split = written.select("result_id", "name", "line", F.size(parts(F.col("name"))).alias("n"), F.explode(parts(F.col("name"))).alias("part")).join(known, "part", "left_semi")
+    named = split.groupBy("result_id", "name", "line").agg(F.count(F.lit(1)).alias("held"), F.first("n").alias("n")).where("held = n").select("result_id", F.col("line").alias("whole"))
+    plain = found.where(F.size("unfilled") > 0).select("result_id", F.explode("unfilled").alias("whole"))
     bare = plain.unionByName(named).select("result_id", skeleton(F.col("whole")).alias("shape")).where(F.col("shape").rlike(SPEAKS)).select("result_id", F.xxhash64("shape").alias("shape"))
     bare = durable(bare.distinct())
     if bare.isEmpty():
         return bare.select("result_id")
-    filled = lines.where(~F.col("line").rlike(f"{BLANK}|{DEFAULT}|{ANY_MARK}")).select("result_id", F.xxhash64(skeleton(F.col("line"))).alias("shape"), F.xxhash64("line").alias("line"))
-    # only the skeletons that some record leaves unfilled are aligned any further
+    lines = texts.select("result_id", F.explode(F.split("text", "\n")).alias("line"))
+    filled = lines.select("result_id", F.xxhash64(skeleton(F.col("line"))).alias("shape"), F.xxhash64("line").alias("line"))
+    # only the skeletons that some record leaves unfilled are aligned any further; the unfilled records themselves fill nothing
     aligned = filled.join(bare.select("shape").distinct(), "shape", "left_semi").join(bare, ["shape", "result_id"], "left_anti")
     # the lines of one skeleton differ in their slots alone
     templates = aligned.groupBy("shape").agg(F.countDistinct("result_id").alias("n"), F.min("line").alias("a"), F.max("line").alias("b")).where((F.col("n") >= LEAST_FILLED) & (F.col("a") != F.col("b")))
@@ -229,7 +240,7 @@ def residue(results: DataFrame) -> DataFrame:
     variables = durable(found.select(F.explode("strong").alias("variable")).distinct())
     weak = found.where(F.size("weak") > 0).select("result_id", F.explode("weak").alias("variable"))
     known = weak.join(variables, "variable", "left_semi").unionByName(weak.where(F.col("variable").isin(sorted(LEARNED))))
-    blank = unfilled(source.where("text IS NOT NULL").select("result_id", "text"), variables)
+    blank = unfilled(found, source.where("text IS NOT NULL").select("result_id", "text"), variables)
     # pages: each line of a body, and on how many pages and sites it comes word for word
     once = found.select(F.explode(F.array_distinct("lines")).alias("line"), "site", "result_id").distinct()
     by_site = once.groupBy("line", "site").agg(F.count(F.lit(1)).alias("n"))

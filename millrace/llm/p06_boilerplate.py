@@ -1,32 +1,45 @@
 """The lines around the main body of a page are found, so that only the main body comes out.
 
-Composite text density. The page's lines are the leaves of a small tree (page, stretches
-between empty lines, lines, segments of a line). For a leaf the tags are one plus its link-like
-segments, the link characters are those of menus, paths, prompts and notices; its density is
-the characters that are no link, by tags. Densities of the children are summed, and the run of
-leaves with the greatest sum is the body; leaves of link text count against a run that would
-reach across them. The threshold on the way from the body to the page decides what remains
-inside: leaves of link density go, short leaves without it (subheadings, labels) stay. The
-headline is the line that repeats the page's title, or else the nearest short line above.
-
-One page at a time, no shuffle; the row's own title and domain are the only context.
+Composite text density over a tree of nodes. The pages here are text, one block per line, so
+the tree is induced: the page, its stretches, their lines, and the segments of a line between
+signs or wide gaps; a node's characters are those of its lines, its tags the segments. Link
+characters are those of lines that are no content of this page: lines of menus, paths and
+pointers by their form, and lines that come again, the site's own name left out, on many pages
+of several sites or on many pages of their own; a list of what notices and prompts say in four
+languages adds to these. A stretch is a run of lines that are all link or all not.
+
+Of every node the composite density is characters by tags, adjusted by the shares of link
+characters and link tags in the node and in the page. The densities of a node's children are
+summed, and the stretch with the greatest sum is the body. The threshold is the least density
+on the way from it up to the page: every stretch that reaches it belongs to the main body (so
+does text beyond a sidebar), the others, of links and of scraps, go. Inside, lines that do not
+speak (subheadings, labels) stay before lines that do. The headline is the line that repeats the
+page's title, or else the nearest short line above.
+
+Pages with markup are the parser's work (``operators.pages``); their readable text comes here.
+
+The lines' digests are kept once for counts and marks; the pages meet the numbers of their
+repeated lines in one join.
 
 Defined results: null and blank texts have no lines; a page without any body-like line keeps
 its lines that are no link text (an error message or a notice in place of the content is the
-body); empty lines are neither body nor boilerplate and come out of neither; a repeated row
-gives each line once.
+body, however often it is repeated); empty lines are neither body nor boilerplate and come out
+of neither; a repeated row gives each line once.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import groupby
+from math import e, log
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import narrow
+from millrace.llm.common import durable, narrow
 
 CLOSERS, STOPS = "\"'”»)] ", ".!?。！？"
 DECORATION = re.compile(r"^[»›>\s]+|(?:\s*\.\.\.|\s*…)$")
@@ -93,56 +106,96 @@ OTHER_HINTS = frozenset(
     "rights derechos rechte droits partners aceptas acepta acepte cookies cookie stimmen acceptez acceptent traceurs geändert el readers offres courriel erhalten correo new ago salaries "
     "became top haut privée privee privacy terms imprint responsible checked mark listing applicant number advert adverts teilen empfehlen".split()
 )
-LINK_WEIGHT, SHORT_WEIGHT, MOST = 70.0, 12.0, 140.0
-#: Longer lines are no prompts or menus; and the share of the body's mean density that text elsewhere must reach.
-LONGEST_PROMPT, PATH_SHARE = 220, 0.2
+#: Pages and sites on which a line must come to be no content of any, and pages of one site.
+LEAST_PAGES, LEAST_SITES, LEAST_OF_SITE = 6, 3, 6
+REMEMBERED = 100_000
 
 
-class Leaf:
-    """One line with its kind and its composite density."""
+class Features:
+    """What a line says of itself: kind (empty, link, text, item or short), letters, words, characters, tags, link tags."""
 
-    __slots__ = ("density", "key", "kind", "number", "repeats", "words")
+    __slots__ = ("chars", "key", "kind", "link_tags", "repeats", "tags", "words")
 
-    def __init__(self, number: int, raw: str, site: str):
-        self.number, self.key, self.words, self.repeats = number, "", 0, False
+    def __init__(self, raw: str):
+        self.key, self.words, self.repeats, self.chars, self.tags, self.link_tags = "", 0, False, 0, 1, 0
         text = " ".join(raw.split())
         if text and (text[0] in "»›>" or text[-1] in ".…"):
             text = DECORATION.sub("", text)
         if not text:
-            self.kind, self.density = "empty", 0.0
-            return
-        chars = len(text)
-        sentence_end = text.rstrip(CLOSERS)[-1:] in STOPS
-        if chars > LONGEST_PROMPT:
-            self.kind, self.density, self.words = "text", MOST, chars // 6
+            self.kind = "empty"
             return
+        self.chars = len(text)
         spelt = WORDS.findall(text.lower())
         self.key, words = "".join(spelt), len(spelt)
         self.words, self.repeats = words, words > 1 and len(set(spelt)) < words
-        links, mean = 0, 0.0
+        sentence = words >= 4 and text.rstrip(CLOSERS)[-1:] in STOPS
+        links = 0
         if SIGN.search(text):
-            parts = [x for x in SIGNS.split(text) if x.strip()]
-            links, mean = len(parts), chars / max(1, len(parts))
+            links = len([x for x in SIGNS.split(text) if x.strip()])
         elif "  " in raw.strip():
             # menu entries set apart by wide gaps; a spread-out sentence has the same gap between all words
             parts = [x for x in GAPS.split(raw.strip()) if x]
             if len(parts) > 2 and (any(" " in x for x in parts) or all(x[:1].isupper() for x in parts)):
-                links, mean = len(parts), chars / len(parts)
-        sentence = sentence_end and words >= 4
+                links = len(parts)
+        self.tags = max(1, links)
         if (
-            (site and self.key == site)
-            or ((not spelt or text[0] in "©(" or spelt[0] in FIRST_HINTS) and BEGINS(text))
+            ((not spelt or text[0] in "©(" or spelt[0] in FIRST_HINTS) and BEGINS(text))
             or (not OTHER_HINTS.isdisjoint(spelt) and (HOLDS(text) or BEGINS(text)))
-            or (links >= 2 and mean < 28 and not sentence and not LABEL.match(text))
-            or (RELATED.search(text) and not sentence)
+            or (not sentence and ((links >= 2 and self.chars / links < 28 and not LABEL.match(text)) or RELATED.match(text)))
         ):
-            self.kind, self.density = "link", -LINK_WEIGHT
+            self.kind, self.link_tags = "link", self.tags
         elif sentence or words >= 14:
-            self.kind, self.density = "text", min(MOST, chars / max(1, links))
+            self.kind = "text"
         elif ITEM.match(text) or LABEL.match(text):
-            self.kind, self.density = "item", 20.0 + chars / 4
+            self.kind = "item"
         else:
-            self.kind, self.density = "short", -SHORT_WEIGHT
+            self.kind = "short"
+
+
+features = lru_cache(REMEMBERED)(Features)
+
+
+class Leaf:
+    """A line in its page: its features, and whether it is a link or comes again elsewhere."""
+
+    __slots__ = ("chars", "key", "kind", "link_chars", "link_tags", "number", "repeated", "repeats", "tags", "words")
+
+    def __init__(self, number: int, raw: str, site: str = "", repeated: bool = False):
+        f = features(raw)
+        self.number, self.repeated, self.kind, self.key = number, repeated, f.kind, f.key
+        self.words, self.repeats, self.chars, self.tags, self.link_tags = f.words, f.repeats, f.chars, f.tags, f.link_tags
+        if site and f.key == site:
+            self.kind = "link"
+        self.link_chars = 0
+
+    def settle(self, content: bool) -> None:
+        """Fix what of the line is link, where the page has ``content`` that comes nowhere else."""
+        if self.repeated and content and self.kind in ("text", "item"):
+            self.kind = "link"
+        if self.kind == "link":
+            self.link_tags = self.tags
+        if self.kind == "link" or (self.repeated and self.kind == "short"):
+            self.link_chars = self.chars
+
+
+def composite_density(chars: int, link_chars: int, tags: int, link_tags: int, page_chars: int, page_links: int) -> float:
+    """Characters by tags, adjusted by what is link in the node and in the page; 0 where all is link."""
+    if not chars:
+        return 0.0
+    base = log(chars / max(1, chars - link_chars) * link_chars + page_links / max(1, page_chars) * chars + e)
+    return chars / tags * log(max(1.0, chars / max(1, link_chars) * tags / max(1, link_tags))) / log(max(base, 1.5))
+
+
+class Stretch:
+    """A run of lines that are all link or all not, with its density and the sum of its lines' densities."""
+
+    __slots__ = ("density", "leaves", "total")
+
+    def __init__(self, leaves: list[Leaf], page_chars: int, page_links: int):
+        self.leaves = leaves
+        sums = [sum(getattr(leaf, c) for leaf in leaves) for c in ("chars", "link_chars", "tags", "link_tags")]
+        self.density = composite_density(*sums, page_chars, page_links)
+        self.total = sum(composite_density(x.chars, x.link_chars, x.tags, x.link_tags, page_chars, page_links) for x in leaves)
 
 
 def headline(filled: list[Leaf], title: str | None, first: int) -> int:
@@ -175,100 +228,116 @@ def menu_runs(leaves: list[Leaf]) -> set[int]:
     return out
 
 
-def main_body(text: str, title: str | None, site: str) -> set[int]:
-    """Numbers of the lines of the main body."""
-    leaves = [Leaf(k, raw, site) for k, raw in enumerate(text.split("\n"))]
+def body_stretches(filled: list[Leaf]) -> list[Stretch]:
+    """The stretches of the main body: those whose density reaches the least one on the way from the stretch of the greatest sum to the page."""
+    chars, links = sum(leaf.chars for leaf in filled), sum(leaf.link_chars for leaf in filled)
+    stretches = [Stretch(list(run), chars, links) for _, run in groupby(filled, key=lambda leaf: leaf.kind == "link")]
+    best = max(stretches, key=lambda s: s.total)
+    page = composite_density(chars, links, sum(leaf.tags for leaf in filled), sum(leaf.link_tags for leaf in filled), chars, links)
+    threshold = min(best.density, page)
+    return [s for s in stretches if s.density >= threshold]
+
+
+def main_body(text: str, title: str | None, site: str, repeated: frozenset[int] | set[int] = frozenset()) -> set[int]:
+    """Numbers of the lines of the main body; ``repeated`` has the numbers of the lines that come again elsewhere."""
+    leaves = [Leaf(k, raw, site, k in repeated) for k, raw in enumerate(text.split("\n"))]
     filled = [leaf for leaf in leaves if leaf.kind != "empty"]
+    content = any(leaf.kind in ("text", "item") and not leaf.repeated for leaf in filled)
+    for leaf in filled:
+        leaf.settle(content)
     dense = [k for k, leaf in enumerate(filled) if leaf.kind in ("text", "item")]
     if not dense:
         # no line is body-like: what stands in place of the content is what is no link text
         head = headline(filled, title, len(filled))
         kept = [leaf for leaf in filled[max(0, head) :] if leaf.kind != "link"]
         return {leaf.number for leaf in kept} - menu_runs(kept[1:] if head >= 0 else kept)
-    # the density sums of the page's stretches: the densest one is the body, and a stretch beyond
-    # a sidebar belongs to it as long as its own density is above the threshold of the body's path
     head = headline(filled, title, dense[0])
-    first, last = densest_run(filled)
-    if last < 0:
-        first, last = dense[0], dense[-1]
-    least = PATH_SHARE * sum(leaf.density for leaf in filled[first : last + 1] if leaf.density > 0) / max(1, last - first + 1)
-    body = {head} if head >= 0 else set()
-    for k in dense:
-        if k > head and filled[k].density >= least:
-            body.add(k)
+    within = {leaf.number for stretch in body_stretches(filled) for leaf in stretch.leaves}
+    body = {k for k in dense if k > head and filled[k].number in within}
+    spoken = set(body)
+    if head >= 0:
+        body.add(head)
     for k in range(len(filled) - 2, head, -1):
-        # a subheading stands before what belongs to the body, or where a sidebar parts it from that; not above the beginning
-        if filled[k].kind == "short" and (head >= 0 or k > dense[0]) and (k + 1 in body or (k - 1 in body and k < dense[-1])):
+        # a subheading stands before what belongs to the body, or where a sidebar parts it from that; not above the beginning,
+        # and one that comes again elsewhere stands between two lines of the body
+        before, after = k - 1 in (spoken if filled[k].repeated else body), k + 1 in body
+        if filled[k].kind == "short" and (before and after if filled[k].repeated else (head >= 0 or k > dense[0]) and (after or (before and k < dense[-1]))):
             body.add(k)
     return {filled[k].number for k in body}
 
 
-def densest_run(leaves: list[Leaf]) -> tuple[int, int]:
-    """First and last place of the run of leaves with the greatest sum of densities, or (0, -1)."""
-    best, best_run, total, start = 0.0, (0, -1), 0.0, 0
-    for k, leaf in enumerate(leaves):
-        if total <= 0:
-            total, start = 0.0, k
-        total += leaf.density
-        if total > best:
-            best, best_run = total, (start, k)
-    return best_run
-
-
 def site_key(domain: str | None) -> str:
     """Letters of a site's name without its last label."""
     return "".join(WORDS.findall((domain or "").lower().rsplit(".", 1)[0]))
 
 
-def scan(field: str):
-    """Arrow function over (row id, title, domain, text): the lines that are no main body."""
+def _pages(documents: DataFrame, results: DataFrame) -> DataFrame:
+    """(field, row_id, title, domain, text) of stored and fetched pages."""
+    stored = narrow(documents, row_id="source_document_id", title="title", domain="domain", text="raw_content").where("row_id IS NOT NULL AND text IS NOT NULL")
+    host = F.regexp_extract(F.col("url"), r"^[A-Za-z]+://(?:[^/@]*@)?([^/:?#]+)", 1)
+    fetched = narrow(results, row_id="result_id", title="title", url="final_url", text="text").where("row_id IS NOT NULL AND text IS NOT NULL")
+    columns = ("row_id", "title", "domain", "text")
+    return stored.select(F.lit("raw_content").alias("field"), *columns).unionByName(fetched.withColumn("domain", host).select(F.lit("text").alias("field"), *columns))
 
-    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, numbers = [], []
-            for row, title, domain, text in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                if not text:
-                    continue
-                body = main_body(text, title, site_key(domain))
-                gone = [k for k, line in enumerate(text.split("\n")) if k not in body and line.strip()]
-                ids += [row] * len(gone)
-                numbers += gone
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([field] * len(ids), pa.string()), pa.array(ids, pa.int64()), pa.array(numbers, pa.int64())], ["field", "row_id", "line_no"]
-            )
 
-    return lines
+def line_keys(pages: DataFrame) -> DataFrame:
+    """(field, row_id, domain, keys): a digest of the letters of each line, the site's name in them left out; null for lines without letters."""
+    letters = lambda c: F.lower(F.regexp_replace(c, r"[^\p{L}\p{M}]+", ""))
+    site = F.coalesce(F.nullif(letters(F.regexp_replace("domain", r"\.[^.]*$", "")), F.lit("")), F.lit("\u0000"))
+    keyed = pages.withColumn("site", site).select(
+        "field", "row_id", "domain", F.transform(F.split("text", "\n"), lambda line: F.replace(letters(line), F.col("site"), F.lit("~"))).alias("letters")
+    )
+    return keyed.select("field", "row_id", "domain", F.transform("letters", lambda x: F.when(x != "", F.xxhash64(x))).alias("keys"))
 
 
-def _pages(documents: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
-    stored = narrow(documents, row_id="source_document_id", title="title", domain="domain", text="raw_content").where("row_id IS NOT NULL AND text IS NOT NULL")
-    host = F.regexp_extract(F.col("url"), r"^[A-Za-z]+://(?:[^/@]*@)?([^/:?#]+)", 1)
-    fetched = narrow(results, row_id="result_id", title="title", url="final_url", text="text").where("row_id IS NOT NULL AND text IS NOT NULL")
-    return stored, fetched.select("row_id", "title", host.alias("domain"), "text")
+def repeated_numbers(pages: DataFrame) -> DataFrame:
+    """(field, row_id, repeated): for each page the numbers of its lines that come on enough pages of enough sites, or of their own."""
+    keys = durable(line_keys(pages))
+    # a page has a line once, however often it repeats it; counts add up before they are shuffled
+    by_site = keys.select("domain", F.explode(F.array_distinct(F.array_compact("keys"))).alias("key")).groupBy("key", "domain").agg(F.count(F.lit(1)).alias("n"))
+    spread = durable(by_site.groupBy("key").agg(F.sum("n").alias("pages"), F.count("domain").alias("sites"), F.max("n").alias("most")).where((F.col("most") >= LEAST_OF_SITE) | ((F.col("pages") >= LEAST_PAGES) & (F.col("sites") >= LEAST_SITES))))
+    everywhere = spread.where((F.col("pages") >= LEAST_PAGES) & (F.col("sites") >= LEAST_SITES)).select("key")
+    own = by_site.where(F.col("n") >= LEAST_OF_SITE).join(everywhere, "key", "left_anti").select("key", "domain")
+    lines = keys.select("field", "row_id", "domain", F.posexplode("keys").alias("line_no", "key")).where("key IS NOT NULL")
+    marked = lines.join(everywhere, "key", "left_semi").unionByName(lines.join(own, ["key", "domain"], "left_semi").select("key", "field", "row_id", "domain", "line_no"))
+    return marked.groupBy("field", "row_id").agg(F.collect_set("line_no").alias("repeated"))
+
+
+def marked_pages(documents: DataFrame, results: DataFrame) -> DataFrame:
+    """(field, row_id, title, domain, text, repeated) of all pages."""
+    pages = _pages(documents, results)
+    return pages.join(repeated_numbers(pages), ["field", "row_id"], "left").select("field", "row_id", "title", "domain", "text", "repeated")
 
 
 def boilerplate_lines(documents: DataFrame, results: DataFrame) -> DataFrame:
     """(field, row_id, line_no) of the lines of stored and fetched pages that are no main body."""
-    stored, fetched = _pages(documents, results)
-    schema = "field string, row_id bigint, line_no bigint"
-    found = stored.mapInArrow(scan("raw_content"), schema).unionByName(fetched.mapInArrow(scan("text"), schema))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fields, ids, numbers = [], [], []
+            for field, row, title, domain, text, repeated in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not text:
+                    continue
+                body = main_body(text, title, site_key(domain), frozenset(repeated or ()))
+                gone = [k for k, line in enumerate(text.split("\n")) if k not in body and line.strip()]
+                fields += [field] * len(gone)
+                ids += [row] * len(gone)
+                numbers += gone
+            yield pa.RecordBatch.from_arrays([pa.array(fields, pa.string()), pa.array(ids, pa.int64()), pa.array(numbers, pa.int64())], ["field", "row_id", "line_no"])
+
+    found = marked_pages(documents, results).mapInArrow(scan, "field string, row_id bigint, line_no bigint")
     return found.dropDuplicates(["field", "row_id", "line_no"])
 
 
 def main_bodies(documents: DataFrame, results: DataFrame) -> DataFrame:
-    """(field, row_id, body): the main body of every page, its lines in order; no shuffle."""
-
-    def bodies(field: str):
-        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                out = []
-                for title, domain, text in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-                    body = main_body(text, title, site_key(domain))
-                    out.append("\n".join(line for k, line in enumerate(text.split("\n")) if k in body))
-                yield pa.RecordBatch.from_arrays([pa.array([field] * len(out), pa.string()), batch.column(0), pa.array(out, pa.string())], ["field", "row_id", "body"])
-
-        return keep
-
-    stored, fetched = _pages(documents, results)
-    schema = "field string, row_id bigint, body string"
-    return stored.mapInArrow(bodies("raw_content"), schema).unionByName(fetched.mapInArrow(bodies("text"), schema))
+    """(field, row_id, body): the main body of every page, its lines in order."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for title, domain, text, repeated in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True):
+                body = main_body(text, title, site_key(domain), frozenset(repeated or ()))
+                out.append("\n".join(line for k, line in enumerate(text.split("\n")) if k in body))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["field", "row_id", "body"])
+
+    return marked_pages(documents, results).mapInArrow(keep, "field string, row_id bigint, body string")
