@@ -9,11 +9,14 @@ norm below the threshold, so a pair that shares no other gram cannot reach it, a
 commonest grams, whose blocks would be large, fall away. It yields candidates; their cosine is
 then taken from the whole vectors. An own web site links the names that
 use it; a site whose names for the larger part belong to no one cluster is a job board and links nothing. Linked names
-form small blocks, and average-linkage clustering within each block decides: names with
-different own sites, different lines of business or different first names repel each other.
+form small blocks, and average-linkage clustering within each block decides. Names of one site,
+and names read alike of which no two have different sites, start together; the similarity of
+others grows with the cosine of their vectors where edits, order or abbreviation explain the
+difference, and names with different own sites, different lines of business or different first
+names repel each other. The words of a name are compared in any order.
 
 Defined results: null and blank names and null jobs link to nothing; names without a letter are
-compared by nothing but their site; records with the same name string are no pair; a repeated
+compared by nothing but their site or their initials; records with the same name string are no pair; a repeated
 row of one record gives no pair with itself and each pair comes out once.
 """
 
@@ -24,7 +27,7 @@ import re
 import unicodedata
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -34,9 +37,9 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import blank, durable, narrow
 
-GRAM, COSINE = 4, 0.22
-#: Buckets in which the frequencies of grams are counted.
-BUCKETS = 1 << 18
+GRAM, COSINE = 4, 0.18
+#: Buckets in which the frequencies of grams are counted: as many as there are grams of Latin letters, digits and the two ends.
+BUCKETS = 1 << 21
 #: Clusters merge while their average similarity is at least this.
 LINKAGE = 0.45
 #: A site is shared by organisations where so large a share of its names lies outside its largest cluster, and so many clusters differ.
@@ -72,6 +75,13 @@ DIGITS = str.maketrans("0134578$@!|", "oieastbsaii")
 WORD = re.compile(r"[^\W_]+")
 
 
+def mistyped(token: str, word: str) -> bool:
+    """Whether a token is a short word with one letter too many or two letters swapped."""
+    if len(token) == len(word):
+        return token != word and sorted(token) == sorted(word)
+    return len(token) == len(word) + 1 and any(token[:k] + token[k + 1 :] == word for k in range(len(token)))
+
+
 def deletions(word: str, depth: int) -> set[str]:
     out, edge = {word}, {word}
     for _ in range(depth):
@@ -137,6 +147,7 @@ class Reader:
         return found
 
     def read(self, raw: str) -> tuple[str, list[str], str, str, str]:
+        self.bag = ""
         text = unicodedata.normalize("NFKC", raw).translate(LOOKALIKES)
         text = "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
         text = re.sub(r"(?<=[a-z])(?=[A-Z][a-z])", " ", text)
@@ -179,10 +190,10 @@ class Reader:
             k += 1
         distinctive, sectors, first, initials = [], [], "", ""
         for token in joined:
-            if token in FILLERS:
+            if token in FILLERS or (distinctive and mistyped(token, "and")):
                 continue
             initials += token[0]
-            kind, word = self.kind(token)
+            kind, word = self.kind("law" if mistyped(token, "law") and "office" in joined else token)
             if kind == "sector":
                 if word not in sectors:
                     sectors.append(word)
@@ -196,6 +207,7 @@ class Reader:
             distinctive, first = [first], ""
         if sectors == ["people"]:
             sectors = []
+        self.bag = " ".join(sorted(distinctive))
         return "".join(distinctive), sorted(sectors), first, initials, "possessive" if own else "plain"
 
 
@@ -221,8 +233,19 @@ def edits_allowed(length: int) -> int:
     return 1 if length <= 5 else 2 if length <= 13 else 3
 
 
-def similarity(a: dict, b: dict) -> float:
-    """From -1 (cannot be the same) over 0 (nothing known) to 1."""
+def same_but_one_short(a: list[str], b: list[str]) -> bool:
+    """Whether the words are the same but for one, which abbreviates its counterpart ("mo" for "mohammed")."""
+    if len(a) != len(b) or len(a) < 2:
+        return False
+    x, y = sorted((Counter(a) - Counter(b)).elements()), sorted((Counter(b) - Counter(a)).elements())
+    if len(x) != 1 or len(y) != 1:
+        return False
+    short, long = sorted((x[0], y[0]), key=len)
+    return 2 <= len(short) < len(long) and long.startswith(short) and any(len(w) >= 4 for w in a if w in b)
+
+
+def similarity(a: dict, b: dict, cosine: Callable[[str, str], float] | None = None) -> float:
+    """From -1 (cannot be the same) over 0 (nothing known) to 1; ``cosine`` is that of the distinctive parts' vectors."""
     sites, others = a["sites"], b["sites"]
     if sites and others:
         return 1.0 if set(sites) & set(others) else -1.0
@@ -240,11 +263,19 @@ def similarity(a: dict, b: dict) -> float:
         return -1.0
     shorter = min(len(x), len(y))
     most = edits_allowed(shorter)
-    d = distance(x, y, most)
+    words, others_words = (a.get("bag") or x).split(), (b.get("bag") or y).split()
+    d = min(distance(x, y, most), distance(" ".join(words), " ".join(others_words), most))
     if d <= most:
-        return business * (1.0 - 0.1 * d) if d < shorter / 2 else -0.2
+        if d >= shorter / 2:
+            return -0.2
+        # an edit costs a tenth, less where the vectors agree all the same
+        return business * (1.0 - 0.1 * d * (1.0 - 0.5 * (cosine(x, y) if cosine else 0.0)))
+    if same_but_one_short(words, others_words):
+        return 0.7 * business
     short, long = (a, b) if len(x) < len(y) else (b, a)
     stem = short["own"]
+    if len((short.get("bag") or stem).split()) >= 2 and set((short.get("bag") or stem).split()) < set((long.get("bag") or long["own"]).split()):
+        return -0.6  # all of a name of several words, and a further word: firms that share a part of their names
     for cut in (0, 1, 2, 4):
         # "Vellorin Foods" is called Vellors, Vellorey, Vellcorp or Vellor
         if cut and not stem.endswith({1: "s", 2: "ey", 4: "corp"}[cut]):
@@ -255,17 +286,28 @@ def similarity(a: dict, b: dict) -> float:
     return -0.6
 
 
-def average_linkage(names: list[dict]) -> list[int]:
-    """Cluster number of each name; names that share an own site start together."""
+def average_linkage(names: list[dict], cosine: Callable[[str, str], float] | None = None) -> list[int]:
+    """Cluster number of each name; names that share an own site, or are read alike and differ in no site, start together."""
     n = len(names)
     group = list(range(n))
+
+    def join(k: int, other: int) -> None:
+        a, b = group[k], group[other]
+        if a != b:
+            group[:] = [a if g == b else g for g in group]
+
     by_site: dict[str, int] = {}
     for k, name in enumerate(names):
         for site in name["sites"]:
-            first = by_site.setdefault(site, k)
-            a, b = group[first], group[k]
-            if a != b:
-                group = [a if g == b else g for g in group]
+            join(by_site.setdefault(site, k), k)
+    by_reading: dict[tuple, list[int]] = {}
+    for k, name in enumerate(names):
+        if name["own"] and name["own"][0] != "#":
+            by_reading.setdefault((name["own"], name["business"], name["first"]), []).append(k)
+    for alike in by_reading.values():
+        if len({group[k] for k in alike if names[k]["sites"]}) <= 1:
+            for k in alike[1:]:
+                join(alike[0], k)
     labels = sorted(set(group))
     place = {g: k for k, g in enumerate(labels)}
     members: list[list[int]] = [[] for _ in labels]
@@ -276,7 +318,7 @@ def average_linkage(names: list[dict]) -> list[int]:
     count: dict[tuple[int, int], int] = {}
     for i in range(m):
         for j in range(i + 1, m):
-            values = [s for p in members[i] for q in members[j] if (s := similarity(names[p], names[q])) != 0.0]
+            values = [s for p in members[i] for q in members[j] if (s := similarity(names[p], names[q], cosine)) != 0.0]
             if values:
                 total[i, j], count[i, j] = sum(values), len(values)
     alive = set(range(m))
@@ -303,16 +345,17 @@ def average_linkage(names: list[dict]) -> list[int]:
     return out
 
 
-NAMES = "job_id bigint, company string, sites array<string>, own string, first string, initials string, business bigint"
+NAMES = "job_id bigint, company string, sites array<string>, own string, first string, initials string, business bigint, bag string"
 
 
 def read_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     reader, text = Reader(), pa.string()
     for batch in batches:
-        read = [reader.read(c) for c in batch.column(1).to_pylist()]
+        read = [(*reader.read(c), reader.bag) for c in batch.column(1).to_pylist()]
         own, first, initials = (pa.array([r[k] for r in read], text) for k in (0, 2, 3))
         business = pa.array([business_bits(r[1]) for r in read], pa.int64())
-        yield pa.RecordBatch.from_arrays([*batch.columns, own, first, initials, business], ["job_id", "company", "sites", "own", "first", "initials", "business"])
+        bag = pa.array([r[5] for r in read], text)
+        yield pa.RecordBatch.from_arrays([*batch.columns, own, first, initials, business, bag], ["job_id", "company", "sites", "own", "first", "initials", "business", "bag"])
 
 
 def site_of(website):
@@ -406,6 +449,22 @@ def gram_frequencies(nodes: DataFrame) -> np.ndarray:
     return out
 
 
+def gram_weights(nodes: DataFrame, total: int) -> np.ndarray:
+    """Inverse document frequencies by bucket, four bytes each."""
+    return (np.log(max(1, total) / np.maximum(1.0, gram_frequencies(nodes))) + 0.5).astype(np.float32)
+
+
+def cosine_of(weights: np.ndarray) -> Callable[[str, str], float]:
+    """The cosine of two names' vectors; the vectors of the names seen last are kept."""
+    vector = lru_cache(20_000)(lambda own: {g: w for w, g in vector_of(own, weights)})
+
+    def cosine(x: str, y: str) -> float:
+        v, w = vector(x), vector(y)
+        return sum(value * w.get(g, 0.0) for g, value in v.items())
+
+    return cosine
+
+
 def vector_of(own: str, weights: np.ndarray) -> list[tuple[float, int]]:
     """(weight, gram) of a name in falling weight, of norm 1."""
     vector = sorted(((float(weights[g % BUCKETS]), g) for g in grams_of(own)), reverse=True)
@@ -413,16 +472,17 @@ def vector_of(own: str, weights: np.ndarray) -> list[tuple[float, int]]:
     return [(w / norm, g) for w, g in vector]
 
 
-def near_pairs(nodes: DataFrame, total: int) -> DataFrame:
-    """(a, b) of the nodes (node, job_id, own, business, sited) that may be one organisation of a job.
+def near_pairs(nodes: DataFrame, total: int, weights: np.ndarray | None = None) -> DataFrame:
+    """(a, b) of the nodes (node, job_id, own, business, sited, bag) that may be one organisation of a job.
 
     ``total`` is the number of names, for the weights. The cosine of their 4-gram vectors
     reaches the threshold, and either the distinctive parts differ by as few edits as the
     clustering allows or the shorter one, without a line of business, begins the longer one;
     their lines of business do not exclude each other.
     """
-    nodes = nodes.where(F.length("own") >= 3)
-    weights = np.log(max(1, total) / np.maximum(1.0, gram_frequencies(nodes))) + 0.5
+    weights = gram_weights(nodes, total) if weights is None else weights
+    if "bag" not in nodes.columns:
+        nodes = nodes.withColumn("bag", F.col("own"))
 
     def entries_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -442,16 +502,13 @@ def near_pairs(nodes: DataFrame, total: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], ["node", "business", "key", "w", "rest"])
 
     def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vector = lru_cache(20_000)(lambda own: {g: w for w, g in vector_of(own, weights)})
+        cosine = cosine_of(weights)
         for batch in batches:
             keep = []
-            for x, y, begins in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
+            for x, y, begins, p, q in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5, 6)), strict=True):
                 most = edits_allowed(min(len(x), len(y)))
-                near = begins or distance(x, y, most) <= most
-                if near and x != y:
-                    v, w = vector(x), vector(y)
-                    near = sum(value * w.get(g, 0.0) for g, value in v.items()) >= COSINE
-                keep.append(near)
+                near = begins or distance(x, y, most) <= most or distance(p, q, most) <= most or same_but_one_short(p.split(), q.split())
+                keep.append(near and (x == y or cosine(x, y) >= COSINE))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     entries = nodes.select("node", "job_id", "business", "own").mapInArrow(entries_of, "node bigint, business bigint, key bigint, w float, rest float")
@@ -463,14 +520,15 @@ def near_pairs(nodes: DataFrame, total: int) -> DataFrame:
     candidates = joined.groupBy(F.col("l.node").alias("a"), F.col("r.node").alias("b")).agg(most.alias("most"))
     near = candidates.where(F.col("most") >= COSINE - 1e-4).select("a", "b")
     for side in ("a", "b"):
-        near = near.join(nodes.select(F.col("node").alias(side), F.col("own").alias(f"own_{side}"), F.col("job_id").alias(f"job_{side}"), F.col("business").alias(f"business_{side}"), F.col("sited").alias(f"sited_{side}")), side)
+        near = near.join(nodes.select(F.col("node").alias(side), F.col("own").alias(f"own_{side}"), F.col("job_id").alias(f"job_{side}"), F.col("business").alias(f"business_{side}"), F.col("sited").alias(f"sited_{side}"), F.col("bag").alias(f"bag_{side}")), side)
     # levenshtein counts a swap of neighbours twice, hence up to twice the edits of the clustering, which are counted after it
     shorter = "least(length(own_a), length(own_b))"
-    edits = F.expr(f"levenshtein(own_a, own_b) <= CASE WHEN {shorter} <= 5 THEN 2 WHEN {shorter} <= 13 THEN 4 ELSE 6 END")
+    limit = f"CASE WHEN {shorter} <= 5 THEN 2 WHEN {shorter} <= 13 THEN 4 ELSE 6 END"
+    edits = F.expr(f"levenshtein(own_a, own_b) <= {limit} OR levenshtein(bag_a, bag_b) <= {limit} OR (contains(bag_a, ' ') AND contains(bag_b, ' ') AND arrays_overlap(split(bag_a, ' '), split(bag_b, ' ')))")
     # what has a site of its own is known by that: names are compared where one of the two has none
     stem = "(business_{x} = 0 AND length(own_{x}) < length(own_{y}) AND startswith(own_{y}, substring(own_{x}, 1, greatest(4, length(regexp_replace(own_{x}, '(s|ey|corp)$', ''))))))"
     near = near.where("job_a = job_b AND (own_a = own_b OR NOT (sited_a AND sited_b))").withColumn("begins", F.expr(stem.format(x="a", y="b")) | F.expr(stem.format(x="b", y="a")))
-    return near.where(edits | F.col("begins")).select("a", "b", "own_a", "own_b", "begins").mapInArrow(reach, "a bigint, b bigint")
+    return near.where(edits | F.col("begins")).select("a", "b", "own_a", "own_b", "begins", "bag_a", "bag_b").mapInArrow(reach, "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -495,11 +553,13 @@ def clusters(df: DataFrame) -> DataFrame:
     """
     short_form = F.col("own").rlike("^(#|$)")
     names = durable(named(df).withColumn("node", F.xxhash64("job_id", "own", "business", F.when(short_form, F.col("company")))))
-    nodes = names.where(~short_form).groupBy("node", "job_id", "own", "business").agg(F.max(F.size("sites") > 0).alias("sited"))
+    nodes = durable(names.where(~short_form).groupBy("node", "job_id", "own", "business").agg(F.max(F.size("sites") > 0).alias("sited"), F.min("bag").alias("bag")))
+    total = names.count()
+    weights = gram_weights(nodes, total)
     by_site = names.select("job_id", F.explode("sites").alias("site"), "node").distinct()
     anchors = by_site.groupBy("job_id", "site").agg(F.min("node").alias("a"))
     shared = by_site.join(anchors, ["job_id", "site"]).where("a <> node").select("a", F.col("node").alias("b"))
-    labels = components(near_pairs(nodes, names.count()).unionByName(shared))
+    labels = components(near_pairs(nodes, total, weights).unionByName(shared))
     placed = names.join(labels, "node", "left").withColumn("block", F.coalesce("label", "node")).drop("label")
     # initials without a site of their own mean the one organisation of the job that has them, if there is just one
     alike = Window.partitionBy("job_id", "initials")
@@ -507,14 +567,15 @@ def clusters(df: DataFrame) -> DataFrame:
     lonely = short_form & (F.length("initials") >= 3) & (F.size("sites") == 0)
     only = F.when(lonely & (F.min(spelt).over(alike) == F.max(spelt).over(alike)), F.min(spelt).over(alike))
     blocks = placed.withColumn("block", F.coalesce(only, "block"))
-    gathered = blocks.groupBy("job_id", "block").agg(F.collect_list(F.struct("company", "own", "business", "first", "initials", "sites")).alias("names")).where(F.size("names") > 1)
+    gathered = blocks.groupBy("job_id", "block").agg(F.collect_list(F.struct("company", "own", "business", "first", "initials", "sites", "bag")).alias("names")).where(F.size("names") > 1)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cosine = cosine_of(weights)
         for batch in batches:
             rows = []
             for job, block, members in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 members.sort(key=lambda m: m["company"])
-                linked = average_linkage(members)
+                linked = average_linkage(members, cosine)
                 several = {number for number, n in Counter(linked).items() if n > 1}
                 rows += [(job, m["company"], block, number, place) for place, (m, number) in enumerate(zip(members, linked, strict=True)) if number in several]
             types = [pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int32()]

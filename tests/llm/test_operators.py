@@ -156,6 +156,25 @@ def test_boilerplate(spark):
     assert p06_boilerplate.boilerplate_lines(docs.limit(0), results.limit(0)).count() == 0
 
 
+def test_repeated_lines_of_unlisted_wording_are_boilerplate(spark):
+    body = "{} wants {} welders for the yard in {}, and the work begins on the first of June."
+    notice = "Zebras graze upon our terms and will nibble at yours if you tarry here for long."
+    rows = [(k, f"s{k % 4}.example", None, f"Welders wanted in town {k}\n" + body.format("ABCDEFGHIJ"[k], k + 2, "Oslo Bergen Narvik Bodo Moss Larvik Hamar Molde Alta Skien".split()[k]) + f"\n{notice}") for k in range(10)]
+    docs = spark.createDataFrame(rows, DOCS)
+    found = {(r.row_id, r.line_no) for r in p06_boilerplate.boilerplate_lines(docs, spark.createDataFrame([], RESULTS)).collect()}
+    assert found == {(k, 2) for k in range(10)}
+    # in place of the content the same sentence is the body
+    alone = spark.createDataFrame([(k, f"s{k % 4}.example", None, notice) for k in range(10)], DOCS)
+    assert p06_boilerplate.boilerplate_lines(alone, spark.createDataFrame([], RESULTS)).count() == 0
+
+
+def test_the_density_threshold_decides(monkeypatch):
+    page = "Home | Jobs | Help | Search\nWelder at Acme\nAcme is hiring a welder for its field group in Oslo today.\nBaker - Bolt, Oslo\nThe group works in the open from six to two, and it pays well.\nTerms / Imprint / Contact"
+    assert p06_boilerplate.main_body(page, "Welder at Acme", "acme") == {1, 2, 4}
+    inside = [s.leaves[0].number for s in p06_boilerplate.body_stretches([p06_boilerplate.Leaf(k, x) for k, x in enumerate(page.split("\n"))])]
+    assert 1 in inside and 4 in inside
+
+
 def test_residue(spark):
     good = "Welder at Acme\nAcme is hiring a welder for its field group in Oslo, and the work begins in June."
     rows = [
@@ -184,6 +203,19 @@ def test_long_page_templates_count_without_a_cue(spark):
     assert sorted(r[0] for r in p02_residue.residual_results(spark.createDataFrame(rows, RESULTS)).collect()) == list(range(8))
 
 
+def test_error_sentences_of_unlisted_wording_are_found_by_repetition(spark):
+    notice = "Our gears are being oiled at this very moment, and nothing that you asked for can be brought up to you before the evening."
+    rows = [(k, f"https://s{k % 8}.example/{k}", f"Top {k}", f"Top {k}\n{notice}") for k in range(40)]
+    assert sorted(r[0] for r in p02_residue.residual_results(spark.createDataFrame(rows, RESULTS)).collect()) == list(range(40))
+
+
+def test_variable_names_left_in_slots(spark):
+    firms = [("Acme", "Welder"), ("Bolt", "Cook"), ("Cord", "Nurse"), ("Dorn", "Driver"), ("Ebba", "Baker"), ("Fjord", "Pilot"), ("Glen", "Smith")]
+    rows = [(k, f"https://s{k}.example/", None, f"{f} is looking for a {r} who can start in June and stay.") for k, (f, r) in enumerate(firms)]
+    rows += [(20, "https://t.example/", None, "CompanyName is looking for a JobTitle who can start in June and stay."), (21, "https://t.example/", None, "McGregor is looking for a Welder who can start in June and stay.")]
+    assert [r[0] for r in p02_residue.residual_results(spark.createDataFrame(rows, RESULTS)).collect()] == [20]
+
+
 def test_blanks_are_told_by_filled_records(spark):
     towns = ["Oslo", "Bergen", "Lima", "Rome", "Paris", "Vaduz"]
     long = " and we would very much like to hear from you, whoever you are and wherever it is that you happen to live now, since the work that we offer is open to all who can do it well"
@@ -204,6 +236,27 @@ def test_variant_names(spark):
     assert p01_names.variant_pairs(df.limit(0)).count() == 0
 
 
+def linked(spark, *names):
+    df = signals(spark, [(k, 1, c, None, None, None, None, None, None, None) for k, c in enumerate(names)])
+    return sorted(tuple(r) for r in p01_names.variant_pairs(df).collect())
+
+
+def test_names_of_unlisted_words(spark):
+    rest = ("Dolmen Castings", "Ferrolux Paints", "Halberg Tiles", "Nordwick Sails")
+    assert linked(spark, "Quarrick Plumbing", "Plumbing Quarrick", *rest) == [(0, 1)]
+    assert linked(spark, "Zürich Handelskammer", "Handelskammer Zurich", *rest) == [(0, 1)]
+    assert linked(spark, "Mohammed Khan Roofing", "Mo Khan Roofing", *rest) == [(0, 1)]
+    assert linked(spark, "Quarrick Roofing Ltd", "Quarrick Roofing & Tiling", *rest) == []
+    assert linked(spark, "Ox", "Ox Software", *rest) == linked(spark, "Voxen", "Voxen Software", *rest) == [(0, 1)]
+    assert linked(spark, "Benjamin Hallum and Partners", "Benjamin Hallum nad Partners Ltd", *rest) == [(0, 1)]
+
+
+def test_names_read_alike_are_linked_whatever_else_a_site_is_called(spark):
+    rows = [(1, "Griyorpexuvo Energy", "https://griyor.example/"), (2, "The Blue People", "griyor.example"), (4, "griyorpexuvo  ENERGY", None)]
+    df = signals(spark, [(k, 1, c, w, None, None, None, None, None, None) for k, c, w in rows])
+    assert {(1, 2), (1, 4), (2, 4)} == {tuple(r) for r in p01_names.variant_pairs(df).collect()}
+
+
 def test_near_names_are_those_of_the_whole_vectors(spark, data):
     from millrace.sources import table
 
@@ -275,6 +328,44 @@ def test_leaks(spark):
     assert p09_leaks.leaked_items(df.limit(0), items).count() == 0 and p09_leaks.leaked_items(df, items.limit(0)).count() == 0
 
 
+def test_latent_search_decides_and_finds_the_shortest_runs(spark, data, monkeypatch):
+    import numpy as np
+
+    from millrace.sources import table
+
+    (items,) = p09_leaks.blocks_of_items(table(spark, data, "benchmark"))
+    corpus = p09_leaks.numbered(table(spark, data, "documents", "doc_id", "text").where("text IS NOT NULL").selectExpr("doc_id AS id", "text"), items.vocabulary)
+    weights = p09_leaks.Weights(*p09_leaks.document_frequencies(corpus, len(items.vocabulary)))
+    search = p09_leaks.Search(items, weights, p09_leaks.latent_basis(corpus, items, weights))
+    texts = p09_leaks.read_numbers(corpus.select("words").toArrow().column("words").combine_chunks())
+    rng, planted, want = np.random.default_rng(3), [], []
+    for n in range(400):
+        k = int(rng.integers(len(items.words)))
+        item = items.words[k]
+        at = int(rng.integers(len(item) - 14))
+        run = np.array(item[at : at + 15], np.int32)
+        if n % 2:
+            run[int(rng.integers(1, 14))] = -1
+        host = texts[int(rng.integers(len(texts)))]
+        place = int(rng.integers(len(host) + 1))
+        planted.append(np.concatenate((host[:place], run, host[place:])))
+        want.append(k)
+    got = {(start + t, k) for start, some in p09_leaks.spans(planted) for t, k, _, _ in search.candidates(some)}
+    assert np.mean([(n, k) in got for n, k in enumerate(want)]) >= 0.98
+    monkeypatch.setattr(p09_leaks, "COSINE", -1.0)
+    every = {(start + t, k) for start, some in p09_leaks.spans(planted) for t, k, _, _ in search.candidates(some)}
+    assert len(every) > 5 * len(got)
+
+
+def test_paraphrases_need_their_answer_words(spark):
+    words = [f"term{k}" for k in range(18)] + ["417", "zanzibar", "quorum"] + [f"word{k}" for k in range(19)]
+    text = " ".join(words)
+    loose = " ".join(w for k, w in enumerate(words[8:34]) if k % 5 != 1)
+    docs = spark.createDataFrame([(1, text), (2, loose), (3, loose.replace("417", "88").replace("zanzibar", "x").replace("quorum", "y"))] + [(10 + k, f"filler text number {k} of no item") for k in range(40)], "doc_id bigint, text string")
+    rows = {r.doc_id: r.kind for r in p09_leaks.leak_evidence(docs, spark.createDataFrame([(1, text)], "item_id bigint, text string")).collect()}
+    assert rows == {1: "run", 2: "paraphrase"}
+
+
 def test_search_misses_no_planted_run(spark, data):
     from millrace.sources import table
 
