@@ -354,14 +354,14 @@ def test_latent_search_decides_and_finds_the_shortest_runs(spark, data, monkeypa
     assert np.mean([(n, k) in got for n, k in enumerate(want)]) >= 0.98
     monkeypatch.setattr(p09_leaks, "COSINE", -1.0)
     every = {(start + t, k) for start, some in p09_leaks.spans(planted) for t, k, _, _ in search.candidates(some)}
-    assert len(every) > 5 * len(got)
+    assert len(every) > 2 * len(got)
 
 
 def test_paraphrases_need_their_answer_words(spark):
     words = [f"term{k}" for k in range(18)] + ["417", "zanzibar", "quorum"] + [f"word{k}" for k in range(19)]
     text = " ".join(words)
-    loose = " ".join(w for k, w in enumerate(words[8:34]) if k % 5 != 1)
-    docs = spark.createDataFrame([(1, text), (2, loose), (3, loose.replace("417", "88").replace("zanzibar", "x").replace("quorum", "y"))] + [(10 + k, f"filler text number {k} of no item") for k in range(40)], "doc_id bigint, text string")
+    loose = " ".join(w for k, w in enumerate(words[8:34]) if k % 5 != 3)
+    docs = spark.createDataFrame([(1, text), (2, loose), (3, loose.replace("417", "88").replace("zanzibar", "x").replace("quorum", "y"))] + [(10 + k, " ".join(sorted(w for w in words if w[0] in "tw"))) for k in range(3)] + [(20 + k, f"filler text number {k} of no item") for k in range(40)], "doc_id bigint, text string")
     rows = {r.doc_id: r.kind for r in p09_leaks.leak_evidence(docs, spark.createDataFrame([(1, text)], "item_id bigint, text string")).collect()}
     assert rows == {1: "run", 2: "paraphrase"}
 
