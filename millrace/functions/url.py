@@ -60,7 +60,7 @@ def canonical(url: Column, drop_tracking: bool = True) -> Column:
     kind, port, path, query = scheme(address), part(address, 4), part(address, 5), _query(address, drop_tracking)
     default = ((kind == "https") & (port == "443")) | ((kind == "http") & (port == "80")) | (port == "")
     text = F.concat(
-        kind, F.lit("://"), host(address), F.when(default, "").otherwise(F.concat(F.lit(":"), port)), F.when(path == "", "/").otherwise(path),
+        kind, F.lit("://"), host(address), F.when(default, "").otherwise(F.concat(F.lit(":"), port)), F.when(path == "", "/").otherwise(without_dots(path)),
         F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)),
     )
     return F.when(is_web(address), text)
@@ -100,12 +100,30 @@ def private_host(name: Column) -> Column:
     return F.coalesce((name == "localhost") | name.endswith(".localhost") | (name == "0.0.0.0") | name.isin(*METADATA_HOSTS) | v4 | v6, F.lit(False))
 
 
+def without_dots(path: Column) -> Column:
+    """A path without its "." and ".." segments."""
+    def step(kept: Column, segment: Column) -> Column:
+        return F.when(segment == "..", F.slice(kept, 1, F.greatest(F.lit(1), F.size(kept) - 1))).when(segment == ".", kept).otherwise(F.concat(kept, F.array(segment)))
+
+    segments = F.split(path, "/")
+    kept = F.aggregate(F.slice(segments, 2, F.greatest(F.lit(0), F.size(segments) - 1)), F.array(F.lit("")), step)
+    # a path that ends in a dot segment names a folder
+    folder = F.when(path.rlike(r"/\.\.?$"), "/").otherwise("")
+    return F.when(path.rlike(r"/\.\.?(?:/|$)"), F.concat(F.array_join(kept, "/"), folder)).otherwise(path)
+
+
 def absolute_link(link: Column, base: Column) -> Column:
-    """A link of a page as a web address without fragment: absolute, or from the site's root."""
-    value = trimmed(link)
-    rooted = F.concat(scheme(base), F.lit("://"), host(base), value)
-    full = F.when(value.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), value).when(value.startswith("//"), F.concat(scheme(base), F.lit(":"), value)).when(value.startswith("/"), rooted)
-    return F.when(is_web(full), F.regexp_replace(full, "#.*$", ""))
+    """A link of a page as a web address without fragment: absolute, from the site's root, or from the page's folder."""
+    value = F.regexp_replace(trimmed(link), "#.*$", "")
+    origin = F.concat(scheme(base), F.lit("://"), host(base), F.when(part(base, 4) != "", F.concat(F.lit(":"), part(base, 4))).otherwise(""))
+    path, asked = F.regexp_extract(value, r"^([^?]*)", 1), F.regexp_extract(value, r"(\?.*)$", 1)
+    folder = F.regexp_replace(F.coalesce(F.nullif(part(base, 5), F.lit("")), F.lit("/")), r"[^/]*$", "")
+    near = F.concat(origin, without_dots(F.concat(folder, path)), asked)
+    full = (
+        F.when(value.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), value).when(value.startswith("//"), F.concat(scheme(base), F.lit(":"), value))
+        .when(value.startswith("/"), F.concat(origin, without_dots(path), asked)).when(value != "", near)
+    )
+    return F.when(is_web(full), full)
 
 
 def fetchable(url: Column) -> Column:

@@ -9,6 +9,7 @@ from millrace.functions import rules
 from millrace.functions import text as tx
 from millrace.functions import url as ur
 from millrace.operators import pages as pg
+from millrace.operators import stages as sg
 from millrace.operators import vectors as vc
 from millrace.plans import sqltext as q
 from millrace.sources import table
@@ -237,3 +238,13 @@ def jn5(spark, sf):
 def wn2(spark, sf):
     window = Window.partitionBy("domain").orderBy(F.desc_nulls_last("fetched_at"), "source_document_id")
     return documents(spark, sf, "domain", "fetched_at").withColumn("rn", F.row_number().over(window).cast("bigint")).where("rn <= 3").select("domain", "source_document_id", "rn")
+
+
+@query(
+    "uf4_staged_pages",
+    rf"""SELECT result_id, sha256({q.readable('text')}) AS digest FROM extraction_results
+         WHERE text IS NOT NULL AND length(regexp_replace(text, '{q.SP}', '', 'g')) + length(regexp_replace(text, '[^\x{{10000}}-\x{{10FFFF}}]', '', 'g')) >= 300 AND NOT regexp_matches(text, '(?i)\b(?:{'|'.join(tx.RESTRICTED_PHRASES)})\b')""",
+)
+def uf4(spark, sf):
+    """The content stage as a plug-in, between a stage that picks columns and one that picks the result."""
+    return sg.run(results(spark, sf, "text"), sg.reading("text", least=300), lambda df: df.select("result_id", "digest"))

@@ -52,6 +52,7 @@ def test_negative_and_restricted(spark):
         ("https://Q.example/w?utm_medium=y&k=2&c=1#top", "https://q.example/w?c=1&k=2"),
         (" HTTPS://Q.Example:443/w?z=9&b=1#end ", "https://q.example/w?b=1&z=9"),
         ("http://x.example", "http://x.example/"),
+        ("http://x.example/a/../b/./c/..", "http://x.example/b/"),
         ("http://x.example:8080/a?ref=1", "http://x.example:8080/a"),
         ("ftp://x.example/", None),
         ("www.x.example", None),
@@ -71,8 +72,8 @@ def test_domains_and_hosts(spark):
 
 
 def test_links(spark):
-    df = spark.createDataFrame([("/a#x",), ("mailto:x@y",), ("https://b.example/c#d",), ("javascript:void",), (None,)], "v string")
-    assert [r[0] for r in df.select(ur.absolute_link(F.col("v"), F.lit("https://a.example/p"))).collect()] == ["https://a.example/a", None, "https://b.example/c", None, None]
+    df = spark.createDataFrame([("/a#x",), ("mailto:x@y",), ("https://b.example/c#d",), ("javascript:void",), (None,), ("next?x=1",), ("../up/./b",), ("/x/../y/..",), ("#top",)], "v string")
+    assert [r[0] for r in df.select(ur.absolute_link(F.col("v"), F.lit("https://a.example/d/p"))).collect()] == ["https://a.example/a", None, "https://b.example/c", None, None, "https://a.example/d/next?x=1", "https://a.example/up/b", "https://a.example/", None]
 
 
 @pytest.mark.parametrize(("days", "expected"), [(-5, 1.0), (30, 1.0), (31, 0.8), (90, 0.8), (91, 0.6), (180, 0.6), (365, 0.4), (366, 0.2), (None, 0.5)])
