@@ -9,6 +9,10 @@ Words are read through the usual disguises: look-alike digits and signs, drawn-o
 letters set apart by signs or spaces, and stars in place of letters, which stand for the
 learned words of that shape.
 
+A short list of seed words starts with some weight, which matters with few labels only: with 600
+labelled documents it finds 25 of 42 held-out ones instead of 20, with 6,600 it finds 407 of 469
+and 408 without it.
+
 The model is fitted on at most ``MAX_TRAINING_DOCUMENTS`` labelled documents (the ones with the
 smallest hash of their id), which are the only texts that reach the driver; scores and rates
 cover every document.
@@ -109,7 +113,7 @@ class Reader:
         return out
 
 
-def common_words(texts: list[str | None]) -> frozenset[str]:
+def common_words(texts: list[str | None], seed_words: tuple[str, ...] = tuple(SEED_WORDS)) -> frozenset[str]:
     """Words that some text writes in small letters or only ever begins with, or that very many texts hold."""
     reader, small, first, inner, frequent = Reader(), set(), set(), set(), Counter()
     for text in texts:
@@ -127,7 +131,7 @@ def common_words(texts: list[str | None]) -> frozenset[str]:
                     inner.add(word)
         frequent.update(here)
     often = max(8, len(texts) // 50)
-    return frozenset(small | (first - inner) | {w for w, n in frequent.items() if n >= often} | {plain_word(w) for w in SEED_WORDS})
+    return frozenset(small | (first - inner) | {w for w, n in frequent.items() if n >= often} | {plain_word(w) for w in seed_words})
 
 
 class Model:
@@ -181,12 +185,12 @@ def telling(toxic: float, seen: int, share: float) -> bool:
     return bool(np.exp(-seen * divergence) <= CHANCE)
 
 
-def fit(texts: list[str | None], labels: list[float]) -> Model:
-    """Train the sentence model from document labels by ascent on the noisy-or likelihood."""
-    common = common_words(texts)
+def fit(texts: list[str | None], labels: list[float], seed_words: tuple[str, ...] = tuple(SEED_WORDS)) -> Model:
+    """Train the sentence model from document labels by ascent on the noisy-or likelihood; ``seed_words`` may be empty."""
+    common = common_words(texts, seed_words)
     reader = Reader(common)
     bags = [reader.sentences(t or "") for t in texts]
-    seeds = {plain_word(w) for w in SEED_WORDS}
+    seeds = {plain_word(w) for w in seed_words}
     seen: Counter = Counter()
     toxic: Counter = Counter()
     for bag, label in zip(bags, labels, strict=True):
@@ -237,7 +241,7 @@ def fit(texts: list[str | None], labels: list[float]) -> Model:
     for word, value in singles.items():
         if word[0] == "*":
             shapes[word[1:]] = max(shapes.get(word[1:], value), value)
-    for original in SEED_WORDS:
+    for original in seed_words:
         shapes[shape(original)] = max(shapes.get(shape(original), 2.2), singles.get(plain_word(original), 2.2))
     return Model(singles, {f: v for f, v in named.items() if " " in f}, float(bias), shapes, common)
 

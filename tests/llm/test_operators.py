@@ -386,5 +386,15 @@ def test_toxicity(spark):
     assert p10_toxic.toxic_documents(docs.limit(0), labels).count() == 0 and p10_toxic.score_documents(docs, p10_toxic.train(docs, labels.limit(0))).count() == 63
 
 
+def test_document_labels_alone_teach_the_sentences():
+    clean = ["Work on the ledger begins in June. Bring a pen.", "The yard opens at six. Tea is free.", "We mend nets in Bodo. Come by."]
+    bad = "you utter grumblefluff"
+    texts = [f"{clean[k % 3]} {bad if k % 4 == 0 else 'All are well'}, said the man. {clean[(k + 1) % 3]}" for k in range(120)]
+    model = p10_toxic.fit(texts, [float(k % 4 == 0) for k in range(120)], seed_words=())
+    reader = p10_toxic.Reader(model.common)
+    score, place = model.document(reader.sentences(f"The yard opens at six. {bad}, said she. Tea is free."))
+    assert score > 0.5 and place == 1 and model.document(reader.sentences(" ".join(clean)))[0] < 0.5
+
+
 def test_durable_uses_the_shared_folder(spark):
     assert durable(spark.range(5)).count() == 5
