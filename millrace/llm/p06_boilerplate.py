@@ -114,10 +114,10 @@ REMEMBERED = 100_000
 class Features:
     """What a line says of itself: kind (empty, link, text, item or short), letters, words, characters, tags, link tags."""
 
-    __slots__ = ("chars", "key", "kind", "link_tags", "repeats", "tags", "words")
+    __slots__ = ("bullet", "chars", "key", "kind", "link_tags", "repeats", "tags", "words")
 
     def __init__(self, raw: str):
-        self.key, self.words, self.repeats, self.chars, self.tags, self.link_tags = "", 0, False, 0, 1, 0
+        self.key, self.words, self.repeats, self.chars, self.tags, self.link_tags, self.bullet = "", 0, False, 0, 1, 0, False
         text = " ".join(raw.split())
         if text and (text[0] in "»›>" or text[-1] in ".…"):
             text = DECORATION.sub("", text)
@@ -147,7 +147,7 @@ class Features:
         elif sentence or words >= 14:
             self.kind = "text"
         elif ITEM.match(text) or LABEL.match(text):
-            self.kind = "item"
+            self.kind, self.bullet = "item", ITEM.match(text) is not None
         else:
             self.kind = "short"
 
@@ -158,12 +158,12 @@ features = lru_cache(REMEMBERED)(Features)
 class Leaf:
     """A line in its page: its features, and whether it is a link or comes again elsewhere."""
 
-    __slots__ = ("chars", "key", "kind", "link_chars", "link_tags", "number", "repeated", "repeats", "tags", "words")
+    __slots__ = ("bullet", "chars", "key", "kind", "link_chars", "link_tags", "number", "repeated", "repeats", "tags", "words")
 
     def __init__(self, number: int, raw: str, site: str = "", repeated: bool = False):
         f = features(raw)
         self.number, self.repeated, self.kind, self.key = number, repeated, f.kind, f.key
-        self.words, self.repeats, self.chars, self.tags, self.link_tags = f.words, f.repeats, f.chars, f.tags, f.link_tags
+        self.words, self.repeats, self.chars, self.tags, self.link_tags, self.bullet = f.words, f.repeats, f.chars, f.tags, f.link_tags, f.bullet
         if site and f.key == site:
             self.kind = "link"
         self.link_chars = 0
@@ -231,7 +231,10 @@ def menu_runs(leaves: list[Leaf]) -> set[int]:
 def body_stretches(filled: list[Leaf]) -> list[Stretch]:
     """The stretches of the main body: those whose density reaches the least one on the way from the stretch of the greatest sum to the page."""
     chars, links = sum(leaf.chars for leaf in filled), sum(leaf.link_chars for leaf in filled)
-    stretches = [Stretch(list(run), chars, links) for _, run in groupby(filled, key=lambda leaf: leaf.kind == "link")]
+    stretches = [Stretch(list(run), chars, links) for _, run in groupby(filled, key=lambda leaf: leaf.link_chars > 0)]
+    # labels alone, cut off by links from all that speaks in sentences or lists, are pointers and no stretch of the body
+    spoken = [s for s in stretches if any(leaf.kind == "text" or leaf.bullet for leaf in s.leaves)]
+    stretches = spoken or stretches
     best = max(stretches, key=lambda s: s.total)
     page = composite_density(chars, links, sum(leaf.tags for leaf in filled), sum(leaf.link_tags for leaf in filled), chars, links)
     threshold = min(best.density, page)
@@ -242,7 +245,7 @@ def main_body(text: str, title: str | None, site: str, repeated: frozenset[int]
     """Numbers of the lines of the main body; ``repeated`` has the numbers of the lines that come again elsewhere."""
     leaves = [Leaf(k, raw, site, k in repeated) for k, raw in enumerate(text.split("\n"))]
     filled = [leaf for leaf in leaves if leaf.kind != "empty"]
-    content = any(leaf.kind in ("text", "item") and not leaf.repeated for leaf in filled)
+    content = any((leaf.kind == "text" or leaf.bullet) and not leaf.repeated for leaf in filled)
     for leaf in filled:
         leaf.settle(content)
     dense = [k for k, leaf in enumerate(filled) if leaf.kind in ("text", "item")]
