@@ -349,7 +349,7 @@ def fl10(spark, sf):
 def fl14(spark, sf):
     """Rules of the record schema that each record breaks."""
     c = F.col
-    size = lambda name: F.coalesce(F.length(tx.trimmed(c(name))), F.lit(0))
+    size = lambda name: F.coalesce(tx.utf16_length(tx.trimmed(c(name))), F.lit(0))
     web = lambda name: ur.is_web(c(name)) & (F.length(c(name)) <= ur.LONGEST)
     rules = {
         "company": ~size("company").between(1, 300), "role": c("role").isNotNull() & ~size("role").between(1, 500), "location": c("location").isNotNull() & ~size("location").between(1, 500),

@@ -466,3 +466,134 @@ def sc10(spark, sf):
     hits = F.array_compact(F.array(*[F.when(F.col("path").startswith(p), F.struct(F.lit(len(p)).alias("n"), F.lit(a).alias("allow"))) for p, a in _RULES]))
     rows = table(spark, sf, "source_documents", "source_document_id", "source_url").where("source_url IS NOT NULL").select("source_document_id", path.alias("path"))
     return rows.select("source_document_id", F.coalesce(F.array_max(hits)["allow"], F.lit(True)).alias("allowed"))
+
+
+_STATES = "CASE WHEN processing_status IN ('PENDING', 'FETCHING') THEN 'waiting' WHEN processing_status IN ('EXTRACTING', 'PROCESSING') THEN 'active' WHEN processing_status = 'FAILED' THEN 'failed' ELSE 'done' END"
+
+
+@query("ag18_queue_depths", f"SELECT 'source-fetch' AS queue, {_STATES} AS state, count(*) AS depth FROM source_documents GROUP BY ALL")
+def ag18_depths(spark, sf):
+    """Depth of the queue by the state of its messages."""
+    s = F.col("processing_status")
+    state = F.when(s.isin("PENDING", "FETCHING"), "waiting").when(s.isin("EXTRACTING", "PROCESSING"), "active").when(s == "FAILED", "failed").otherwise("done")
+    return sources(spark, sf, "processing_status").groupBy(F.lit("source-fetch").alias("queue"), state.alias("state")).agg(F.count(F.lit(1)).alias("depth"))
+
+
+_CODE = "CASE WHEN http_status IS NULL THEN 'none' WHEN http_status BETWEEN 200 AND 299 THEN 'none' WHEN http_status = 408 THEN 'REQUEST_TIMEOUT' WHEN http_status = 429 THEN 'RATE_LIMITED' WHEN http_status >= 500 THEN 'HTTP_SERVER_ERROR' WHEN http_status IN (401, 403) THEN 'ACCESS_RESTRICTED' ELSE 'HTTP_CLIENT_ERROR' END"
+
+
+@query(
+    "ag19_labelled_counters",
+    f"""SELECT 'fetch' AS counter, fetch_status AS status, {_CODE} AS code, count(*) AS n FROM source_documents GROUP BY ALL
+        UNION ALL SELECT 'jobs', status, 'none', count(*) FROM research_jobs GROUP BY ALL
+        UNION ALL SELECT 'retries', 'retry', 'source-fetch', count(*) FROM {EVENTS} WHERE event_type = 'SOURCE_FAILED' AND {_LAST_ATTEMPT} < 3""",
+)
+def ag19_labelled(spark, sf):
+    """The counters by their labels: fetches, jobs, retries."""
+    code = F.coalesce(rules.http_outcome(F.col("http_status"))["code"], F.lit("none"))
+    fetches = sources(spark, sf, "fetch_status", "http_status").groupBy(F.lit("fetch").alias("counter"), F.col("fetch_status").alias("status"), code.alias("code")).agg(F.count(F.lit(1)).alias("n"))
+    finished = jobs(spark, sf, "status").groupBy(F.lit("jobs").alias("counter"), "status", F.lit("none").alias("code")).agg(F.count(F.lit(1)).alias("n"))
+    again = parsed(spark, sf).where("event_type = 'SOURCE_FAILED' AND attempt < 3").agg(F.count(F.lit(1)).alias("n"))
+    return fetches.unionByName(finished).unionByName(again.select(F.lit("retries").alias("counter"), F.lit("retry").alias("status"), F.lit("source-fetch").alias("code"), "n"))
+
+
+@query(
+    "sk2_created_rows",
+    """SELECT job_id, 'job' AS kind, query_text AS value FROM research_jobs UNION ALL SELECT job_id, 'source', u FROM (SELECT job_id, unnest(list_distinct(requested_sources)) AS u FROM research_jobs) UNION ALL SELECT job_id, 'event', 'research_job.created' FROM research_jobs""",
+)
+def sk2_rows(spark, sf):
+    """What one request writes: the job, its sources, its event."""
+    rows = jobs(spark, sf, "query_text", "requested_sources")
+    own = rows.select("job_id", F.lit("job").alias("kind"), F.col("query_text").alias("value"))
+    children = rows.select("job_id", F.lit("source").alias("kind"), F.explode(F.array_distinct("requested_sources")).alias("value"))
+    return own.unionByName(children).unionByName(rows.select("job_id", F.lit("event").alias("kind"), F.lit("research_job.created").alias("value")))
+
+
+@query(
+    "fl33_reused_keys",
+    """WITH f AS (SELECT job_id, lower(trim(query_text)) AS key, sha256(to_json({'query': query_text, 'sources': requested_sources})) AS fingerprint, created_at FROM research_jobs WHERE query_text IS NOT NULL),
+       g AS (SELECT key, arg_min(fingerprint, (created_at, job_id)) AS kept, count(*) AS n FROM f GROUP BY key)
+       SELECT job_id, n AS requests, fingerprint = kept AS same FROM f JOIN g USING (key)""",
+)
+def fl33(spark, sf):
+    """Whether a request under a key that was used before is the request it was used for."""
+    body = F.to_json(F.struct(F.col("query_text").alias("query"), F.col("requested_sources").alias("sources")))
+    rows = jobs(spark, sf, "query_text", "requested_sources", "created_at").where("query_text IS NOT NULL").select("job_id", "created_at", F.lower(F.trim("query_text")).alias("key"), F.sha2(body, 256).alias("fingerprint"))
+    kept = rows.groupBy("key").agg(F.min_by("fingerprint", F.struct("created_at", "job_id")).alias("kept"), F.count(F.lit(1)).alias("requests"))
+    return rows.join(kept, "key").select("job_id", "requests", (F.col("fingerprint") == F.col("kept")).alias("same"))
+
+
+@query("fl35_terminal_sources", "SELECT source_document_id, processing_status IN ('SUCCEEDED', 'FAILED') AS terminal FROM source_documents")
+def fl35(spark, sf):
+    return sources(spark, sf, "processing_status").select("source_document_id", F.col("processing_status").isin("SUCCEEDED", "FAILED").alias("terminal"))
+
+
+_PERMANENT = "retryable = false OR attempt >= attempts"
+_FAILURES = f"""SELECT e.job_event_id, {_LAST_ATTEMPT} AS attempt, e.event_type, CASE e.job_event_id % 3 WHEN 0 THEN NULL WHEN 1 THEN true ELSE false END AS retryable,
+    CASE e.job_event_id % 4 WHEN 0 THEN 'source-fetch' WHEN 1 THEN 'content-extraction' WHEN 2 THEN 'record-processing' ELSE 'research-orchestration' END AS queue FROM {EVENTS} e WHERE e.event_type = 'SOURCE_FAILED'"""
+
+
+@query(
+    "sm5_failure_policy",
+    f"""SELECT job_event_id, queue, coalesce({_PERMANENT}, false) AS permanent, CASE WHEN NOT coalesce({_PERMANENT}, false) THEN 1000 * CAST(pow(2, attempt - 1) AS BIGINT) END AS delay_ms
+        FROM ({_FAILURES}) JOIN (VALUES {_QUEUES}) AS q(queue, attempts) USING (queue) WHERE attempt IS NOT NULL""",
+)
+def sm5_policy(spark, sf):
+    """A failure is final where its error may not be retried or its queue's attempts are used up; the others wait twice as long each time."""
+    number = F.col("job_event_id")
+    queue = F.when(number % 4 == 0, "source-fetch").when(number % 4 == 1, "content-extraction").when(number % 4 == 2, "record-processing").otherwise("research-orchestration")
+    retryable = F.when(number % 3 == 1, True).when(number % 3 == 2, False)
+    attempts = spark.createDataFrame(list(ATTEMPTS.items()), "queue string, attempts bigint")
+    rows = parsed(spark, sf).where("event_type = 'SOURCE_FAILED' AND attempt IS NOT NULL").select("job_event_id", "attempt", queue.alias("queue"), retryable.alias("retryable")).join(F.broadcast(attempts), "queue")
+    final = F.coalesce((F.col("retryable") == F.lit(False)) | (F.col("attempt") >= F.col("attempts")), F.lit(False))
+    return rows.select("job_event_id", "queue", final.alias("permanent"), F.when(~final, F.lit(1000).cast("bigint") * F.pow(F.lit(2), F.col("attempt") - 1).cast("bigint")).alias("delay_ms"))
+
+
+@query(
+    "sc17_checked_payloads",
+    f"""SELECT job_event_id, event_type, CASE WHEN payload IS NULL OR NOT json_valid(payload) THEN 'NOT_JSON' WHEN json_type({_JSON}) <> 'OBJECT' THEN 'NOT_AN_OBJECT' WHEN {_LAST_ATTEMPT} IS NULL OR {_LAST_ATTEMPT} < 1 THEN 'NO_ATTEMPT'
+        WHEN {_DURATION} IS NULL OR {_DURATION} < 0 THEN 'NO_DURATION' ELSE 'OK' END AS outcome FROM {EVENTS}""",
+)
+def sc17_checked(spark, sf):
+    """Messages against the schema of their stage: what is no message goes to the dead letters with its reason."""
+    kind = F.regexp_extract(F.schema_of_variant(F.try_parse_json("payload")), r"^(\w+)", 1)
+    rows = events(spark, sf).distinct().withColumn("kind", kind).join(parsed(spark, sf).select("job_event_id", "attempt", "duration_ms").distinct(), "job_event_id")
+    outcome = (
+        F.when(F.col("kind").isNull(), "NOT_JSON").when(F.col("kind") != "OBJECT", "NOT_AN_OBJECT").when(F.coalesce("attempt", F.lit(0)) < 1, "NO_ATTEMPT")
+        .when(F.coalesce("duration_ms", F.lit(-1)) < 0, "NO_DURATION").otherwise("OK")
+    )
+    return rows.select("job_event_id", "event_type", outcome.alias("outcome"))
+
+
+@query(
+    "sc13_gated_extraction",
+    rf"""WITH r(prefix, allow) AS (VALUES {', '.join(f"('{p}', {str(a).lower()})" for p, a in _RULES)}),
+        g AS (SELECT e.result_id, coalesce(arg_max(r.allow, length(r.prefix)), true) AS allowed FROM extraction_results e LEFT JOIN r ON starts_with({_path('final_url')}, r.prefix) GROUP BY e.result_id)
+        SELECT e.result_id, CASE WHEN NOT {q.is_web(q.trimmed('final_url'))} THEN 'INVALID_URL' WHEN NOT g.allowed THEN 'ROBOTS' WHEN http_status IS NOT NULL AND http_status NOT BETWEEN 200 AND 299 THEN 'HTTP'
+        WHEN regexp_matches(text, '(?i)\b(?:{'|'.join(tx.RESTRICTED_PHRASES)})\b') THEN 'ACCESS_RESTRICTED' WHEN length(regexp_replace(coalesce(text, ''), '{q.SP}', '', 'g')) < 200 THEN 'RENDER' ELSE 'OK' END AS outcome
+        FROM extraction_results e JOIN g ON e.result_id = g.result_id""",
+)
+def sc13_gated(spark, sf):
+    """The whole chain of a fetch: address, robots, status, restriction; a page that says too little is one to render."""
+    path = F.coalesce(F.nullif(ur.part(tx.trimmed(F.col("final_url")), 5), F.lit("")), F.lit("/"))
+    hits = F.array_compact(F.array(*[F.when(F.col("path").startswith(p), F.struct(F.lit(len(p)).alias("n"), F.lit(a).alias("allow"))) for p, a in _RULES]))
+    allowed = F.coalesce(F.array_max(hits)["allow"], F.lit(True))
+    rows = table(spark, sf, "extraction_results", "result_id", "final_url", "http_status", "text").withColumn("path", path)
+    outcome = (
+        F.when(~ur.is_web(tx.trimmed(F.col("final_url"))), "INVALID_URL").when(~allowed, "ROBOTS").when(F.col("http_status").isNotNull() & ~F.col("http_status").between(200, 299), "HTTP")
+        .when(tx.restricted(F.col("text")), "ACCESS_RESTRICTED").when(~tx.meaningful(F.coalesce("text", F.lit(""))), "RENDER").otherwise("OK")
+    )
+    return rows.select("result_id", outcome.alias("outcome"))
+
+
+@query(
+    "jn11_united_evidence",
+    """SELECT job_id, deduplication_key, source_document_id, source_url, max(published_at) AS published_at, max(credibility_score) AS credibility_score,
+       array_to_string(list_sort(list_distinct(list(evidence) FILTER (WHERE evidence IS NOT NULL))), ' | ') AS evidence FROM signals WHERE job_id IS NOT NULL AND deduplication_key IS NOT NULL GROUP BY ALL""",
+)
+def jn11_united(spark, sf):
+    """The attributions of each merged record, one a source and address: newest date, greatest credibility, all different quotes (a source gives up to 50)."""
+    rows = table(spark, sf, "signals", "job_id", "deduplication_key", "source_document_id", "source_url", "published_at", "credibility_score", "evidence").where("job_id IS NOT NULL AND deduplication_key IS NOT NULL")
+    return rows.groupBy("job_id", "deduplication_key", "source_document_id", "source_url").agg(
+        F.max("published_at").alias("published_at"), F.max("credibility_score").alias("credibility_score"), F.array_join(F.array_sort(F.collect_set("evidence")), " | ").alias("evidence")
+    )
