@@ -159,7 +159,7 @@ def iso_time(column: Column) -> Column:
 
 def utf16_length(column: Column) -> Column:
     """Length in UTF-16 units: signs beyond the basic plane count twice."""
-    return F.length(column) + F.length(F.regexp_replace(column, r"[^\x{10000}-\x{10FFFF}]", ""))
+    return F.shiftright(F.octet_length(F.encode(column, "UTF-16BE")), 1)
 
 
 def with_base(html: Column, url: Column) -> Column:

@@ -12,7 +12,7 @@ from millrace.operators import pages as pg
 from millrace.operators import stages as sg
 from millrace.operators import vectors as vc
 from millrace.plans import sqltext as q
-from millrace.sources import table
+from millrace.sources import spread, table
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -40,7 +40,7 @@ def results(spark, sf, *columns):
 def ag14(spark, sf):
     """Readable text of each page, as digest and length."""
     lines = tx.readable(F.col("raw_content"))
-    return documents(spark, sf, "raw_content").where("raw_content IS NOT NULL").withColumn("t", lines).select("source_document_id", F.sha2("t", 256).alias("digest"), F.length("t").cast("bigint").alias("chars"))
+    return spread(documents(spark, sf, "raw_content").where("raw_content IS NOT NULL")).withColumn("t", lines).select("source_document_id", F.sha2("t", 256).alias("digest"), F.length("t").cast("bigint").alias("chars"))
 
 
 @query("fl3_meaningful_content", f"SELECT source_document_id, length(regexp_replace(raw_content, '{q.SP}', '', 'g')) >= 200 AS meaningful FROM source_documents WHERE raw_content IS NOT NULL")
@@ -175,7 +175,7 @@ def ht1(spark, sf):
     head = F.concat(F.lit("<html lang='en'><head><meta property='og:title' content=\""), text(F.coalesce("title", F.lit(""))), F.lit("\"><title>other</title><meta name='author' content='A. Uthor'></head><body><nav><ul><li><a href='/menu'>menu</a></ul></nav>"))
     body = F.concat(F.lit("<main>"), line, F.lit("<a href='/next#top'></a><a href='/next'></a><a href='mailto:x@y'></a><div hidden><p>hidden <a href='/hidden'>x</a></p></div><aside><p>aside</p></aside></main>"))
     html = F.concat(head, body, F.lit("<div class='cookie-note'><p>cookies</p></div><footer><p>foot</p></footer><script>var p = '<p>no</p>'</script></body></html>"))
-    source = results(spark, sf, "title", "text", "final_url").where("text IS NOT NULL")
+    source = spread(results(spark, sf, "title", "text", "final_url").where("text IS NOT NULL"))
     parsed = pg.parsed(source.withColumn("html", html), "result_id", "html", "final_url")
     return parsed.select("result_id", "title", F.sha2("text", 256).alias("digest"), F.size("links").alias("links"), F.col("metadata")["language"].alias("language"), F.col("metadata")["author"].alias("author"), "access_restricted")
 

@@ -13,7 +13,7 @@ from millrace.functions import url as ur
 from millrace.operators import fold
 from millrace.operators import signals as sg
 from millrace.plans import sqltext as q
-from millrace.sources import table
+from millrace.sources import spread, table
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -37,7 +37,7 @@ def signals(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
 
 
 def keyed(spark: SparkSession, sf: str) -> DataFrame:
-    return sg.keyed(sg.normalized(signals(spark, sf)))
+    return sg.keyed(sg.normalized(spread(signals(spark, sf))))
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
@@ -86,7 +86,7 @@ def fs6(spark, sf):
 
 @query("fs7_normalized_signal", f"SELECT record_id, n_company, n_role, n_domain, n_url, n_location, n_signal FROM ({q.NORMALIZED})")
 def fs7(spark, sf):
-    return sg.normalized(signals(spark, sf)).select("record_id", "n_company", "n_role", "n_domain", "n_url", "n_location", "n_signal")
+    return sg.normalized(spread(signals(spark, sf))).select("record_id", "n_company", "n_role", "n_domain", "n_url", "n_location", "n_signal")
 
 
 @query("fs8_query_tokens", f"SELECT job_id, array_to_string({q.tokens('query_text')}, ' ') AS tokens FROM research_jobs")
@@ -215,7 +215,7 @@ _POL = f"({q.negative('a.n_signal')} <> {q.negative('b.n_signal')})"
         FROM c a JOIN c b ON a.job_id = b.job_id AND a.n_company = b.n_company AND a.n_role = b.n_role AND a.record_id < b.record_id""",
 )
 def jn2(spark, sf):
-    return sg.matches(sg.normalized(signals(spark, sf)))
+    return sg.matches(sg.normalized(spread(signals(spark, sf))))
 
 
 @query("ag1_resolved_by_source")
@@ -328,7 +328,7 @@ def fl10(spark, sf):
     """What of each record its stored page does not mention."""
     pages = table(spark, sf, "source_documents", "source_document_id", "job_id", F.col("raw_content").alias("t")).where("t IS NOT NULL")
     # lowered once a page, before it meets its records
-    pages = pages.withColumn("low", F.lower("t"))
+    pages = spread(pages).withColumn("low", F.lower("t"))
     low = F.col("low")
     missing = lambda c: F.col(c).isNotNull() & ~F.contains(low, F.lower(F.col(c)))
     site_host = F.coalesce(F.nullif(ur.host(F.col("website")), F.lit("")), F.lower("website"))

@@ -9,3 +9,12 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     """The table ``name`` of a data folder, narrowed to ``columns`` when given."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files give fewer partitions than there are; as it is, without a shuffle, where they give enough.
+
+    For scans of few and small files (one row group is one task) before work that is dear by the row.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
