@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import p01_names, p02_residue, p03_survivor, p04_split, p05_canonical, p06_boilerplate, p07_lines, p08_tokens, p09_leaks, p10_toxic
-from millrace.sources import table
+from millrace.sources import spread, table
 
 
 NAMES = ("record_id", "job_id", "company", "website")
@@ -23,15 +23,15 @@ RESULTS = ("result_id", "final_url", "title", "text")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p02_residue.residual_results(table(spark, sf_dir, "extraction_results", *RESULTS))
+    return p02_residue.residual_results(spread(table(spark, sf_dir, "extraction_results", *RESULTS)))
 
 
 def p2_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p02_residue.residue(table(spark, sf_dir, "extraction_results", *RESULTS))
+    return p02_residue.residue(spread(table(spark, sf_dir, "extraction_results", *RESULTS)))
 
 
 def p2_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p02_residue.clean_results(table(spark, sf_dir, "extraction_results", *RESULTS)).select("result_id", "title", "text")
+    return p02_residue.clean_results(spread(table(spark, sf_dir, "extraction_results", *RESULTS))).select("result_id", "title", "text")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,15 +47,15 @@ def p3_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p04_split.oversized(table(spark, sf_dir, "extraction_inputs"), table(spark, sf_dir, "chunking_configurations"))
+    return p04_split.oversized(spread(table(spark, sf_dir, "extraction_inputs")), table(spark, sf_dir, "chunking_configurations"))
 
 
 def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p04_split.split_inputs(table(spark, sf_dir, "extraction_inputs"), table(spark, sf_dir, "chunking_configurations"))
+    return p04_split.split_inputs(spread(table(spark, sf_dir, "extraction_inputs")), table(spark, sf_dir, "chunking_configurations"))
 
 
 def p4_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p04_split.piece_checks(table(spark, sf_dir, "extraction_inputs"), table(spark, sf_dir, "chunking_configurations"))
+    return p04_split.piece_checks(spread(table(spark, sf_dir, "extraction_inputs")), table(spark, sf_dir, "chunking_configurations"))
 
 
 def _typed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -75,27 +75,27 @@ def p5_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p06_boilerplate.boilerplate_lines(table(spark, sf_dir, "source_documents"), table(spark, sf_dir, "extraction_results"))
+    return p06_boilerplate.boilerplate_lines(spread(table(spark, sf_dir, "source_documents")), spread(table(spark, sf_dir, "extraction_results")))
 
 
 def p6_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p06_boilerplate.main_bodies(table(spark, sf_dir, "source_documents"), table(spark, sf_dir, "extraction_results"))
+    return p06_boilerplate.main_bodies(spread(table(spark, sf_dir, "source_documents")), spread(table(spark, sf_dir, "extraction_results")))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p07_lines.repeated_lines(table(spark, sf_dir, "source_documents"))
+    return p07_lines.repeated_lines(spread(table(spark, sf_dir, "source_documents")))
 
 
 def p7_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p07_lines.without_repeated_lines(table(spark, sf_dir, "source_documents"))
+    return p07_lines.without_repeated_lines(spread(table(spark, sf_dir, "source_documents")))
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p08_tokens.encode_documents(table(spark, sf_dir, "documents"))
+    return p08_tokens.encode_documents(spread(table(spark, sf_dir, "documents")))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p09_leaks.leaked_items(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+    return p09_leaks.leaked_items(spread(table(spark, sf_dir, "documents", "doc_id", "text")), table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
 def p9_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,11 +103,11 @@ def p9_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p09_leaks.leak_evidence(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+    return p09_leaks.leak_evidence(spread(table(spark, sf_dir, "documents", "doc_id", "text")), table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return table(spark, sf_dir, "documents", "doc_id", "source", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic")
+    return spread(table(spark, sf_dir, "documents", "doc_id", "source", "text")), table(spark, sf_dir, "labels", "doc_id", "toxic")
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
