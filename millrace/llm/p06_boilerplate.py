@@ -233,8 +233,8 @@ def body_stretches(filled: list[Leaf]) -> list[Stretch]:
     chars, links = sum(leaf.chars for leaf in filled), sum(leaf.link_chars for leaf in filled)
     stretches = [Stretch(list(run), chars, links) for _, run in groupby(filled, key=lambda leaf: leaf.link_chars > 0)]
     # labels alone, cut off by links from all that speaks in sentences or lists, are pointers and no stretch of the body
-    spoken = [s for s in stretches if any(leaf.kind == "text" or leaf.bullet for leaf in s.leaves)]
-    stretches = spoken or stretches
+    spoken = [s for s in stretches if s.leaves[0].link_chars or any(leaf.kind == "text" or leaf.bullet for leaf in s.leaves)]
+    stretches = spoken if any(not s.leaves[0].link_chars for s in spoken) else stretches
     best = max(stretches, key=lambda s: s.total)
     page = composite_density(chars, links, sum(leaf.tags for leaf in filled), sum(leaf.link_tags for leaf in filled), chars, links)
     threshold = min(best.density, page)
@@ -256,7 +256,7 @@ def main_body(text: str, title: str | None, site: str, repeated: frozenset[int]
         return {leaf.number for leaf in kept} - menu_runs(kept[1:] if head >= 0 else kept)
     head = headline(filled, title, dense[0])
     within = {leaf.number for stretch in body_stretches(filled) for leaf in stretch.leaves}
-    body = {k for k in dense if k > head and filled[k].number in within}
+    body = {k for k, leaf in enumerate(filled) if k > head and leaf.number in within and leaf.kind != "short"}
     spoken = set(body)
     if head >= 0:
         body.add(head)

@@ -171,8 +171,13 @@ def test_repeated_lines_of_unlisted_wording_are_boilerplate(spark):
 def test_the_density_threshold_decides(monkeypatch):
     page = "Home | Jobs | Help | Search\nWelder at Acme\nAcme is hiring a welder for its field group in Oslo today.\nBaker - Bolt, Oslo\nThe group works in the open from six to two, and it pays well.\nTerms / Imprint / Contact"
     assert p06_boilerplate.main_body(page, "Welder at Acme", "acme") == {1, 2, 4}
-    inside = [s.leaves[0].number for s in p06_boilerplate.body_stretches([p06_boilerplate.Leaf(k, x) for k, x in enumerate(page.split("\n"))])]
-    assert 1 in inside and 4 in inside
+    leaves = [p06_boilerplate.Leaf(k, x) for k, x in enumerate(page.split("\n"))]
+    for leaf in leaves:
+        leaf.settle(True)
+    # the stretches of links are left out by their density alone
+    assert [s.leaves[0].number for s in p06_boilerplate.body_stretches(leaves)] == [1, 4]
+    monkeypatch.setattr(p06_boilerplate, "composite_density", lambda *_: 1.0)
+    assert p06_boilerplate.main_body(page, "Welder at Acme", "acme") == {1, 2, 3, 4, 5}
 
 
 def test_residue(spark):
