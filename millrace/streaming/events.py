@@ -17,7 +17,7 @@ KEPT = "730 days"
 def shared_folder(spark: SparkSession) -> str:
     """Folder that all executors share, from the session; a temporary one only on one machine and where none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder and not spark.sparkContext.master.startswith("local["):
+    if not folder and not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return folder or tempfile.mkdtemp(prefix="millrace-stream-")
 
