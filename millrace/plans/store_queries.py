@@ -316,7 +316,7 @@ def sm14(spark, sf):
     """
     delay = DELAY_MS * 1000
     order = Window.partitionBy("domain").orderBy("created_at", "source_document_id")
-    rows = sources(spark, sf, "domain", "created_at").where("domain IS NOT NULL AND created_at IS NOT NULL").withColumn("n", F.row_number().over(order) - 1)
+    rows = sources(spark, sf, "domain", "created_at").where("domain IS NOT NULL AND created_at IS NOT NULL").withColumn("n", F.row_number().over(order).cast("bigint") - 1)
     slack = F.max(F.unix_micros("created_at") - F.col("n") * delay).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return rows.select("source_document_id", F.timestamp_micros(slack + F.col("n") * delay).alias("starts_at"))
 
