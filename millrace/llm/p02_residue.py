@@ -29,12 +29,13 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from millrace.llm.common import durable, narrow
-from millrace.llm.p06_boilerplate import features, main_body
+from millrace.llm.p06_boilerplate import features, finder, main_body
 
 #: Pages and sites on which a body line must come word for word to count as a page template.
 LEAST_PAGES, LEAST_SITES = 6, 4
@@ -49,11 +50,10 @@ MARKED = re.compile(
 )
 #: Marks that are a slot only around a known variable.
 WEAK = re.compile(rf"(?<![\[\w])\[({NAME})\](?!\])|(?<![{{$#\w])\{{({NAME})\}}(?!\}})|\bTODO:\s*({NAME})", re.IGNORECASE)
-SIGN = re.compile(r"[{}\[\]%@<]|XX_|__|TODO")
+SIGNS = (*"{}[]%@<", "XX_", "__", "TODO")
 MENTION = re.compile(r"(?i)\bsuch as\b|\bfor example\b|\be\.g\.|\bexplains?\b|\bsyntax\b|\bdouble braces\b|\bis written\b|\bplaceholders?\b.*\blike\b")
 #: What pages without content say, in the corpus's four languages.
-FAULT = re.compile(
-    r"""(?ix)
+FAULTS = r"""
     \b(?:enable|turn\ on|allow|activate|activez|activer|activar|activa|aktivieren?)\b.{0,25}\b(?:java\ ?script|scripts)\b | \bjava\ ?script\ is\ (?:disabled|off|required|needed|not)
     | \b(?:needs|requires|blocks|blocking)\ (?:java)?scripts?\b | \bnoscript\b | ^loading\b | \bscripts\ (?:are\ allowed|switched\ off)\b
     | ^(?:error\ )?[45]\d\d\b\ ?(?:[-–:|]|error|not\ found|forbidden|$) | \berror\ \d{3}\b | ^(?:oops|whoops)\b | ^.{0,25}\bnot\ found\b(?!\ errors) | \bno\ longer\ (?:exists|available)\b
@@ -65,15 +65,7 @@ FAULT = re.compile(
     | \blorem\ ipsum\b | ^sample\ (?:text|page)\b | \bdummy\ (?:copy|text)\b | ^placeholder\b | \byour\ (?:headline|text|title|content)\ (?:here|goes\ here)\b | \btext\ goes\ here\b | ^type\ something\ about\b | ^(?:add|write|enter)\ a\ short\ description\b
     | ^(?:content|text|more)\ will\ follow\b | ^coming\ soon\b | ^under\ construction\b | \bkommt\ bald\b | \bbeispieltext\b | \bblindtext\b | \btexte\ d['’]exemple\b | \btexto\ de\ (?:ejemplo|relleno|muestra)\b | \bfor\ your\ own\ words\b
     """
-)
-#: One of these stands in whatever FAULT matches, unless it begins with a number of an error or a reference; looked for first, as that is quick.
-FAULT_CUES = tuple(
-    "script|loading|error|oops|not found|no longer |page is gone|could not |leads nowhere|something |try again |invalid |go back and |down for |not allowed to |access |forbidden|session |timed out |server gave |connection "
-    "|prove that |too many |nicht gefunden|existe|page introuvable|no encontramos |gina no |unhandled |null |traceback|exception in |code: |sign in again|temporarily |back to the |try the search|lorem |sample |dummy "
-    "|placeholder| here|short description|will follow|coming soon|under construction|kommt bald|beispieltext|blindtext|texte d|texto de |for your own ".split("|")
-)
-#: Letters that match others without regard to case, but whose small letter is another.
-ODD_CASE = frozenset("ſıİK")
+FAULT = finder(FAULTS)
 #: Function words of the corpus's languages; a sentence without any is no sentence.
 FUNCTION_WORDS = frozenset(
     "a an the of to in on at for and or but is are was were be by with from as that this it we you they he she his her its our your their not no so if than then who which when where had has "
@@ -105,8 +97,7 @@ def filler_words(line: str) -> bool:
 def fault(line: str) -> bool:
     text = " ".join(line.split()).lstrip("»›> ")
     small = text.lower()
-    cued = small[:1].isdigit() or small.startswith("ref") or any(map(small.__contains__, FAULT_CUES)) or not ODD_CASE.isdisjoint(text)
-    if cued and FAULT.search(text):
+    if FAULT(text, small):
         return True
     words = small.split()
     # a function word among three different words: no salad, without a closer look
@@ -119,7 +110,7 @@ def marks(text: str) -> tuple[list[str], list[str]]:
     """Variables in unmistakable marks, and in weaker ones, of a text's lines that are no explanation."""
     strong, weak = [], []
     for line in text.split("\n"):
-        if not SIGN.search(line) or MENTION.search(line):
+        if not any(map(line.__contains__, SIGNS)) or MENTION.search(line):
             continue
         strong += ["".join(g).lower() for g in MARKED.findall(line)]
         weak += ["".join(g).lower() for g in WEAK.findall(line)]
@@ -131,7 +122,7 @@ def page_lines(text: str, title: str | None) -> list[str]:
     lines = text.split("\n")
     body = [lines[k] for k in sorted(main_body(text, title, "")) if lines[k].strip()]
     head = "".join(TOKENS((title or "").lower()))
-    rest = [x for x in body if not head or "".join(TOKENS(x.lower())) != head]
+    rest = [x for x in body if not head or features(x).key != head]
     if len(rest) == len(body) and len(rest) > 1 and not fault(rest[0]) and features(rest[0]).kind == "short":
         rest = rest[1:]
     return rest
@@ -153,14 +144,28 @@ DEFAULT = re.compile(
 BLANK = re.compile(r"\b(?:at|to|in|for|of|by)(?=\s+[,.;:])|\bDear(?=\s*,)|\((?=\s*\))")
 #: A name written as an identifier.
 IDENTIFIER = re.compile(r"\b(?:[A-Za-z][a-z]+(?:[A-Z][a-z]+)+|[A-Za-z]+(?:_[A-Za-z]+)+)\b")
-#: Without one of these, found at once, a text has no blank, default or identifier.
-HINT = re.compile(r"\s[,.;:]|Dear\s*,|\(\s*\)|(?:Name|Title|NAME|ROLE|CITY|Your|YOUR|null|undefined|TB[DA]|N/A|XXX)\b|_|[a-z][A-Z]")
+#: Without one of these, found at once, a line has no blank, default or identifier.
+HINTS = r"{space}[,.;:]|Dear{space}*,|\({space}*\)|(?:Name|Title|NAME|ROLE|CITY|Your|YOUR|null|undefined|TB[DA]|N/A|XXX)\b|_|[a-z][A-Z]"
+HINT = re.compile(HINTS.replace("{space}", r"\s"))
+#: The same and more in the syntax of Arrow, whose \b knows ASCII only.
+ROUGH_HINT = HINTS.replace("{space}", r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]")
+
+
+def hinted_lines(texts: pa.Array) -> list[list[str]]:
+    """The lines of each text that may have a hint, found for all texts at once."""
+    out: list[list[str]] = [[] for _ in range(len(texts))]
+    split = pc.split_pattern(texts, "\n")
+    lines = split.flatten()
+    hit = pc.match_substring_regex(lines, ROUGH_HINT)
+    for k, line in zip(pc.list_parent_indices(split).filter(hit).to_pylist(), lines.filter(hit).to_pylist(), strict=True):
+        out[k].append(line)
+    return out
 
 
-def unfilled_lines(text: str) -> tuple[list[str], list[dict[str, str]]]:
+def unfilled_lines(lines: list[str]) -> tuple[list[str], list[dict[str, str]]]:
     """Lines with a slot left blank or at a default, \u0002 in its place, and the lines that hold identifiers, by identifier."""
     whole, names = [], []
-    for line in text.split("\n") if HINT.search(text) else ():
+    for line in lines:
         if not HINT.search(line):
             continue
         if BLANK.search(line) or DEFAULT.search(line):
@@ -175,13 +180,13 @@ def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     types = [pa.int64(), pa.string(), texts, texts, pa.list_(pa.int64()), pa.int64(), texts, pa.list_(pa.struct([("name", pa.string()), ("line", pa.string())]))]
     for batch in batches:
         rows = []
-        for row, site, title, text in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+        for row, site, title, text, hinted in zip(*(batch.column(k).to_pylist() for k in range(4)), hinted_lines(batch.column(3)), strict=True):
             both = f"{title or ''}\n{text or ''}"
-            strong, weak = marks(both) if SIGN.search(both) else ([], [])
+            strong, weak = marks(both) if any(map(both.__contains__, SIGNS)) else ([], [])
             rest = page_lines(text, title) if text and text.strip() else []
             lines = [digest(squeezed(x)) for x in rest]
             stop = next((lines[k] for k in sorted(range(len(rest)), key=lambda k: -len(rest[k])) if not fault(rest[k])), None)
-            rows.append((row, site, sorted(set(strong)), sorted(set(weak)), lines, stop, *unfilled_lines(text or "")))
+            rows.append((row, site, sorted(set(strong)), sorted(set(weak)), lines, stop, *unfilled_lines(hinted)))
         columns = list(zip(*rows, strict=True)) or [()] * len(types)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["result_id", "site", "strong", "weak", "lines", "stop", "unfilled", "names"])
 

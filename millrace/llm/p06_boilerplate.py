@@ -30,7 +30,7 @@ of neither; a repeated row gives each line once.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import groupby
 from math import e, log
@@ -73,26 +73,87 @@ PROMPTS = r"""
     """
 
 
+def closing(pattern: str, start: int) -> int:
+    """Place of the bracket that closes the one at ``start``."""
+    depth, within, k = 0, False, start
+    while True:
+        c = pattern[k]
+        if c == "\\":
+            k += 1
+        elif within:
+            within = c != "]"
+        elif c == "[":
+            within = True
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        if not depth and not within:
+            return k
+        k += 1
+
+
 def alternatives(pattern: str) -> list[str]:
     """The alternatives of a verbose pattern, split where a bar stands outside brackets."""
-    out, depth, start, k = [], 0, 0, 0
+    out, start, k = [], 0, 0
     while k < len(pattern):
         c = pattern[k]
         if c == "\\":
             k += 1
         elif c in "([":
-            depth += 1
-        elif c in ")]":
-            depth -= 1
-        elif c == "|" and depth == 0:
+            k = closing(pattern, k)
+        elif c == "|":
             out.append(pattern[start:k])
             start = k + 1
         k += 1
-    return [a.lstrip() for a in [*out, pattern[start:]] if a.strip()]
+    return [a.lstrip() for a in [*out, pattern[start:]]]
+
+
+#: Letters that match others without regard to case, but whose small letter is another.
+ODD_CASE = frozenset("ſıİK")
+
+
+def cues(pattern: str) -> frozenset[str]:
+    """Small-letter strings, one of which stands in whatever the verbose pattern matches; the empty one where none is sure."""
+    out: frozenset[str] = frozenset()
+    for part in alternatives(pattern):
+        # what each match must hold: the runs of plain signs, and one of the cues of each group
+        sure, run, k = [], "", 0
+        while k < len(part):
+            c, group = part[k], None
+            plain = c not in "\\([.^$?*+{" or (c == "\\" and not part[k + 1].isalnum())
+            end = closing(part, k) if c in "([" else part.index("}", k) if c == "{" else k + (c == "\\")
+            if c == "(" and (part.startswith("(?:", k) or part[k + 1] != "?"):
+                group = cues(part[k + 1 : end].removeprefix("?:"))
+            k = end + 1
+            optional = part[k : k + 1] in tuple("?*{")
+            if plain and not c.isspace() and not optional:
+                run += part[end].lower()
+            elif not plain or optional:
+                sure.append(frozenset([run]))
+                run = ""
+            if group and not optional:
+                sure.append(group)
+        out |= max([*sure, frozenset([run])], key=lambda found: (min(map(len, found)), -len(found)))
+    return out
+
+
+def finder(pattern: str) -> Callable[[str, str], bool]:
+    """Whether a verbose pattern is found in a text, whose small letters come along, without regard to case: only the alternatives whose cues stand there are tried."""
+    whole = re.compile(pattern, re.I | re.X).search
+    tried = [(cue, re.compile(a, re.I | re.X).search) for a in alternatives(pattern) for cue in sorted(cues(a))]
+
+    def found(text: str, small: str) -> bool:
+        if not (text.isascii() or ODD_CASE.isdisjoint(text)):
+            return whole(text) is not None
+        for cue, search in tried:
+            if cue in small and search(text):
+                return True
+        return False
+
+    return found
 
 
 BEGINS = re.compile("|".join(f"(?:{a})" for a in alternatives(PROMPTS) if a.startswith("^")), re.I | re.X).match
-HOLDS = re.compile("|".join(f"(?:{a})" for a in alternatives(PROMPTS) if not a.startswith("^")), re.I | re.X).search
+HOLDS = finder("|".join(f"(?:{a})" for a in alternatives(PROMPTS) if not a.startswith("^")))
 #: A line can only match where it begins with one of the first words or holds one of the others.
 FIRST_HINTS = frozenset(
     "liked advertise c copyright skip jump zum aller saltar ir toggle open main site menu menú we this our before your you by read ok okay manage accept reject allow deny settings only cookie "
@@ -119,13 +180,14 @@ class Features:
     def __init__(self, raw: str):
         self.key, self.words, self.repeats, self.chars, self.tags, self.link_tags, self.bullet = "", 0, False, 0, 1, 0, False
         text = " ".join(raw.split())
-        if text and (text[0] in "»›>" or text[-1] in ".…"):
+        if text and (text[0] in "»›>" or text.endswith(("...", "…"))):
             text = DECORATION.sub("", text)
         if not text:
             self.kind = "empty"
             return
         self.chars = len(text)
-        spelt = WORDS.findall(text.lower())
+        small = text.lower()
+        spelt = WORDS.findall(small)
         self.key, words = "".join(spelt), len(spelt)
         self.words, self.repeats = words, words > 1 and len(set(spelt)) < words
         sentence = words >= 4 and text.rstrip(CLOSERS)[-1:] in STOPS
@@ -140,7 +202,7 @@ class Features:
         self.tags = max(1, links)
         if (
             ((not spelt or text[0] in "©(" or spelt[0] in FIRST_HINTS) and BEGINS(text))
-            or (not OTHER_HINTS.isdisjoint(spelt) and (HOLDS(text) or BEGINS(text)))
+            or (not OTHER_HINTS.isdisjoint(spelt) and (HOLDS(text, small) or BEGINS(text)))
             or (not sentence and ((links >= 2 and self.chars / links < 28 and not LABEL.match(text)) or RELATED.match(text)))
         ):
             self.kind, self.link_tags = "link", self.tags
@@ -180,7 +242,7 @@ class Leaf:
 
 def composite_density(chars: int, link_chars: int, tags: int, link_tags: int, page_chars: int, page_links: int) -> float:
     """Characters by tags, adjusted by what is link in the node and in the page; 0 where all is link."""
-    if not chars:
+    if not chars or (chars == link_chars and tags == link_tags):
         return 0.0
     base = log(chars / max(1, chars - link_chars) * link_chars + page_links / max(1, page_chars) * chars + e)
     return chars / tags * log(max(1.0, chars / max(1, link_chars) * tags / max(1, link_tags))) / log(max(base, 1.5))
@@ -193,9 +255,10 @@ class Stretch:
 
     def __init__(self, leaves: list[Leaf], page_chars: int, page_links: int):
         self.leaves = leaves
-        sums = [sum(getattr(leaf, c) for leaf in leaves) for c in ("chars", "link_chars", "tags", "link_tags")]
-        self.density = composite_density(*sums, page_chars, page_links)
-        self.total = sum(composite_density(x.chars, x.link_chars, x.tags, x.link_tags, page_chars, page_links) for x in leaves)
+        chars, link_chars = sum([x.chars for x in leaves]), sum([x.link_chars for x in leaves])
+        tags, link_tags = sum([x.tags for x in leaves]), sum([x.link_tags for x in leaves])
+        self.density = composite_density(chars, link_chars, tags, link_tags, page_chars, page_links)
+        self.total = sum([composite_density(x.chars, x.link_chars, x.tags, x.link_tags, page_chars, page_links) for x in leaves])
 
 
 def headline(filled: list[Leaf], title: str | None, first: int) -> int:

@@ -1,7 +1,9 @@
 """The pure parts of the operators against brute force and round trips."""
 
 import random
+import re
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as hs
@@ -192,6 +194,32 @@ def test_faults_and_content():
         assert not p02_residue.fault(line), line
 
 
+def test_cues_stand_in_whatever_matches():
+    assert p06_boilerplate.cues(r"\ba\ (?:b|cd)?efg\ \d+ | x[yz(|]{2}(?:foo|bars) | abc?d\+{1,2}(?!long)") == {"efg ", "foo", "bars", "ab"}
+    assert p06_boilerplate.cues(r"\d+") == p06_boilerplate.cues("(?:one|)") == p06_boilerplate.cues("(?:one)*") == {""}
+    found = p06_boilerplate.finder(r"\bscripts?\ off$ | ^ref:?\ \d+")
+    assert found("Scripts off", "scripts off") and found("REF 12", "ref 12") and found("ſcripts off", "ſcripts off")
+    assert not found("scripts offline", "scripts offline") and not found("ref x", "ref x")
+
+
+PIECES = ("JavaScript", "is off", "404", "error", "Ref", ":", "not found", "page", "back to the", "start", "lorem ipsum", "cookies", "ein", "el 3.4.25", "new jobs in", "12", "días", "KI", "ſcripts", "back to top", "| terms", "your title here", " ", ".")
+
+
+@given(hs.lists(hs.sampled_from(PIECES), max_size=6), hs.sampled_from((str, str.upper, str.lower)))
+@settings(max_examples=300, deadline=None)
+def test_finder_equals_the_whole_pattern(pieces, case):
+    line = " ".join(case(" ".join(pieces)).split())
+    for pattern in (p02_residue.FAULTS, p06_boilerplate.PROMPTS):
+        assert p06_boilerplate.finder(pattern)(line, line.lower()) == bool(re.search(pattern, line, re.I | re.X)), line
+
+
+@given(hs.lists(hs.one_of(hs.none(), hs.text(alphabet="aZN\n\r\x1c\x85   .,;:()_éDear", max_size=12), hs.sampled_from(("CompanyName\nx", "Titleé\nN/A", "Dear ,\nTBD", "(　)")))))
+@settings(max_examples=300, deadline=None)
+def test_lines_with_hints_are_found_in_all_texts_at_once(texts):
+    found = p02_residue.hinted_lines(pa.array(texts, pa.string()))
+    assert [[x for x in lines if p02_residue.HINT.search(x)] for lines in found] == [[x for x in (text or "").split("\n") if p02_residue.HINT.search(x)] for text in texts]
+
+
 PAGE = """We use cookies to measure visits.
 Jobs / Oslo / Welder / Home
 Welder at Vellor Foods
